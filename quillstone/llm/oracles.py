@@ -60,3 +60,53 @@ ORACLES = {
     "op6_minhash_near_dedup": NEAR_DUPLICATES,
     "op7_substring_dedup": SUBSTRINGS,
 }
+
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+             sum(5 + length(role) + 2 + length(replace(replace(replace(text, '\', '\\'), '<', '\l'), '[', '\b')) + 4) AS chars
+      FROM c GROUP BY conv_id)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+       sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+FROM g
+"""
+
+_TWO = "('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br')"
+_HOST = f"coalesce({LOWER_AZ.format(chr(39).join(['regexp_extract(url, ', '(?s)^.*?://([^/?#]*)', ', 1)']))}, '')"
+_PATH = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _level(name: str, key: str, up: str, up_key: str) -> str:
+    """The CTEs of one level of the reputation model: sums, strength and posterior."""
+    above = f"JOIN {up}_p u ON u.k = c.{up_key}" if up else ""
+    m, group = ("u.rate", f"c.{key}, u.rate") if up else ("0.5", f"c.{key}")
+    return f"""{name}_s AS (SELECT c.{key} AS k, CAST({m} AS DOUBLE) AS m, CAST(sum(c.bad) AS DOUBLE) AS a, CAST(sum(c.n) AS DOUBLE) AS n FROM c {above} GROUP BY {group}),
+{name}_v AS (SELECT round(coalesce(1 / least(greatest((sum((a - n * m) * (a - n * m) / n) - sum(m * (1 - m))) / nullif(sum((n - 1) * m * (1 - m)), 0), 1 / 1001.0::DOUBLE), 1 / 3.0::DOUBLE) - 1, 1000), 6) AS s FROM {name}_s),
+{name}_p AS (SELECT k, round((m * s + a) / (s + n), 9) AS rate, s + n AS weight FROM {name}_s, {name}_v)"""
+
+
+URLS = f"""
+WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+o AS (SELECT doc_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels GROUP BY doc_id),
+l AS (SELECT host, sum(bad) AS bad, count(bad) AS n FROM p JOIN o ON page_id = doc_id WHERE host <> '' GROUP BY host HAVING count(bad) > 0),
+q AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS two, array_to_string(string_split(host, '.')[-3:], '.') AS three, string_split(host, '.')[-1] AS one FROM p),
+names AS (SELECT DISTINCT host, CASE WHEN two IN {_TWO} THEN three ELSE two END AS domain, CASE WHEN two IN {_TWO} THEN two ELSE one END AS suffix FROM q),
+c AS (SELECT l.*, domain, suffix, 1 AS corpus FROM l JOIN names ON l.host = names.host),
+{_level("g", "corpus", "", "")},
+{_level("x", "suffix", "g", "corpus")},
+{_level("d", "domain", "x", "suffix")},
+{_level("h", "host", "d", "domain")},
+best AS (SELECT names.host, coalesce(h_p.rate, d_p.rate, x_p.rate, g_p.rate, 0.5) AS rate, coalesce(h_p.weight, d_p.weight, x_p.weight, g_p.weight, 2) AS weight
+         FROM names LEFT JOIN h_p ON h_p.k = names.host LEFT JOIN d_p ON d_p.k = names.domain LEFT JOIN x_p ON x_p.k = names.suffix LEFT JOIN g_p ON g_p.k = 1),
+bound AS (SELECT host, round(rate + 1.645 * sqrt(rate * (1 - rate) / (weight + 1)), 6) AS bound FROM best),
+r(rule, says) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+fit AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(says, length(rule)) AS says FROM p, r
+        WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))
+        GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, fit.rule, coalesce(says, CASE WHEN bound <= 0.9 THEN 'allow' ELSE 'block' END) AS verdict
+FROM p LEFT JOIN fit ON p.page_id = fit.page_id LEFT JOIN bound ON p.host = bound.host
+"""
+
+ORACLES |= {"op4_chat_formatting": CHAT, "op9_url_reputation": URLS}

@@ -32,7 +32,10 @@ END_ID = 1
 
 #: Chunks of more bytes than this, and more chunks than that, are not kept between batches.
 CACHED_BYTES = 64
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 900_000
+#: Words encoded in one go, and marks that may end one of them.
+LINE = 100
+PUNCTUATION = frozenset(",.;:!?")
 
 PIECES = T.StructType(
     [
@@ -60,11 +63,33 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+    def _each(self, chunks: list[bytes]) -> list[bytes]:
         texts = [c.decode() for c in chunks]
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk. Plain words go in lines, whose ids are cut where a word ends."""
+        known: dict[bytes, bytes] = {}
+        plain = [(c, 2 if t[-1] in PUNCTUATION else 1) for c in chunks if (t := c.decode()).isalpha() or (t[-1] in PUNCTUATION and t[:-1].isalpha())]
+        lines = [plain[i : i + LINE] for i in range(0, len(plain), LINE)]
+        encoded = self.tokenizer.encode_batch_fast([b" ".join([c for c, _ in line]).decode() for line in lines], add_special_tokens=False)
+        for line, e in zip(lines, encoded):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids])
+            last = np.cumsum([n for _, n in line]) - 1
+            if len(ends) == last[-1] + 1:  # else lower-casing has split some word
+                raw, at = ids.tobytes(), 0
+                for (c, _), end in zip(line, (4 * ends[last] + 4).tolist()):
+                    known[c], at = raw[at:end], end
+        rest = [c for c in chunks if c not in known]
+        known.update(zip(rest, self._each(rest)))
+        return [known[c] for c in chunks]
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         if len(self.known) > CACHED_CHUNKS:

@@ -131,7 +131,7 @@ def judge(features: DataFrame, fences: DataFrame) -> DataFrame:
     """``features`` with ``base_failed`` and ``kept``, by a join with the fences of each row's group."""
     inside = F.lit(True)
     for r, (top, _) in RATIOS.items():
-        ratio = F.col(top) / F.col("n_words")
+        ratio = F.try_divide(F.col(top), F.col("n_words"))
         inside = inside & F.coalesce(ratio <= F.col(f"{r}_high"), F.lit(True)) & F.coalesce(ratio >= F.col(f"{r}_low"), F.lit(True))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     joined = features.withColumns({"__lang": _group("lang"), "__source": _group("source")}).join(fences, ["__lang", "__source"], "left")
