@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontam, neardup, packing, quality
+from quillstone.llm import decontam, neardup, packing, pii, quality
 from quillstone.llm.queries import tokenizer_path
 from quillstone.llm.store import stash
 
@@ -24,6 +24,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it are replaced in the texts."""
+    return pii.with_text(docs, pii.sanitise(docs))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in training sequences."""
     return packing.pack(docs, tokenizer_path())
@@ -33,6 +38,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
+    ("pii", personal_data),
     ("packing", packed),
 ]
 
