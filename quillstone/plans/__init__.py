@@ -1 +1,6 @@
+"""All registered queries but those for training data."""
 
+from quillstone.plans import relational
+from quillstone.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "relational"]
