@@ -34,7 +34,8 @@ def slug(text: Column) -> Column:
 
 def acronyms(text: Column) -> Column:
     """Distinct words of two capitals or more, in order."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2,}\b"), F.lit(0))))
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: w.rlike("^[A-Z]{2,}$"))))
 
 
 def terms(text: Column) -> Column:
