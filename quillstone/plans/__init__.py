@@ -1,6 +1,6 @@
 """All registered queries but those for training data."""
 
-from quillstone.plans import graph, relational, retrieval, scalars
+from quillstone.plans import graph, harness, relational, retrieval, scalars, structure
 from quillstone.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph", "relational", "retrieval", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "graph", "harness", "relational", "retrieval", "scalars", "structure"]
