@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.store import stash
+
 # The rules that are asked for, as (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -68,7 +70,7 @@ def _level(counts: DataFrame, name: str, above: DataFrame | None, above_name: st
     strength = rows.agg(F.round(F.coalesce(1 / share - 1, F.lit(MOST_STRENGTH)), 6).alias("s"))
     s, m = F.col("s"), F.col("m")
     rate = F.round((m * s + F.col("a")) / (s + F.col("n")), 9)
-    return rows.join(F.broadcast(strength)).select(name, rate.alias("rate"), (s + F.col("n")).alias("weight"))
+    return stash(rows.join(F.broadcast(strength)).select(name, rate.alias("rate"), (s + F.col("n")).alias("weight")), f"level-{name}")
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
@@ -78,6 +80,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
     )
     counts = labelled.groupBy("host").agg(F.sum("bad").alias("bad"), F.count("bad").alias("n")).where("n > 0")
     counts = counts.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.lit(1).alias("corpus"))
+    counts = stash(counts, "outcomes")
     corpus = _level(counts, "corpus", None, None)
     suffix = _level(counts, "suffix", corpus, "corpus")
     domain = _level(counts, "domain", suffix, "suffix")
