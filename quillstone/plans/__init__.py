@@ -1,6 +1,6 @@
 """All registered queries but those for training data."""
 
-from quillstone.plans import graph, harness, policies, relational, retrieval, scalars, structure
+from quillstone.plans import graph, harness, ledger, policies, relational, retrieval, scalars, structure
 from quillstone.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph", "harness", "policies", "relational", "retrieval", "scalars", "structure"]
+__all__ = ["ORACLES", "QUERIES", "graph", "harness", "ledger", "policies", "relational", "retrieval", "scalars", "structure"]
