@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def squeeze(text: Column) -> Column:
@@ -81,19 +82,19 @@ def record_id(prefix: str, *parts: Column | str) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(text, 256), 1, 24))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C, for which there is no built-in function."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def full_casefold(text: pd.Series) -> pd.Series:
     """Full Unicode case folding."""
     return text.map(lambda t: None if t is None else t.casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(text: pd.Series) -> pd.Series:
     """Letters without their diacritics."""
     drop = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
