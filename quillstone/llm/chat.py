@@ -40,8 +40,9 @@ def fold(events: DataFrame) -> DataFrame:
 
     Messages come in the order of their opening ``seq``. Events with a null
     or unknown target, and those before their message or after its deletion, change
-    nothing; null text is empty; rows with the same ``seq`` are applied by kind
-    and text; a repeated event is applied each time it is logged.
+    nothing; null text is empty. Rows with the same ``seq`` are applied by kind and text, so
+    of messages with one ``seq`` (a repeated delivery) the last stands; a repeated delta is
+    applied each time it is logged.
     """
     opens = F.col("kind") == "message"
     given = events.select("conv_id", "seq", "kind", "role", F.when(opens, F.col("seq")).otherwise(F.col("target")).alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
@@ -87,6 +88,6 @@ def loss_text(turns: Column) -> Column:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Finished turns as an event log: each row opens a message."""
+    """Finished turns as an event log: each row opens a message; a row without a turn comes before turn 0."""
     none = F.lit(None).cast("long").alias("target")
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", none, "text")
+    return conversations.select("conv_id", F.coalesce("turn", F.lit(-1)).alias("seq"), F.lit("message").alias("kind"), "role", none, "text")

@@ -13,19 +13,27 @@ with probability 0.684 ** 31 = 8e-6.
 
 Verification. Documents with equal shingle sets are one class, of which only the
 least doc_id goes on. In each bucket the members are compared with its least member
-on full shingle sets. A bucket whose members are then in one component is done;
-in the others the next members become pivots, twice as many each round, compared
-with the members of other components, until no bucket is left. So no link is lost to
-the buckets' size, and a bucket of copies costs one comparison a member.
+on full shingle sets, one comparison a member. A bucket whose members are then in one
+component is done. The members of the others share a common passage more often than
+a likeness, or are versions of one text that lie just too far apart. They are dealt into
+new buckets by an exact rule. A document's shingles are ordered from the rarest among
+these members on. Texts of n and m shingles with a similarity of 0.75 have at
+least 3/7 (n + m) in common, so the first common one can't come later than that leaves room for, in
+either. So a document is at home under its first n - 6/7 n shingles in
+the bucket of its size, and looks for smaller ones in the buckets of those sizes that its place
+allows. Homes become pivots in turn, more of them each round, compared with those that
+look there and are in other components, until each bucket is in one component or all its
+homes have been pivots. No bucket is cut off and no pair is judged by an estimate.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +46,10 @@ PERCENT = 75
 SLOTS = 127
 ROWS = 4
 BANDS = 31
+#: Ratio of the sizes that share a bucket.
+SIZE_STEP = 1.05
+#: A round has so many times the pivots of those before it.
+PIVOTS = 8
 #: Members of one pivot that are compared in one task.
 MEMBERS = 500
 
@@ -147,6 +159,67 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return order.select("p", "m", "text").mapInArrow(_compare, "p long, m long").distinct()
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        keys, bounds = shingle_sets(words_of(batch.column("text"), SPACED, lower=True))
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys.astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), lists], names=["doc_id", "n", "keys"])
+
+
+def _rare_buckets(texts: DataFrame) -> DataFrame:
+    """``key, doc_id, n, at, home``: documents under those rare shingles, and sizes of partners, of which a similar pair must share one.
+
+    ``at`` is the shingle's place in the document's order, from 0.
+    """
+    each = texts.mapInArrow(_sets, "doc_id long, n long, keys array<long>").select("doc_id", "n", F.explode("keys").alias("key"))
+    common = each.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    held = each.join(common, "key")
+    own = Window.partitionBy("doc_id")
+    held = held.withColumns({"place": F.row_number().over(own.orderBy("holders", "key")), "held": F.count(F.lit(1)).over(own)})
+    held = held.withColumn("at", F.col("n") - F.col("held") + F.col("place") - 1)  # shingles that nobody else has come before all others
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    most = F.least(F.col("n"), F.floor((F.col("n") - F.col("at")) * (100 + PERCENT) / PERCENT) - F.col("n"))
+    held = held.select("key", "doc_id", "n", "at", least.alias("least"), most.alias("most")).where("most >= least")
+    size = lambda c: F.floor(F.log(F.col(c).cast("double")) / math.log(SIZE_STEP)).cast("int")
+    dealt = held.select("*", F.explode(F.sequence(size("least"), size("most"))).alias("size"))
+    home = (F.col("size") == size("n")) & (F.col("most") == F.col("n"))
+    return dealt.select(F.xxhash64("key", "size").alias("key"), "doc_id", "n", "at", home.alias("home"))
+
+
+def _named(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members of those buckets that are not yet in one component, with the ``label`` of theirs."""
+    named = members.join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
+    home = F.max("home") if "home" in members.columns else F.lit(True)  # nobody is compared in a bucket without homes
+    still = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), home.alias("any")).where("low != high and any").select("key")
+    return named.join(still, "key", "left_semi")
+
+
+def _close(members: DataFrame, texts: DataFrame, links: DataFrame, groups: DataFrame, checked: DataFrame) -> DataFrame:
+    """Components after comparing, in each bucket, all homes with those of other components that a similar pair could be made of."""
+    ranked = _named(members, groups).selectExpr("*", "case when home then row_number() over (partition by key order by home desc, doc_id) end as turn")
+    named = stash(ranked, "open")
+    last = named.agg(F.max("turn")).first()[0] or 0
+    done = 0  # homes of each bucket that have been its pivots
+    while done < last:
+        upto = PIVOTS * done + 1
+        pivots = named.where(F.col("turn").between(done + 1, upto)).select("key", *[F.col(c).alias(f"p_{c}") for c in ("doc_id", "label", "n", "at")])
+        needed = PERCENT * (F.col("n") + F.col("p_n"))
+        room = (100 + PERCENT) * F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at"))
+        more = named.join(pivots, "key").where((F.col("label") != F.col("p_label")) & (F.col("n") >= F.col("p_n")) & (room >= needed))
+        more = more.select(F.least("p_doc_id", "doc_id").alias("p"), F.greatest("p_doc_id", "doc_id").alias("m")).distinct()
+        more = stash(more.join(checked, ["p", "m"], "left_anti"), "pairs")
+        if more.take(1):
+            checked = checked.union(more)
+            found = stash(_verified(more, texts), "links")
+            if found.take(1):
+                links = links.union(found)
+                groups = components(links, "p", "m")
+                if upto < last:
+                    named = stash(_named(named.drop("label"), groups), "open")
+        done = upto
+    return groups
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text)``.
 
@@ -172,31 +245,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stash(members.where("doc_id != p").select("p", F.col("doc_id").alias("m")).distinct(), "pairs")
     links = stash(_verified(pairs, texts), "links")
     groups = components(links, "p", "m")
-    done = 1  # members of each bucket that have been its pivots
-    checked = pairs
-    members = members.where("size > 2").select("key", "doc_id")
-    ranked = False
-    while True:
-        named = members.join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
-        still = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        named = named.join(still, "key", "left_semi")
-        if not ranked:
-            named = named.selectExpr("*", "row_number() over (partition by key order by doc_id) - 1 as place")
-            ranked = True
-        named = stash(named, "open")
-        last = named.agg(F.max("place")).first()[0]
-        if last is None or last <= done:
-            break
-        pivots = named.where(F.col("place").between(done, 2 * done)).select("key", F.col("doc_id").alias("p"), F.col("label").alias("p_label"), F.col("place").alias("p_place"))
-        more = named.join(pivots, "key").where("place > p_place and label != p_label").select("p", F.col("doc_id").alias("m")).distinct()
-        more = stash(more.join(checked, ["p", "m"], "left_anti"), "pairs")
-        found = stash(_verified(more, texts), "links")
-        if found.take(1):
-            links = links.union(found)
-            groups = components(links, "p", "m")
-        checked = checked.union(more)
-        members = named.select("key", "doc_id", "place")
-        done = 2 * done + 1
+    rest = _named(members.where("size > 2").select("key", "doc_id"), groups).select("doc_id").distinct()
+    rest = stash(texts.join(rest, "doc_id", "left_semi"), "rest")
+    if rest.take(1):
+        groups = _close(_rare_buckets(rest), rest, links, groups, pairs)
     grouped = classes.join(groups, F.col("rep") == F.col("node"), "left").select(*[F.col(c).alias(f"r_{c}") for c in digest], F.coalesce("component", "rep").alias("component"))
     same = (F.col("d1") == F.col("r_d1")) & (F.col("d2") == F.col("r_d2")) & (F.col("n_shingles") == F.col("r_n_shingles"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -376,11 +376,12 @@ def test_near_duplicates_in_crowded_buckets(spark):
     assert {x.doc_id: x.component_id for x in out} == group
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     chain = [(i, i + 1) for i in range(50)] + [(100, 103), (103, 101), (7, 7), (200, 100)]
-    out = {r.node: r.component for r in components(spark.createDataFrame(chain, "x long, y long"), "x", "y").collect()}
+    out = {r.node: r.component for r in components(spark.createDataFrame(chain, "x long, y long"), "x", "y", few).collect()}
     assert out == {i: 0 for i in range(51)} | {100: 100, 101: 100, 103: 100, 200: 100}
-    assert components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+    assert components(spark.createDataFrame([], "x long, y long"), "x", "y", few).count() == 0
 
 
 def test_superminhash_estimates_similarity():
