@@ -52,6 +52,8 @@ SIZE_STEP = 1.05
 PIVOTS = 8
 #: Members of one pivot that are compared in one task.
 MEMBERS = 500
+#: Members of one bucket that are put in order in one task.
+DEALT = 20_000
 
 SKETCH = [
     T.StructField("n_shingles", T.LongType()),
@@ -187,17 +189,20 @@ def _rare_buckets(texts: DataFrame) -> DataFrame:
 
 
 def _named(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """The members of those buckets that are not yet in one component, with the ``label`` of theirs."""
-    named = members.join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
+    """The members of those buckets that are not yet in one component, with the ``label`` of theirs and the ``parts`` that their bucket is dealt into."""
+    named = members.drop("label", "parts").join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
     home = F.max("home") if "home" in members.columns else F.lit(True)  # nobody is compared in a bucket without homes
-    still = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), home.alias("any")).where("low != high and any").select("key")
-    return named.join(still, "key", "left_semi")
+    still = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), home.alias("any"), F.ceil(F.count(F.lit(1)) / DEALT).alias("parts"))
+    return named.join(still.where("low != high and any").select("key", "parts"), "key")
 
 
 def _close(members: DataFrame, texts: DataFrame, links: DataFrame, groups: DataFrame, checked: DataFrame) -> DataFrame:
     """Components after comparing, in each bucket, all homes with those of other components that a similar pair could be made of."""
-    ranked = _named(members, groups).selectExpr("*", "case when home then row_number() over (partition by key order by home desc, doc_id) end as turn")
-    named = stash(ranked, "open")
+    dealt = _named(members, groups).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).repartition("key", "part")
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.desc("home"), "doc_id"))
+    # The parts of a bucket take turns in turn, so that none of its turns comes twice though no task orders the whole bucket.
+    turn = F.when(F.col("home"), (place - 1) * F.col("parts") + F.col("part") + 1)
+    named = stash(dealt.withColumn("turn", turn).drop("part", "parts"), "open")
     last = named.agg(F.max("turn")).first()[0] or 0
     done = 0  # homes of each bucket that have been its pivots
     while done < last:
@@ -215,7 +220,7 @@ def _close(members: DataFrame, texts: DataFrame, links: DataFrame, groups: DataF
                 links = links.union(found)
                 groups = components(links, "p", "m")
                 if upto < last:
-                    named = stash(_named(named.drop("label"), groups), "open")
+                    named = stash(_named(named, groups), "open")
         done = upto
     return groups
 

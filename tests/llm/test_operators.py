@@ -361,8 +361,10 @@ def test_near_duplicates(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out)
 
 
-def test_near_duplicates_in_crowded_buckets(spark):
-    """A chain of versions and a large group whose members are not all linked to its least."""
+@pytest.mark.parametrize("dealt", [neardup.DEALT, 7])
+def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, dealt):
+    """A chain of versions and a large group whose members are not all linked to its least, in one part and in several."""
+    monkeypatch.setattr(neardup, "DEALT", dealt)
     r = random.Random(5)
     rows, words = [], [f"w{r.randrange(10**6)}" for _ in range(80)]
     for i in range(120):
