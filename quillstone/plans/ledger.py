@@ -367,3 +367,22 @@ def index_publish(spark: SparkSession, sf: str) -> DataFrame:
 def model_run_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Runs whose output doesn't fit their outcome."""
     return table(spark, sf, "events").where(F.col("event_type").isin("error", "purchase")).select("event_id", "user_id", ((F.col("event_type") != "error") & (F.col("value") >= 0)).alias("shaped"))
+
+
+@query("SELECT conv_id, count(*) AS n_items, array_to_string(list(role ORDER BY turn, role)[1:2], ',') AS first_two, list_contains(list(role), 'system') AS has_system FROM conversations GROUP BY conv_id")
+def array_ops(spark: SparkSession, sf: str) -> DataFrame:
+    """Size, head and membership of each conversation's roles."""
+    roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_items"), roles.alias("roles"))
+    return rows.select("conv_id", "n_items", F.array_join(F.slice("roles", 1, 2), ",").alias("first_two"), F.array_contains("roles", "system").alias("has_system"))
+
+
+@query(rf"""WITH l AS ({_LINES}), u AS (SELECT DISTINCT doc_id, order_index, unnest(regexp_extract_all(line, '[A-Z]{{2,}}')) AS acronym FROM l)
+SELECT u.doc_id, u.order_index, u.acronym, max(d.order_index) AS defined_at FROM u JOIN l d ON d.doc_id = u.doc_id AND d.order_index < u.order_index AND contains(d.line, '(' || u.acronym || ')') GROUP BY 1, 2, 3""")
+def acronym_definitions(spark: SparkSession, sf: str) -> DataFrame:
+    """For each acronym in a line, the latest earlier line of the document that defines it in parentheses."""
+    found = F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Z]{2,}"), F.lit(0)))).alias("acronym")
+    uses = lines(spark, sf).select("doc_id", "order_index", "line", found)
+    defines = F.when(F.col("line").contains(F.concat(F.lit("("), "acronym", F.lit(")"))), F.col("order_index"))
+    before = Window.partitionBy("doc_id", "acronym").orderBy("order_index").rowsBetween(Window.unboundedPreceding, -1)
+    return uses.withColumn("defined_at", F.max(defines).over(before)).where("defined_at is not null").select("doc_id", "order_index", "acronym", "defined_at")
