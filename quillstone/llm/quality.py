@@ -4,7 +4,9 @@ Fixed rules first (too few words, too much repetition). Then four ratios of
 each text are compared with fences taken from quantile sketches: one KLL
 sketch per (language, source) and ratio, merged upward to the language and to
 the whole corpus. A group with fewer texts than ``min_rows`` takes the fences
-of its language, and a language with fewer those of the corpus. The sketches are
+of its language, and a language with fewer those of the corpus. Fences stand off the
+median by spreads between inner quantiles, which up to a quarter of junk does not
+reach; a group's spread counts for at most ``POOL`` times its language's. The sketches are
 mergeable, so a source that holds a third of the corpus is summarised in every
 task before anything is shuffled, and the thresholds are a few numbers a group.
 """
@@ -28,23 +30,26 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 
-#: Ratio -> (numerator, least spread that its upper quantiles are taken to have).
+#: Ratio -> (numerator, denominator, least spread that its inner quantiles are taken to have).
 RATIOS = {
-    "word_length": ("word_chars", 2.0),
-    "symbol_ratio": ("n_symbols", 0.1),
-    "dup_line_ratio": ("n_dup_lines", 0.1),
-    "repeat_ratio": ("n_repeat_words", 0.15),
+    "word_length": ("word_chars", "n_words", 0.2),
+    "symbol_ratio": ("n_symbols", "n_words", 0.025),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.06),
+    "repeat_ratio": ("n_repeat_words", "n_words", 0.045),
 }
-#: The quantile from which fences start, how many spreads they stand off, and rows for own fences.
-FENCE_QUANTILE = 0.95
-FENCE_SPREADS = 3.0
+#: The quantile whose distance to the median is a spread, how many spreads fences stand off the median, a
+#: group's greatest spread in those of its language, and rows for own fences.
+FENCE_QUANTILE = 0.7
+FENCE_SPREADS = 6.0
+POOL = 2.0
 MIN_ROWS = 100
 SKETCH_K = 200
 
-FEATURES = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
+FEATURES = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")])
 
 
-def _dup_lines(raw: bytes) -> int:
+def _lines(raw: bytes) -> tuple[int, int]:
+    """Lines that are not blank, and those of them that were there before."""
     seen: set[bytes] = set()
     n = 0
     for line in raw.split(b"\n"):
@@ -52,7 +57,7 @@ def _dup_lines(raw: bytes) -> int:
             n += 1
         elif line.strip():
             seen.add(line)
-    return n
+    return len(seen) + n, n
 
 
 def _repeat_words(words) -> np.ndarray:
@@ -73,15 +78,15 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offsets = string_buffer(text)
         in_word = SPACED[raw] & ((raw & 0xC0) != 0x80)
         whole = raw.tobytes()
-        lines = np.array([_dup_lines(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], dtype=np.int64)
-        columns = [words.counts, per_doc(in_word, offsets), per_doc(SYMBOLS[raw], offsets), lines, _repeat_words(words)]
+        lines = np.array([_lines(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], dtype=np.int64).reshape(-1, 2)
+        columns = [words.counts, per_doc(in_word, offsets), per_doc(SYMBOLS[raw], offsets), lines[:, 1], _repeat_words(words), lines[:, 0]]
         kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "__text"]
         names = [name for name in batch.schema.names if name != "__text"] + FEATURES.names
         yield pa.RecordBatch.from_arrays(kept + [pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with the five counts of FEATURES of ``text``; null text has no words."""
+    """The columns ``keep`` of ``docs`` with the counts of FEATURES of ``text``; null text has no words."""
     keep = ["doc_id", "lang", "source"] if keep is None else keep
     given = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
     schema = T.StructType([docs.schema[c] for c in keep] + FEATURES.fields)
@@ -93,7 +98,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def _ratios() -> list[Column]:
-    return [(F.col(top) / F.col("n_words")).alias(name) for name, (top, _) in RATIOS.items()]
+    return [F.try_divide(F.col(top), F.col(of)).alias(name) for name, (top, of, _) in RATIOS.items()]
 
 
 def _group(name: str) -> Column:
@@ -116,22 +121,29 @@ def thresholds(features: DataFrame) -> DataFrame:
     )
     language = merged("__lang").select(F.col("__lang"), F.col("__n").alias("__ln"), *[F.col(r).alias(f"l_{r}") for r in RATIOS])
     corpus = merged().select(*[F.col(r).alias(f"c_{r}") for r in RATIOS])
-    pick = lambda r: F.when(F.col("__n") >= MIN_ROWS, F.col(r)).when(F.col("__ln") >= MIN_ROWS, F.col(f"l_{r}")).otherwise(F.col(f"c_{r}"))
-    picked = groups.join(language, "__lang").join(F.broadcast(corpus)).select("__lang", "__source", *[pick(r).alias(r) for r in RATIOS])
+    wide = lambda r: F.when(F.col("__ln") >= MIN_ROWS, F.col(f"l_{r}")).otherwise(F.col(f"c_{r}"))
+    pick = lambda r: F.when(F.col("__n") >= MIN_ROWS, F.col(r)).otherwise(wide(r))
+    picked = groups.join(language, "__lang").join(F.broadcast(corpus)).select(
+        "__lang", "__source", *[pick(r).alias(r) for r in RATIOS], *[wide(r).alias(f"w_{r}") for r in RATIOS]
+    )
     out = [F.col("__lang"), F.col("__source")]
-    for r, (_, spread) in RATIOS.items():
-        at = lambda q, r=r: F.kll_sketch_get_quantile_double(F.col(r), F.lit(q))
-        step = lambda a, b, s=spread: FENCE_SPREADS * F.greatest(a - b, F.lit(s))
-        out.append((at(FENCE_QUANTILE) + step(at(FENCE_QUANTILE), at(0.5))).alias(f"{r}_high"))
-        out.append((at(1 - FENCE_QUANTILE) - step(at(0.5), at(1 - FENCE_QUANTILE))).alias(f"{r}_low"))
+    for r, (_, _, least) in RATIOS.items():
+        at = lambda q, c=r: F.kll_sketch_get_quantile_double(F.col(c), F.lit(q))
+
+        def step(q: float, at=at, r=r, least=least) -> Column:
+            own, language = (F.greatest(F.abs(at(q, c) - at(0.5, c)), F.lit(least)) for c in (r, f"w_{r}"))
+            return FENCE_SPREADS * F.least(own, POOL * language)
+
+        out.append((at(0.5) + step(FENCE_QUANTILE)).alias(f"{r}_high"))
+        out.append((at(0.5) - step(1 - FENCE_QUANTILE)).alias(f"{r}_low"))
     return picked.select(*out)
 
 
 def judge(features: DataFrame, fences: DataFrame) -> DataFrame:
     """``features`` with ``base_failed`` and ``kept``, by a join with the fences of each row's group."""
     inside = F.lit(True)
-    for r, (top, _) in RATIOS.items():
-        ratio = F.try_divide(F.col(top), F.col("n_words"))
+    for r, (top, of, _) in RATIOS.items():
+        ratio = F.try_divide(F.col(top), F.col(of))
         inside = inside & F.coalesce(ratio <= F.col(f"{r}_high"), F.lit(True)) & F.coalesce(ratio >= F.col(f"{r}_low"), F.lit(True))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     joined = features.withColumns({"__lang": _group("lang"), "__source": _group("source")}).join(fences, ["__lang", "__source"], "left")
@@ -139,7 +151,7 @@ def judge(features: DataFrame, fences: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, lang, source)``: the five counts, ``base_failed`` and ``kept``.
+    """One row per row of ``docs(doc_id, text, lang, source)``: the counts of FEATURES, ``base_failed`` and ``kept``.
 
     Null text: no words, so ``base_failed``. Empty and one-word texts likewise.
     Null ``lang`` or ``source``: a group of its own. Repeated rows are judged

@@ -121,6 +121,34 @@ def test_quality_fences_reject_outliers(spark):
 # --- personal data -----------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("share", [0.05, 0.15, 0.25])
+def test_quality_fences_stand_where_junk_is_common(spark, share):
+    r = random.Random(2)
+    word = lambda: f"word{r.randrange(500)}"
+    n = int(400 * share)
+    clean = lambda: "\n".join(" ".join(word() for _ in range(12)) for _ in range(10))
+    symbols = lambda: " ".join(word() + r.choice(["", "***", "|"]) for _ in range(120))
+    long = lambda: " ".join(word() + "x" * 4 for _ in range(120))
+
+    def lines():
+        once = [" ".join(word() for _ in range(6)) for _ in range(40)]
+        return "\n".join(line for _ in range(2) for line in r.sample(once, 40))
+
+    def repeats():
+        part = [word() for _ in range(16)]
+        return " ".join(part + [word() for _ in range(36)] + part + [word() for _ in range(46)])
+
+    def table(junk):
+        rows = [(i, junk() if i < n else clean(), "en", "a") for i in range(400)]
+        return {x.doc_id: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+    for junk in (symbols, long, lines, repeats):
+        out = table(junk)
+        assert not any(x.base_failed for x in out.values())
+        assert not any(out[i].kept for i in range(n)), junk
+        assert all(out[i].kept for i in range(n, 400)), junk
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
