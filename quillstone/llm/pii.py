@@ -1,13 +1,15 @@
 """Personal data: fixed patterns, and terms that give a protected entity away.
 
-An entity is a value that a pattern finds (an e-mail address, say). A term near
-its mentions discloses it as far as the two occur together more than chance
+An entity is a value that a pattern finds (an e-mail address, say). A term of
+the same documents discloses it as far as the two occur together more than chance
 would have it: with N documents and their counts n, the term tells
 ``PMI = log2(n(e, t) N / (n(e) n(t)))`` of the entity's own information
-``IC = log2(N / n(e))``. Terms that tell ``GENERALISE`` of it or more are
-generalised to a class, those that tell ``REMOVE`` or more are removed.
-Co-occurrence in fewer than ``SUPPORT`` different contexts is no evidence; copies
-of a document repeat one context. Counts cover all documents.
+``IC = log2(N / n(e))``. That share is weighed by its evidence: each context after
+the first is worth PMI bits, and B bits weigh ``B / (B + DOUBT)``. Copies of a document
+repeat one context, and a single context weighs nothing, as it fits each word of its document
+alike. Terms that tell ``GENERALISE`` or more are generalised to a class, those
+that tell ``REMOVE`` or more are removed, wherever they stand in any document.
+Counts cover all documents and whole texts.
 
 All of it is built-in functions: no Python runs on the executors.
 """
@@ -29,9 +31,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]{3,}+"
-#: Code points on each side of an entity in which terms are looked for.
+#: Code points on each side of an entity that tell its context from others.
 REACH = 60
-SUPPORT = 3
+#: Bits of evidence that weigh a half.
+DOUBT = 1.0
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -60,37 +63,48 @@ def _entity(s: Column) -> Column:
     return F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"])))
 
 
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
 def _found(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id, row, base`` (all base spans, by kind and place) and ``near`` (terms around each)."""
+    """Per row: ``doc_id, row, base`` (all base spans, by kind and place), ``entities`` with their contexts, and, where there are any, the ``terms`` outside of them."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     rows = rows.select("doc_id", "row", "text", F.concat(*[tagged(F.col(k), k) for k in KINDS]).alias("base"))
 
     def around(s: Column) -> Column:
         lead = F.greatest(s["start"] - REACH, F.lit(0))
-        # The character before the window tells whether its first word is whole.
-        shown = F.greatest(lead - 1, F.lit(0))
-        before, after = F.substring(F.col("text"), shown + 1, s["start"] - shown), F.substring(F.col("text"), s["end"] + 1, F.lit(REACH))
-        shift = lambda found, by: F.transform(found, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + by).alias("start"), (t["end"] + by).alias("end")))
-        inside = F.filter(F.concat(shift(matches(before, TERM), shown), shift(matches(after, TERM), s["end"])), lambda t: (t["start"] >= lead) & ~overlaps(t, F.col("base")))
-        return F.struct(_entity(s).alias("entity"), F.xxhash64(before, after).alias("context"), inside.alias("terms"))
-
-    return rows.select("doc_id", "row", "base", F.transform("base", around).alias("near"))
-
-
-def _disclosing(docs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """``entity, term, share``: terms that disclose at least GENERALISE of an entity's information."""
-    together = mentions.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("k")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-    together = together.where(F.col("contexts") >= SUPPORT).select("entity", "term")
-    per_pair = mentions.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"))
-    per_entity = mentions.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,}+"), F.lit(0)))).alias("word"))
-    per_term = words.groupBy("word").agg(F.count(F.lit(1)).alias("n_term"))
-    size = docs.agg(F.count(F.lit(1)).alias("n"))
-    counted = together.join(per_pair, ["entity", "term"]).join(per_entity, "entity").join(per_term, F.col("term") == F.col("word")).join(F.broadcast(size))
+        before, after = F.substring(F.col("text"), lead + 1, s["start"] - lead), F.substring(F.col("text"), s["end"] + 1, F.lit(REACH))
+        return F.struct(_entity(s).alias("entity"), F.xxhash64(before, after).alias("context"))
+
+    terms = F.when(F.size("base") > 0, _terms(replaced(F.col("text"), F.col("base"), lambda s: F.lit(" "))))
+    return rows.select("doc_id", "row", "base", F.transform("base", around).alias("entities"), terms.alias("terms"))
+
+
+def _disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``term, share``: terms that disclose at least GENERALISE of some entity's information, and the most that they do."""
+    held = found.where(F.size("entities") > 0).select("row", "entities", "terms")
+    # An entity counts once a row, with one of its contexts; repeated rows count as often as they are there.
+    ordered = held.select("row", F.array_sort("entities").alias("es"))
+    once = F.filter("es", lambda e, i: (i == 0) | (F.get("es", i - 1)["entity"] != e["entity"]))
+    mentions = ordered.select("row", F.explode(once).alias("e")).groupBy("row", "e.entity").agg(F.min("e.context").alias("context"), F.count(F.lit(1)).alias("copies"))
+    mentions = stash(mentions, "mentions")
+    per_entity = mentions.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    per_term = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    size = docs.agg(F.count(F.lit(1)).alias("n")).join(per_entity.agg(F.max("n_entity").alias("most")))
+    # As n(e, t) <= n(e), a share of GENERALISE takes n(t) <= N (n(e) / N) ** GENERALISE; more common terms need no pairs.
+    limit = 1.000001 * F.col("n") * F.pow(F.col("most") / F.col("n"), F.lit(GENERALISE))
+    rare = per_term.join(F.broadcast(size)).where(F.col("n_term") <= limit).select("term", "n_term")
+    terms = held.dropDuplicates(["row"]).select("row", F.explode("terms").alias("term")).join(rare, "term")
+    pairs = terms.join(mentions, "row").groupBy("entity", "term", "context").agg(F.sum("copies").alias("k"), F.first("n_term").alias("n_term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("k").alias("n_pair"), F.count(F.lit(1)).alias("contexts"), F.first("n_term").alias("n_term"))
+    counted = pairs.where(F.col("contexts") > 1).join(per_entity, "entity").join(F.broadcast(size))
     own = F.log2(F.col("n") / F.col("n_entity"))
     told = F.log2(F.col("n_pair") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
-    return counted.where(own > 0).select("entity", "term", (told / own).alias("share")).where(F.col("share") >= GENERALISE)
+    bits = (F.col("contexts") - 1) * told
+    weighed = counted.where((own > 0) & (told > 0)).select("term", (told / own * bits / (bits + DOUBT)).alias("share"))
+    return weighed.where(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -105,15 +119,18 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = stash(_found(given), "personal")
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("e")).select("row", "e.entity", "e.context", F.explode("e.terms").alias("t"))
-    mentions = near.select("row", "entity", "context", "t.term", "t.start", "t.end")
-    told = _disclosing(given, mentions)
-    span = F.struct(F.col("start"), F.col("end"), F.col("term").alias("value"), F.col("share"))
-    flagged = mentions.join(told, ["entity", "term"]).groupBy(F.col("row").alias("t_row"), "start", "end", "term").agg(F.max("share").alias("share"))
-    flagged = flagged.groupBy("t_row").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    told = stash(_disclosing(given, found), "disclosing")
+    texts = given.select(F.xxhash64("doc_id", "text").alias("t_row"), "text")
+    words = texts.select("t_row", F.explode(_terms(F.col("text"))).alias("word"))
+    hits = words.join(told, F.col("word") == F.col("term")).groupBy("t_row").agg(F.collect_set(F.struct("term", "share")).alias("told"))
+    hits = stash(hits, "told").withColumnRenamed("t_row", "h_row")
+    at = texts.join(hits, F.col("t_row") == F.col("h_row")).dropDuplicates(["t_row"])
+    share = lambda v: F.try_element_at(F.col("told"), F.lower(v))
+    at = at.select("t_row", "text", F.map_from_entries("told").alias("told")).select("t_row", matches(F.col("text"), TERM, lambda v: share(v).isNotNull()).alias("at"), "told")
+    flagged = at.select("t_row", F.transform("at", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value"), share(t["value"]).alias("share"))).alias("told"))
     spans = found.select(F.col("row"), "base", F.col("doc_id").alias("f_doc"))
     nothing = F.array().cast("array<struct<start:int,end:int,value:string,share:double>>")
-    spans = spans.join(flagged, F.col("row") == F.col("t_row"), "left").select("f_doc", "row", "base", F.coalesce("terms", nothing).alias("terms"))
+    spans = spans.join(flagged, F.col("row") == F.col("t_row"), "left").select("f_doc", "row", "base", F.coalesce(F.filter("told", lambda t: ~overlaps(t, F.col("base"))), nothing).alias("terms"))
     return spans
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, wanted=None) -> Column:
     """``array<struct<start, end, value>>`` of the leftmost non-overlapping matches; code points, end exclusive.
 
     The matches and the gaps between them alternate, so their lengths add up to
-    the places. The pattern must not match the empty string. Null text: none.
+    the places. The pattern must not match the empty string. Null text: none. With
+    ``wanted``, only the matches whose value it says true of.
     """
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
@@ -21,7 +22,8 @@ def matches(text: Column, pattern: str) -> Column:
         a = done["at"] + F.length(x["gap"])
         b = a + F.coalesce(F.length(x["m"]), F.lit(0))
         one = F.array(F.struct(a.alias("start"), b.alias("end"), x["m"].alias("value")))
-        return F.struct(b.alias("at"), F.when(x["m"].isNull(), done["found"]).otherwise(F.concat(done["found"], one)).alias("found"))
+        skip = x["m"].isNull() if wanted is None else x["m"].isNull() | ~wanted(x["m"])
+        return F.struct(b.alias("at"), F.when(skip, done["found"]).otherwise(F.concat(done["found"], one)).alias("found"))
 
     return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["found"]).otherwise(F.array().cast(SPAN))
 

@@ -216,6 +216,21 @@ def test_pii_disclosing_terms(spark):
     assert all("Zorblax" not in t and "ann@" not in t for t in out.values()) and "[EMAIL]" in out[300] and out[5] == texts[5]
 
 
+def test_pii_disclosing_terms_wherever_they_stand(spark):
+    r = random.Random(4)
+    filler = lambda n: " ".join(f"word{r.randrange(40)}" for _ in range(n))
+    rows = [(i, filler(30)) for i in range(200)] + [(300 + i, f"Zorblax {filler(60)} ann@mail.org {filler(20)} zorblax {filler(9)} ann@mail.org") for i in range(5)]
+    rows += [(400 + i, f"{filler(5)} bob@mail.org {filler(40)} Quintle {filler(3)}") for i in range(2)]
+    rows += [(500, f"once {filler(5)} eve@mail.org {filler(5)}"), (600, f"{filler(50)} Zorblax {filler(5)}"), (600, f"{filler(50)} Zorblax {filler(5)}")]
+    docs = spark.createDataFrame(rows + rows[-1:], "doc_id long, text string")
+    spans = pii.sanitise(docs)
+    for x in spans.select("*", F.col("terms.value").alias("values")).collect():
+        want = ["zorblax"] * 2 if 300 <= x.f_doc < 305 else ["quintle"] if x.f_doc in (400, 401) else ["zorblax"] if x.f_doc == 600 else []
+        assert x["values"] == want, x.f_doc
+    assert spans.count() == len(rows) + 1
+    assert not any("zorblax" in x.text.lower() or "Quintle" in x.text for x in pii.with_text(docs, spans).collect())
+
+
 # --- packing and token counts --------------------------------------------------------------------------
 
 
