@@ -88,6 +88,7 @@ def loss_text(turns: Column) -> Column:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Finished turns as an event log: each row opens a message; a row without a turn comes before turn 0."""
+    """Finished turns as an event log: each row opens a message of its own, numbered by turn, role and text; rows without a turn come last."""
     none = F.lit(None).cast("long").alias("target")
-    return conversations.select("conv_id", F.coalesce("turn", F.lit(-1)).alias("seq"), F.lit("message").alias("kind"), "role", none, "text")
+    place = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit("")))
+    return conversations.select("conv_id", F.row_number().over(place).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", none, "text")

@@ -339,6 +339,19 @@ def test_chat_query(spark):
     same([(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in out], [(c, len(t), sha("".join(f"{r}\n{x}\n" for r, x in t)), len(loss(t)), sha(loss(t))) for c, t in want.items()])
 
 
+def test_chat_query_keeps_tied_repeated_and_unnumbered_rows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, 0, "user", "b"), (1, 0, "assistant", "a"), (1, 1, "user", "x"), (1, 1, "user", "x"), (1, None, "user", "p"), (1, None, "assistant", "q"), (1, None, "user", "p")]
+    rows += [(2, None, "user", None), (2, 0, None, "y"), (2, 0, "user", "z"), (None, None, "assistant", "u"), (None, None, "assistant", "v")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = Q.op4_chat_formatting(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(f"SELECT {', '.join(out.columns)} FROM ({Q.ORACLE_SQL['op4_chat_formatting']})").fetchall()
+    same([tuple(r) for r in out.collect()], want)
+    assert {r[0]: r[1] for r in want} == {1: 7, 2: 3, None: 2, -7: 2}
+
+
 # --- decontamination ------------------------------------------------------------------------------------
 
 
