@@ -58,7 +58,7 @@ def joined_names(names: Column) -> Column:
 def sentence(text: Column) -> Column:
     """Squeezed, with a capital first and a full stop last."""
     t = squeeze(text)
-    t = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1_000_000))
+    t = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))
     return F.when(t == "", "").when(t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
 
 
