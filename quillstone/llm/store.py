@@ -2,29 +2,71 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders that tables are written to, the innermost last; each entry is of one session's application.
+_open: list[str] = []
+_leaving: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, local sessions get a temporary folder; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "quillstone-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_at_exit(spark: SparkSession, folder: str) -> None:
+    """Remove an application's folder when the driver ends, if its session is still there to do it."""
+    if folder in _leaving:
+        return
+    _leaving.add(folder)
+
+    def clear() -> None:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, folder)
+
+    atexit.register(clear)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stashed inside are deleted at its end. What is still needed must have been written elsewhere by then."""
+    folder = f"{shared_folder(spark)}/quillstone/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _open.append(folder)
+    try:
+        yield
+    finally:
+        _open.remove(folder)
+        _delete(spark, folder)
+
+
+def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The copy outlives any executor, so later stages restart from it and not
-    from the inputs. An empty ``df`` keeps its schema.
+    from the inputs. It is deleted with the ``scratch`` around it, or (outside of one, or with
+    ``keep``) when the driver ends. An empty ``df`` keeps its schema.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_folder(spark)}/quillstone/{spark.sparkContext.applicationId}"
+    _clear_at_exit(spark, own)
+    path = f"{own if keep or not _open else _open[-1]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
