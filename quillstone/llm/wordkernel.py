@@ -17,8 +17,6 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 
 U64 = np.uint64
-BASE = U64(0x9E3779B97F4A7C15)
-BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 GRAM = U64(0xD1342543DE82EF95)
 SEGMENT = 1 << 20
 SLICE_BYTES = 4 << 20
@@ -33,21 +31,6 @@ ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = Tr
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
-    """``base ** i`` for i below n, kept for the next call."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        have = np.full(max(n, SEGMENT + 1), base, dtype=U64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= SEGMENT + 1:
-            _powers[name] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every input bit."""
     x = x ^ (x >> U64(32))
@@ -83,16 +66,17 @@ class Words:
         """The document of each word, as a position in the column."""
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the k words from each word on, and which of them stay inside their document."""
+    def grams(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the k words from each word on, and which of them stay inside their document. Other salts give independent hashes."""
         n = len(self.hash)
         room = np.repeat(self.bounds[1:], self.counts) - np.arange(n)
         if n < k:
             return np.zeros(n, dtype=U64), np.zeros(n, dtype=bool)
-        g = self.hash[: n - k + 1].copy()
+        own = mix(self.hash ^ U64(salt)) if salt else self.hash
+        g = own[: n - k + 1].copy()
         for j in range(1, k):
             g *= GRAM
-            g += self.hash[j : n - k + 1 + j]
+            g += own[j : n - k + 1 + j]
         g = mix(g + U64(k))
         return np.concatenate([g, np.zeros(k - 1, dtype=U64)]), room >= k
 
@@ -119,19 +103,47 @@ def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+#: Values of the bytes at the first places of a word; those further on are worked out.
+_NEAR = 64
+_VALUES = mix(np.arange(1, _NEAR * 256 + 1, dtype=U64) * GRAM)
+
+
 def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hashes from prefix sums, over segments that begin at a word."""
+    """A sum of mixed (byte, place) values for each word, over segments that begin at a word.
+
+    Each byte is mixed with its place before it is added, so unlike a polynomial no
+    pattern of swapped bytes cancels out by its form.
+    """
     out = np.empty(len(start), dtype=U64)
     a = 0
     while a < len(start):
         lo = start[a]
         b = max(a + 1, int(np.searchsorted(end, lo + SEGMENT, side="right")))
         hi = end[b - 1]
-        sums = np.zeros(hi - lo + 1, dtype=U64)
-        np.cumsum((data[lo:hi].astype(U64) + U64(1)) * _power(BASE, "base", hi - lo), out=sums[1:])
-        out[a:b] = (sums[end[a:b] - lo] - sums[start[a:b] - lo]) * _power(BASE_INVERSE, "inverse", hi - lo)[start[a:b] - lo]
+        for from_ in range(lo, hi, SEGMENT) if b == a + 1 else (lo,):  # a longer word comes in parts
+            to = min(hi, from_ + SEGMENT) if b == a + 1 else hi
+            n = to - from_
+            first = np.zeros(n, dtype=np.int64)
+            if b > a + 1:
+                first[start[a:b] - lo] = start[a:b] - lo
+                np.maximum.accumulate(first, out=first)
+                place = np.arange(n) - first
+            else:
+                place = np.arange(from_ - lo, to - lo)
+            code = (place << 8) | data[from_:to]
+            near = place < _NEAR
+            value = _VALUES[np.where(near, code, 0)]
+            if not near.all():
+                far = ~near
+                value[far] = mix((code[far] + 1).astype(U64) * GRAM)
+            if b == a + 1:
+                out[a : a + 1] = (out[a : a + 1] if from_ > lo else 0) + value.sum(dtype=U64, keepdims=True)
+            else:
+                sums = np.zeros(n + 1, dtype=U64)
+                np.cumsum(value, out=sums[1:])
+                out[a:b] = sums[end[a:b] - lo] - sums[start[a:b] - lo]
         a = b
-    return mix(out)
+    return mix(out + (end - start).astype(U64) * GRAM)
 
 
 def words_of(col: pa.Array, inside: np.ndarray, lower: bool = False) -> Words:
