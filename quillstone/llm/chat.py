@@ -14,7 +14,8 @@ aggregate per message and conversation; no Python runs on the executors.
 
 A turn is rendered as ``<s>[role]\\n`` + text + ``</s>\\n``. Inside texts the
 backslash, ``<`` and ``[`` are escaped, so no control string of this template, or of
-any that opens with these brackets, can come out of a text, and reading back is exact.
+any that opens with these brackets, can come out of a text, and reading back is exact. Roles
+have their closing brackets escaped as well.
 """
 
 from __future__ import annotations
@@ -29,9 +30,13 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\l")), F.lit("["), F.lit("\\b"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("]"), F.lit("\\e"))
+
+
 def unescape(text: Column) -> Column:
     """Doubled backslashes are split off first; what is left has single ones alone."""
-    plain = lambda t: F.replace(F.replace(t, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("["))
+    plain = lambda t: F.replace(F.replace(F.replace(t, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("[")), F.lit("\\e"), F.lit("]"))
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
 
 
@@ -66,7 +71,7 @@ def render(messages: DataFrame) -> DataFrame:
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    one = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit("]\n"), escape(t["text"]), F.lit(CLOSE))
+    one = lambda t: F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit("]\n"), escape(t["text"]), F.lit(CLOSE))
     return grouped.select("conv_id", F.array_join(F.transform("turns", one), "").alias("formatted"))
 
 
@@ -87,8 +92,29 @@ def loss_text(turns: Column) -> Column:
     return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
 
 
+#: Events of one turn: the first names its message.
+STEPS = 8
+
+
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Finished turns as an event log: each row opens a message of its own, numbered by turn, role and text; rows without a turn come last."""
-    none = F.lit(None).cast("long").alias("target")
-    place = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit("")))
-    return conversations.select("conv_id", F.row_number().over(place).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", none, "text")
+    """Turns as the event log that a chat service would have kept of them; folding it gives the turns back.
+
+    Each row opens a message of its own, numbered by turn, role and text; rows without a turn come last. An
+    assistant's text was streamed in two deltas, regenerated, and streamed again; a user's
+    was sent without its second half and edited; other texts came whole.
+    """
+    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    place = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), role, text)
+    rows = conversations.select("conv_id", (F.row_number().over(place).cast("long") * STEPS).alias("first"), "role", text.alias("text"))
+    half = F.ceil(F.length("text") / 2).cast("int")
+    head, tail = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+
+    def log(*steps: tuple[str, Column]) -> Column:
+        one = lambda i, kind, said: F.struct((F.col("first") + i).alias("seq"), F.lit(kind).alias("kind"), F.when(F.lit(kind == "message"), F.col("role")).alias("role"), F.when(F.lit(kind != "message"), F.col("first")).alias("target"), said.alias("text"))
+        return F.array(*[one(i, kind, said) for i, (kind, said) in enumerate(steps)])
+
+    none = F.lit("")
+    streamed = log(("message", none), ("delta", tail), ("delta", head), ("regenerate", none), ("delta", head), ("delta", tail))
+    edited = log(("message", head), ("edit", F.col("text")))
+    events = F.when(F.col("role") == "assistant", streamed).when(F.col("role") == "user", edited).otherwise(log(("message", F.col("text"))))
+    return rows.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.kind", "e.role", "e.target", "e.text")

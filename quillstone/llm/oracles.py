@@ -66,7 +66,7 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(tex
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
              coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-             sum(5 + length(role) + 2 + length(replace(replace(replace(text, '\', '\\'), '<', '\l'), '[', '\b')) + 4) AS chars
+             sum(5 + length(replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '[', '\b'), ']', '\e')) + 2 + length(replace(replace(replace(text, '\', '\\'), '<', '\l'), '[', '\b')) + 4) AS chars
       FROM c GROUP BY conv_id)
 SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
        sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
