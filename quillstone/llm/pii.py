@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.spans import listed, matches, overlaps, replaced, tagged
+from quillstone.llm.spans import given, listed, matches, replaced, tagged
 from quillstone.llm.store import stash
 
 # The patterns that are asked for. A run is entered only at its
@@ -30,7 +30,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]{3,}+"
+TERM = r"[\p{L}\p{N}]++"
 #: Code points on each side of an entity that tell its context from others.
 REACH = 60
 #: Bits of evidence that weigh a half.
@@ -67,19 +67,28 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
+def _row(text: Column) -> Column:
+    """The name of a text: all that is found in it depends on it alone."""
+    return F.sha2(text, 256)
+
+
+def _masked(text: Column, base: Column) -> Column:
+    """The text with blanks in place of base spans, so that terms keep their places and overlap none of these."""
+    return replaced(text, base, lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
+
+
 def _found(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id, row, base`` (all base spans, by kind and place), ``entities`` with their contexts, and, where there are any, the ``terms`` outside of them."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
-    rows = rows.select("doc_id", "row", "text", F.concat(*[tagged(F.col(k), k) for k in KINDS]).alias("base"))
+    rows = docs.select("doc_id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    rows = rows.select("doc_id", "text", F.concat(*[tagged(F.col(k), k) for k in KINDS]).alias("base"))
 
     def around(s: Column) -> Column:
         lead = F.greatest(s["start"] - REACH, F.lit(0))
         before, after = F.substring(F.col("text"), lead + 1, s["start"] - lead), F.substring(F.col("text"), s["end"] + 1, F.lit(REACH))
         return F.struct(_entity(s).alias("entity"), F.xxhash64(before, after).alias("context"))
 
-    terms = F.when(F.size("base") > 0, _terms(replaced(F.col("text"), F.col("base"), lambda s: F.lit(" "))))
-    return rows.select("doc_id", "row", "base", F.transform("base", around).alias("entities"), terms.alias("terms"))
+    terms = F.when(F.size("base") > 0, _terms(_masked(F.col("text"), F.col("base"))))
+    return rows.select("doc_id", _row(F.col("text")).alias("row"), "base", F.transform("base", around).alias("entities"), terms.alias("terms"))
 
 
 def _disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -108,35 +117,39 @@ def _disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, base, terms, sanitised`` of each row of ``docs(doc_id, text)``.
+    """``f_doc, row, base, terms`` (``f_doc`` is the doc_id) of each row of ``docs(doc_id, text)``; ``row`` is the SHA-256 of its text.
 
     ``base``: spans of the fixed kinds (``kind, start, end, value``), by kind and
-    place. ``terms``: the disclosing terms' spans, by place; none overlaps a
-    base span. ``sanitised``: the text with each base span replaced by its
-    kind in brackets, and terms by [NUMBER], [NAME] or [TERM], or by nothing.
-    Null text is empty. Repeated rows get the same spans; a null doc_id is kept.
-    Empty tables and other columns do no harm; texts of any length are searched whole.
+    place. ``terms``: the disclosing terms' spans (``start, end, value, share``), by place; none overlaps a
+    base span. Null text is empty. Repeated rows count as often as they are there, and get the same spans;
+    a null doc_id is kept. Empty tables and other columns do no harm; texts of any length are searched whole.
     """
-    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = stash(_found(given), "personal")
-    told = stash(_disclosing(given, found), "disclosing")
-    texts = given.select(F.xxhash64("doc_id", "text").alias("t_row"), "text")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = stash(_found(own), "personal")
+    told = stash(_disclosing(own, found), "disclosing")
+    texts = own.select(_row(F.col("text")).alias("t_row"), "text")
     words = texts.select("t_row", F.explode(_terms(F.col("text"))).alias("word"))
     hits = words.join(told, F.col("word") == F.col("term")).groupBy("t_row").agg(F.collect_set(F.struct("term", "share")).alias("told"))
     hits = stash(hits, "told").withColumnRenamed("t_row", "h_row")
-    at = texts.join(hits, F.col("t_row") == F.col("h_row")).dropDuplicates(["t_row"])
+    bases = found.select(F.col("row").alias("b_row"), F.col("base").alias("b_base")).join(hits.select("h_row"), F.col("b_row") == F.col("h_row"), "left_semi").dropDuplicates(["b_row"])
+    at = texts.join(hits, F.col("t_row") == F.col("h_row")).dropDuplicates(["t_row"]).join(bases, F.col("t_row") == F.col("b_row"))
     share = lambda v: F.try_element_at(F.col("told"), F.lower(v))
-    at = at.select("t_row", "text", F.map_from_entries("told").alias("told")).select("t_row", matches(F.col("text"), TERM, lambda v: share(v).isNotNull()).alias("at"), "told")
+    spans_in = lambda t: matches(t, TERM, lambda v: share(v).isNotNull())
+    at = at.select("t_row", "text", "b_base", F.map_from_entries("told").alias("told"))
+    at = at.select("t_row", given(_masked(F.col("text"), F.col("b_base")), spans_in).alias("at"), "told")
     flagged = at.select("t_row", F.transform("at", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value"), share(t["value"]).alias("share"))).alias("told"))
     spans = found.select(F.col("row"), "base", F.col("doc_id").alias("f_doc"))
     nothing = F.array().cast("array<struct<start:int,end:int,value:string,share:double>>")
-    spans = spans.join(flagged, F.col("row") == F.col("t_row"), "left").select("f_doc", "row", "base", F.coalesce(F.filter("told", lambda t: ~overlaps(t, F.col("base"))), nothing).alias("terms"))
-    return spans
+    return spans.join(flagged, F.col("row") == F.col("t_row"), "left").select("f_doc", "row", "base", F.coalesce("told", nothing).alias("terms"))
 
 
 def with_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with their text sanitised by these spans and other columns unchanged."""
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    """The rows of ``docs`` with their text sanitised by these spans and other columns unchanged.
+
+    Each base span becomes its kind in brackets, a disclosing term [NUMBER], [CODE] or [TERM], or nothing.
+    A text without spans stays as it is, null too. Repeated rows are replaced alike; columns may have any names.
+    """
+    key = _row(F.coalesce("text", F.lit("")))
     one = spans.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("row").alias("__row"), F.col("base").alias("__base"), F.col("terms").alias("__terms"))
     joined = docs.withColumn("__key", key).join(one.dropDuplicates(["__row"]), F.col("__key") == F.col("__row"), "left")
     as_text = F.transform("__terms", lambda t: F.struct(_class_of(t).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))
