@@ -8,10 +8,13 @@ extended over the words around it, compared as text, up to the span's length.
 Items shorter than a span are spans of their own length and are winnowed with
 a guarantee for that length.
 
-A filter of fixed size over the benchmark's fingerprints keeps a document's
+A filter over the benchmark's fingerprints, of 16 bits for each up to 64 MB in all, keeps a document's
 other fingerprints in their task; it can only let too many through. The join
 itself is left to Spark, which broadcasts the benchmark side if it is small and else
 shuffles both, splitting skewed keys.
+
+Hits depend on a text alone, so they are gathered by the SHA-256 of the text and joined back to every row that
+has it, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.store import stash
 from quillstone.llm.wordkernel import ALPHANUMERIC, U64, slices, winnow, words_of
 
 SPAN = 10
-#: Bits of the filter over the benchmark's fingerprints: 2 MB, whatever the benchmark's size.
-FILTER_BITS = 1 << 24
+#: Bits of the filter over the benchmark's fingerprints: so many for each, at least and at most so many in all.
+BITS_EACH = 16
+LEAST_BITS, MOST_BITS = 1 << 18, 1 << 29
 BUCKET_BITS = 8 * 4096
 
 CANDIDATE = T.StructType(
@@ -56,31 +61,48 @@ def _fingerprints(words, span: int) -> tuple[np.ndarray, np.ndarray]:
     return chosen, grams[chosen]
 
 
-def _candidates(words, spans: list[int], bits: np.ndarray | None) -> list[list[dict]]:
-    out: list[list[dict]] = [[] for _ in range(len(words.bounds) - 1)]
+def _candidates(words, spans: list[int], bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chosen grams that the filter lets through, by document: their document, span, hash, and the word ranges before and from them on."""
+    parts = []
     for span in spans:
         at, prints = _fingerprints(words, span)
         if bits is not None and len(at):
-            place = prints % U64(FILTER_BITS)
+            place = prints % U64(8 * len(bits))
             hit = (bits[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1 == 1
             at, prints = at[hit], prints[hit]
-        doc = np.searchsorted(words.bounds, at, side="right") - 1
-        reach = span - _gram(span)
-        for p, fp, d in zip(at.tolist(), prints.astype(np.int64).tolist(), doc.tolist()):
-            lo, hi = int(words.bounds[d]), int(words.bounds[d + 1])
-            a, b = max(lo, p - reach), min(hi, p + span)
-            text = [words.data[words.start[i] : words.end[i]].tobytes().decode() for i in range(a, b)]
-            out[d].append({"span": span, "fingerprint": fp, "pos": p - lo, "left": text[: p - a][::-1], "right": text[p - a :]})
-    return out
+        parts.append((np.searchsorted(words.bounds, at, side="right") - 1, np.full(len(at), span), at, prints))
+    doc, span, at, prints = (np.concatenate(x) if parts else np.zeros(0, dtype=np.int64) for x in zip(*parts)) if parts else [np.zeros(0, dtype=np.int64)] * 4
+    order = np.argsort(doc, kind="stable")
+    return doc[order], span[order], at[order], prints[order].astype(U64), order
+
+
+def _texts(words, first: np.ndarray, last: np.ndarray, backward: bool = False) -> pa.ListArray:
+    """For each range of words, their texts in a list, the last one first if ``backward``."""
+    counts = last - first
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    within = np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts)
+    at = np.repeat(last - 1, counts) - within if backward else np.repeat(first, counts) + within
+    raw = words.data
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array([raw[a:b].tobytes() for a, b in zip(words.start[at], words.end[at])], pa.binary()).cast(pa.string()))
 
 
-def _documents(spans: list[int], bits: np.ndarray):
+def _columns(words, doc: np.ndarray, span: np.ndarray, at: np.ndarray, prints: np.ndarray) -> list[pa.Array]:
+    """Arrow columns of CANDIDATE."""
+    lo, hi = words.bounds[doc], words.bounds[doc + 1]
+    left = _texts(words, np.maximum(lo, at - (span - (span + 1) // 2)), at, backward=True)
+    right = _texts(words, at, np.minimum(hi, at + span))
+    return [pa.array(span, pa.int32()), pa.array(prints.astype(np.int64)), pa.array(at - lo, pa.int32()), left, right]
+
+
+def _documents(spans: list[int], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.list_(pa.struct([("span", pa.int32()), ("fingerprint", pa.int64()), ("pos", pa.int32()), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))]))
+        bits = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in slices(batches, "text"):
             words = words_of(batch.column("text"), ALPHANUMERIC, lower=True)
-            found = pa.array(_candidates(words, spans, bits), shape)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.counts, pa.int64()), found], names=["doc_id", "n_words", "found"])
+            doc, span, at, prints, _ = _candidates(words, spans, bits)
+            each = pa.StructArray.from_arrays(_columns(words, doc, span, at, prints), names=CANDIDATE.names)
+            found = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)), each)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(words.counts, pa.int64()), found], names=["doc_id", "row", "n_words", "found"])
 
     return run
 
@@ -89,26 +111,25 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["item_id", *CANDIDATE.names]
     for batch in slices(batches, "text"):
         words = words_of(batch.column("text"), ALPHANUMERIC, lower=True)
-        ids = batch.column("item_id").to_pylist()
-        rows: list[dict] = []
-        counts = words.counts
-        for span in range(1, SPAN + 1):
-            own = (counts == span) | ((counts >= SPAN) if span == SPAN else False)
-            if own.any():
-                found = _candidates(words, [span], None)
-                rows += [{"item_id": ids[d]} | c for d in np.flatnonzero(own) for c in found[d]]
-        kinds = [batch.schema.field("item_id").type, pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
+        own = np.minimum(words.counts, SPAN)
+        doc, span, at, prints, _ = _candidates(words, [n for n in np.unique(own).tolist() if n], None)
+        mine = own[doc] == span
+        doc, span, at, prints = doc[mine], span[mine], at[mine], prints[mine]
+        yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(doc)), *_columns(words, doc, span, at, prints)], names=names)
 
 
 def _filter_bits(prints: DataFrame) -> np.ndarray:
-    """The filter as bytes, from at most FILTER_BITS / BUCKET_BITS bitmaps of 4 KB made by the executors."""
-    place = F.pmod(F.col("fingerprint"), F.lit(FILTER_BITS))
+    """The filter as bytes, from bitmaps of 4 KB made by the executors; MOST_BITS bound it."""
+    wanted = BITS_EACH * prints.count()
+    size = LEAST_BITS
+    while size < min(wanted, MOST_BITS):
+        size *= 2
+    place = F.pmod(F.col("fingerprint"), F.lit(size))
     maps = prints.select(place.alias("p")).groupBy((F.col("p") / BUCKET_BITS).cast("int").alias("bucket")).agg(
         F.bitmap_construct_agg((F.col("p") % BUCKET_BITS).cast("long")).alias("bits")
     )
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in maps.collect():
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for row in maps.toLocalIterator():
         out[row["bucket"] * 4096 : (row["bucket"] + 1) * 4096] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
     return out
 
@@ -119,41 +140,29 @@ def _agreement(a: Column, b: Column) -> Column:
     return F.when(first_other == 0, F.size(a)).otherwise(first_other - 1).cast("int")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Hits of ``benchmark(item_id, text)`` in ``docs(doc_id, text)``, one row per doc_id.
+def _row(docs: DataFrame) -> Column:
+    """The name of a text: hits depend on it alone."""
+    return F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
 
-    ``doc_id, n_words, hits array<struct<start, end>>, items array``: word ranges,
-    disjoint and in order, that the hits cover, and the ids of the items with
-    a hit. Null and empty texts have no words and no hits; an item without words
-    hits nothing. Rows that repeat a doc_id are taken together as one
-    document; item ids that are null are not reported though their
-    words count. Empty tables and other columns do no harm.
-    """
+
+def _hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, row, n_words`` of each row of ``docs``, and ``h_row, hits, items`` of each text with a hit."""
     kind = benchmark.schema["item_id"].dataType
-    prints = benchmark.select("item_id", "text").mapInArrow(_items, T.StructType([T.StructField("item_id", kind)] + CANDIDATE.fields))
+    prints = stash(benchmark.select("item_id", "text").mapInArrow(_items, T.StructType([T.StructField("item_id", kind)] + CANDIDATE.fields)), "items")
     distinct = prints.groupBy("span", "fingerprint", "left", "right").agg(F.collect_set("item_id").alias("items"))
     bench = distinct.select(
         F.col("span").alias("b_span"), F.col("fingerprint").alias("b_fingerprint"), F.col("left").alias("b_left"), F.col("right").alias("b_right"), F.col("items").alias("b_items")
     )
-    spans = [r["span"] for r in prints.select("span").distinct().collect()]  # SPAN values at most
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("found", T.ArrayType(CANDIDATE))])
-    rows = docs.select("doc_id", "text").mapInArrow(_documents(sorted(spans), _filter_bits(prints)), schema)
-    each = rows.select("doc_id", "n_words", F.explode_outer("found").alias("c")).select("doc_id", "n_words", "c.*")
-    # A document without candidates has a key of its own, so that such rows don't meet in one task.
-    key = F.coalesce(F.col("fingerprint"), F.xxhash64("doc_id", F.lit("none")))
-    joined = each.withColumn("key", key).join(bench, (F.col("key") == F.col("b_fingerprint")) & (F.col("span") == F.col("b_span")), "left")
+    spans = sorted(r["span"] for r in prints.select("span").distinct().collect())  # SPAN values at most
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("found", T.ArrayType(CANDIDATE))])
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(prints.select("fingerprint").distinct()).tobytes())  # MOST_BITS / 8 at most
+    rows = stash(docs.select("doc_id", _row(docs).alias("row"), "text").mapInArrow(_documents(spans, shared), schema), "candidates")
+    each = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("c")).select("row", "c.*")
+    joined = each.join(bench, (F.col("fingerprint") == F.col("b_fingerprint")) & (F.col("span") == F.col("b_span")))
     k = ((F.col("span") + 1) / 2).cast("int")
     before, after = _agreement(F.col("left"), F.col("b_left")), _agreement(F.col("right"), F.col("b_right"))
-    hit = (after >= k) & (before + after >= F.col("span"))
-    marked = joined.select(
-        "doc_id",
-        "n_words",
-        F.when(hit, F.struct((F.col("pos") - before).alias("start"), (F.col("pos") + after).alias("end"))).alias("hit"),
-        F.when(hit, F.col("b_items")).alias("items"),
-    )
-    per = marked.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("hit")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
-    )
+    marked = joined.where((after >= k) & (before + after >= F.col("span"))).select("row", F.struct((F.col("pos") - before).alias("start"), (F.col("pos") + after).alias("end")).alias("hit"), F.col("b_items").alias("items"))
+    per = marked.groupBy("row").agg(F.array_sort(F.collect_set("hit")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def widen(done, nxt):
@@ -163,7 +172,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.concat(done, F.array(F.struct(nxt["start"].alias("start"), nxt["end"].alias("end"))))
         )
 
-    return per.select("doc_id", "n_words", F.aggregate("hit", empty, widen).alias("hits"), "items")
+    found = stash(per.select(F.col("row").alias("h_row"), F.aggregate("hit", empty, widen).alias("hits"), "items"), "hits")
+    return rows.select("doc_id", "row", "n_words"), found
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Hits of ``benchmark(item_id, text)`` in ``docs(doc_id, text)``, one row per row of ``docs``.
+
+    ``doc_id, n_words, hits array<struct<start, end>>, items array``: word ranges,
+    disjoint and in order, that the hits cover, and the ids of the items with
+    a hit. Null and empty texts have no words and no hits; an item without words
+    hits nothing. Each row is judged by its own text, so repeated rows, rows of one doc_id with different texts and
+    null doc_ids don't mix; item ids that are null are not reported though their
+    words count. Empty tables and other columns do no harm.
+    """
+    rows, found = _hits(docs, benchmark)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    no_items = F.array().cast(found.schema["items"].dataType)
+    return rows.join(found, F.col("row") == F.col("h_row"), "left").select("doc_id", "n_words", F.coalesce("hits", none).alias("hits"), F.coalesce("items", no_items).alias("items"))
 
 
 def hit_words(hits: Column) -> Column:
@@ -172,6 +198,9 @@ def hit_words(hits: Column) -> Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document has no hit, with their columns unchanged."""
-    bad = contamination(docs, benchmark).where(F.size("hits") > 0).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of ``docs`` whose own text has no hit, with their columns unchanged.
+
+    Rows with a null text or doc_id are judged like any other; repeated rows go or stay together. Columns may have any names.
+    """
+    _, found = _hits(docs.select("doc_id", "text"), benchmark)
+    return docs.join(found.select("h_row"), _row(docs) == F.col("h_row"), "left_anti")

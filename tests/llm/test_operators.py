@@ -369,18 +369,19 @@ def hits(text, items):
     return len(words), len(covered), sorted(x for x in found if x is not None)
 
 
-def test_decontamination(docs, rows, benchmark, empty):
+def test_decontamination(spark, docs, rows, benchmark, empty):
+    """Row by row, null doc_ids and rows of one doc_id with different texts too."""
     items = [(r.item_id, r.text) for r in benchmark.collect()]
+    more = [(None, rows[0][1], None, None, 0), (None, "clean words only", None, None, 0), (95, "clean words only", None, None, 0), (95, rows[3][1] + " more", None, None, 0)]
+    docs = docs.unionByName(spark.createDataFrame(more, DOCS), allowMissingColumns=True)
+    want = [(i, *hits(t, items)) for i, t, *_ in rows + more]
     out = decontam.contamination(docs, benchmark).select("*", decontam.hit_words(F.col("hits")).alias("n")).collect()
-    got = {r.doc_id: (r.n_words, r.n, r["items"]) for r in out}
-    assert len(got) == len(out)
-    for i, t, *_ in rows:
-        if i is not None:
-            assert got[i] == hits(t, items), i
+    same([(r.doc_id, r.n_words, r.n, r["items"]) for r in out], want)
     assert decontam.contamination(empty, benchmark).count() == 0
     assert {r.n for r in decontam.contamination(docs, benchmark.limit(0)).select(decontam.hit_words(F.col("hits")).alias("n")).collect()} == {0}
     clean = decontam.clean(docs, benchmark)
-    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, v in got.items() if v[1] == 0}
+    assert clean.columns == docs.columns
+    same([(r.doc_id, r.text) for r in clean.collect()], [(i, t) for (i, t, *_), w in zip(rows + more, want) if w[2] == 0])
 
 
 # --- near duplicates --------------------------------------------------------------------------------------
