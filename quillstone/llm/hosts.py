@@ -6,8 +6,11 @@ above: the corpus, the suffix (``com``), the registered domain (``example.com``)
 host. With ``a`` bad ones of ``n``, and a rate ``m`` above, the posterior is
 ``Beta(m S + a, (1 - m) S + n - a)``, of mean ``(m S + a) / (S + n)``, where the
 strength S of each level is estimated from how far rates of the level differ
-beyond chance. A page is allowed if the upper bound of its host's posterior lies
-below ``MOST_BAD``; a host without labels has the bound of the level above it.
+beyond chance. A page is blocked if the lower bound of its host's posterior lies above the bar: the rate at which the odds of a
+bad page are ``ODDS`` times those of the corpus. So the bar follows the corpus, and a host is blocked only
+where it is credibly that much worse. A host without labels has the posterior of the level above it.
+
+Levels are those of the host's name: user names and ports are left out, and an IPv4 address is its own domain.
 """
 
 from __future__ import annotations
@@ -20,9 +23,9 @@ from quillstone.llm.store import stash
 # The rules that are asked for, as (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
-#: Suffixes of two labels under which domains are registered; all other suffixes are the last label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
-MOST_BAD = 0.9
+#: Suffixes under which domains are registered, where no table of them is given; all other suffixes are the last label.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+ODDS = 2.0
 #: Standard deviations from the mean to the bound.
 BOUND = 1.645
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
@@ -48,14 +51,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host without user name and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+IPV4 = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def levels_of(names: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """``name, domain, suffix, corpus`` of each distinct ``name``, by the longest of ``suffixes(suffix)`` that it ends in."""
+    labels = names.select("name").distinct().withColumn("labels", F.split("name", r"\."))
+    tails = labels.select("name", F.size("labels").alias("n"), F.posexplode(F.transform("labels", lambda _, i: F.array_join(F.slice("labels", i + 1, F.size("labels")), "."))).alias("at", "tail"))
+    longest = tails.join(suffixes.select(F.col("suffix").alias("tail")).distinct(), "tail", "left_semi").groupBy(F.col("name").alias("s_name")).agg(F.min("at").alias("at"))
+    rows = labels.join(longest, F.col("name") == F.col("s_name"), "left").withColumn("cut", F.coalesce("at", F.size("labels") - 1))
+    from_ = lambda i: F.array_join(F.slice("labels", F.greatest(i, F.lit(0)) + 1, F.size("labels")), ".")
+    address = F.col("name").rlike(IPV4)
+    return rows.select("name", F.when(address, F.col("name")).otherwise(from_(F.col("cut") - 1)).alias("domain"), F.when(address, "(address)").otherwise(from_(F.col("cut"))).alias("suffix"), F.lit(1).alias("corpus"))
 
 
 def _level(counts: DataFrame, name: str, above: DataFrame | None, above_name: str | None) -> DataFrame:
@@ -73,43 +85,51 @@ def _level(counts: DataFrame, name: str, above: DataFrame | None, above_name: st
     return stash(rows.join(F.broadcast(strength)).select(name, rate.alias("rate"), (s + F.col("n")).alias("weight")), f"level-{name}")
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
-    """Posteriors ``<level>, rate, weight`` of each level: ``host``, ``domain``, ``suffix`` and ``corpus`` (key 1)."""
-    labelled = pages.select("page_id", host_of(F.col("url")).alias("host")).where("host != ''").join(
-        outcomes.groupBy(F.col("page_id").alias("o_page")).agg(F.max("bad").alias("bad")), F.col("page_id") == F.col("o_page")
-    )
-    counts = labelled.groupBy("host").agg(F.sum("bad").alias("bad"), F.count("bad").alias("n")).where("n > 0")
-    counts = counts.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.lit(1).alias("corpus"))
-    counts = stash(counts, "outcomes")
-    corpus = _level(counts, "corpus", None, None)
-    suffix = _level(counts, "suffix", corpus, "corpus")
-    domain = _level(counts, "domain", suffix, "suffix")
-    return {"corpus": corpus, "suffix": suffix, "domain": domain, "host": _level(counts, "host", domain, "domain")}
+def reputation(counts: DataFrame) -> dict[str, DataFrame]:
+    """Posteriors ``<level>, rate, weight`` of each level, from the highest: ``corpus`` (key 1), ``suffix``, ``domain`` and ``name``.
+
+    ``counts``: labelled pages (``n``) and bad ones of them (``bad``) of each ``name``, with its levels.
+    """
+    out: dict[str, DataFrame] = {}
+    above = None
+    for level in ("corpus", "suffix", "domain", "name"):
+        out[level] = _level(counts, level, out.get(above), above)
+        above = level
+    return out
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict, bound`` of each row of ``pages(page_id, url)``.
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, suffixes: DataFrame | None = None) -> DataFrame:
+    """``page_id, host, path, rule, verdict, bound, low, bar`` of each row of ``pages(page_id, url)``.
 
     ``outcomes(page_id, bad)`` labels some pages (1: bad, 0: good; null: no
-    label; the worst of repeated labels counts). A null url, or one without
+    label; the worst of repeated labels counts). ``suffixes(suffix)`` is a table of public suffixes. ``bound`` and ``low`` are
+    the upper and lower bounds of the host's rate of bad pages. A null url, or one without
     ``://``, has an empty host and path, fits no rule and is judged by the corpus.
-    Without any labels all bounds are those of an even rate, so all other pages are
-    allowed or blocked alike. Repeated rows are judged row by row; empty tables and other columns do no harm.
+    Without any labels the rate is taken for even, with bounds so wide that all pages without a rule are
+    allowed. Repeated rows are judged row by row; empty tables and other columns do no harm.
     """
-    levels = reputation(pages, outcomes)
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.lit(1).alias("corpus"))
+    spark = pages.sparkSession
+    if suffixes is None:
+        suffixes = spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("name", name_of(F.col("host")))
+    levels = stash(levels_of(rows, suffixes), "hosts")
+    labels = outcomes.groupBy(F.col("page_id").alias("o_page")).agg(F.max("bad").alias("bad"))
+    labelled = rows.where("host != ''").join(labels, F.col("page_id") == F.col("o_page"))
+    counts = labelled.groupBy("name").agg(F.sum("bad").alias("bad"), F.count("bad").alias("n")).where("n > 0")
+    posteriors = reputation(stash(counts.join(levels, "name"), "outcomes"))
     # One posterior for each host, not each page: a host with very many pages meets only one row.
-    known = rows.select("host", "domain", "suffix", "corpus").distinct()
-    for name, level in levels.items():
+    known = levels
+    for name, level in posteriors.items():
         known = known.join(level.select(F.col(name).alias(f"k_{name}"), F.struct("rate", "weight").alias(f"p_{name}")), F.col(name) == F.col(f"k_{name}"), "left")
     none = F.struct(F.lit(0.5).alias("rate"), F.lit(LEAST_STRENGTH).alias("weight"))
-    best = F.coalesce(*[F.col(f"p_{name}") for name in ("host", "domain", "suffix", "corpus")], none)
-    bound = F.round(best["rate"] + BOUND * F.sqrt(best["rate"] * (1 - best["rate"]) / (best["weight"] + 1)), 6)
-    known = known.select(F.col("host").alias("k_host"), bound.alias("bound"))
+    best = F.coalesce(*[F.col(f"p_{name}") for name in ("name", "domain", "suffix", "corpus")], none)
+    off = BOUND * F.sqrt(best["rate"] * (1 - best["rate"]) / (best["weight"] + 1))
+    usual = F.coalesce(F.col("p_corpus"), none)["rate"]
+    bar = F.round(ODDS * usual / (1 - usual + ODDS * usual), 6)
+    known = known.select(F.col("name").alias("k_name"), F.round(best["rate"] + off, 6).alias("bound"), F.round(best["rate"] - off, 6).alias("low"), bar.alias("bar"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("bound") <= MOST_BAD, "allow").otherwise("block")
-    return rows.join(known, F.col("host") == F.col("k_host"), "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "bound")
+    method = F.when(F.col("low") > F.col("bar"), "block").otherwise("allow")
+    return rows.join(known, F.col("name") == F.col("k_name"), "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "bound", "low", "bar")
 
 
 def outcomes_of(labels: DataFrame) -> DataFrame:

@@ -88,25 +88,29 @@ def _level(name: str, key: str, up: str, up_key: str) -> str:
 
 
 URLS = f"""
-WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+WITH p0 AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+p AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM p0),
 o AS (SELECT doc_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels GROUP BY doc_id),
-l AS (SELECT host, sum(bad) AS bad, count(bad) AS n FROM p JOIN o ON page_id = doc_id WHERE host <> '' GROUP BY host HAVING count(bad) > 0),
-q AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS two, array_to_string(string_split(host, '.')[-3:], '.') AS three, string_split(host, '.')[-1] AS one FROM p),
-names AS (SELECT DISTINCT host, CASE WHEN two IN {_TWO} THEN three ELSE two END AS domain, CASE WHEN two IN {_TWO} THEN two ELSE one END AS suffix FROM q),
-c AS (SELECT l.*, domain, suffix, 1 AS corpus FROM l JOIN names ON l.host = names.host),
+l AS (SELECT name, sum(bad) AS bad, count(bad) AS n FROM p JOIN o ON page_id = doc_id WHERE host <> '' GROUP BY name HAVING count(bad) > 0),
+q AS (SELECT *, array_to_string(string_split(name, '.')[-2:], '.') AS two, array_to_string(string_split(name, '.')[-3:], '.') AS three, string_split(name, '.')[-1] AS one,
+             regexp_matches(name, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$') AS address FROM p),
+names AS (SELECT DISTINCT name, CASE WHEN address THEN name WHEN two IN {_TWO} THEN three ELSE two END AS domain,
+                 CASE WHEN address THEN '(address)' WHEN two IN {_TWO} THEN two ELSE one END AS suffix FROM q),
+c AS (SELECT l.*, domain, suffix, 1 AS corpus FROM l JOIN names ON l.name = names.name),
 {_level("g", "corpus", "", "")},
 {_level("x", "suffix", "g", "corpus")},
 {_level("d", "domain", "x", "suffix")},
-{_level("h", "host", "d", "domain")},
-best AS (SELECT names.host, coalesce(h_p.rate, d_p.rate, x_p.rate, g_p.rate, 0.5) AS rate, coalesce(h_p.weight, d_p.weight, x_p.weight, g_p.weight, 2) AS weight
-         FROM names LEFT JOIN h_p ON h_p.k = names.host LEFT JOIN d_p ON d_p.k = names.domain LEFT JOIN x_p ON x_p.k = names.suffix LEFT JOIN g_p ON g_p.k = 1),
-bound AS (SELECT host, round(rate + 1.645 * sqrt(rate * (1 - rate) / (weight + 1)), 6) AS bound FROM best),
+{_level("h", "name", "d", "domain")},
+best AS (SELECT names.name, coalesce(h_p.rate, d_p.rate, x_p.rate, g_p.rate, 0.5) AS rate, coalesce(h_p.weight, d_p.weight, x_p.weight, g_p.weight, 2) AS weight
+         FROM names LEFT JOIN h_p ON h_p.k = names.name LEFT JOIN d_p ON d_p.k = names.domain LEFT JOIN x_p ON x_p.k = names.suffix LEFT JOIN g_p ON g_p.k = 1),
+bar AS (SELECT round(2 * m / (1 - m + 2 * m), 6) AS bar FROM (SELECT coalesce(max(rate), 0.5) AS m FROM g_p)),
+bound AS (SELECT name, round(rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)), 6) AS low FROM best),
 r(rule, says) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
 fit AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(says, length(rule)) AS says FROM p, r
         WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))
         GROUP BY page_id)
-SELECT p.page_id, p.host, p.path, fit.rule, coalesce(says, CASE WHEN bound <= 0.9 THEN 'allow' ELSE 'block' END) AS verdict
-FROM p LEFT JOIN fit ON p.page_id = fit.page_id LEFT JOIN bound ON p.host = bound.host
+SELECT p.page_id, p.host, p.path, fit.rule, coalesce(says, CASE WHEN low > bar THEN 'block' ELSE 'allow' END) AS verdict
+FROM p CROSS JOIN bar LEFT JOIN fit ON p.page_id = fit.page_id LEFT JOIN bound ON p.name = bound.name
 """
 
 ORACLES |= {"op4_chat_formatting": CHAT, "op9_url_reputation": URLS}

@@ -505,6 +505,38 @@ def test_host_reputation_shrinks(spark):
     assert out[0] > 0.8 and out[999] > 0.6 and out[998] < 0.3 and out[100] < 0.2
 
 
+def test_host_verdicts_follow_the_corpus_and_equal_the_sql(spark, tmp_path):
+    """Hosts with mostly bad pages are blocked in an ordinary corpus, ports and addresses do no harm, and SQL says the same."""
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(8)
+    hosts_ = [(f"h{i}.d{i % 9}.net", 0.1) for i in range(30)] + [("bad.spam.info", 0.9), ("bad.spam.info:8080", 0.9), ("u@bad.spam.info", 0.9), ("10.1.2.3", 0.9), ("10.1.2.3:81", 0.9), ("a.b.co.uk", 0.1), ("x.co.uk", 0.1), (".", 0.2)]
+    pages, labels = [], []
+    for i in range(3000):
+        host, rate = r.choice(hosts_)
+        pages.append((i, f"http://{host}/{i}"))
+        if i % 3:
+            labels.append((i, 1, int(r.random() < rate)))
+    pages += [(3000, "http://new.spam.info/"), (3001, None), (3001, "none"), (0, pages[0][1])]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels + labels[:5], "doc_id long, quality int, toxic int").withColumn("name", F.lit("clash")).withColumn("host", F.lit("clash")).write.parquet(f"{tmp_path}/labels.parquet")
+    out = Q.op9_url_reputation(spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(x) for x in out.collect()]
+    assert set(got) == set(con.sql(f"SELECT {', '.join(out.columns)} FROM ({Q.ORACLE_SQL['op9_url_reputation']})").fetchall())
+    assert len(got) == len(pages)
+    for page_id, host, _, _, verdict in got:
+        assert verdict == ("block" if "spam" in host or "10.1" in host else "allow"), (page_id, host)
+
+
+def test_host_levels_by_a_suffix_table(spark):
+    names = spark.createDataFrame([("a.b.c.gov.xx",), ("gov.xx",), ("c.gov.xx",), ("one",), ("1.2.3.4",), ("",)], "name string")
+    table = spark.createDataFrame([("gov.xx",), ("c.gov.xx",), ("xx",)], "suffix string")
+    out = {r.name: (r.domain, r.suffix) for r in hosts.levels_of(names, table).collect()}
+    assert out == {"a.b.c.gov.xx": ("b.c.gov.xx", "c.gov.xx"), "gov.xx": ("gov.xx", "gov.xx"), "c.gov.xx": ("c.gov.xx", "c.gov.xx"), "one": ("one", "one"), "1.2.3.4": ("1.2.3.4", "(address)"), "": ("", "")}
+
+
 # --- secrets --------------------------------------------------------------------------------------------------
 
 
