@@ -1,4 +1,4 @@
-"""Connected components by large-star and small-star steps on edge tables."""
+"""Connected components: union-find within tasks, then large-star and small-star steps on edge tables."""
 
 from __future__ import annotations
 
@@ -22,11 +22,16 @@ def _star(edges: DataFrame) -> DataFrame:
     return small.union(below.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-#: Up to so many edges, 16 bytes each, one task finds the components by itself.
-FEW = 100_000
+#: Nodes that one task's union-find holds before it hands on its stars and begins anew.
+HELD = 200_000
 
 
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contract(held: int):
+    """Edges ``(a, b)`` of the task's own components as stars around their least node."""
+    return lambda batches: _stars(batches, held)
+
+
+def _stars(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -35,33 +40,40 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = up[x]
         return x
 
+    def stars() -> pa.RecordBatch:
+        leaves = [x for x in up if up[x] != x]
+        return pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(list(map(root, leaves)), pa.int64())], names=["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             low, high = sorted((root(a), root(b)))
             up[high] = low
-    nodes = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(root, nodes)), pa.int64())], names=["node", "component"])
+        if len(up) > held:
+            yield stars()
+            up.clear()
+    yield stars()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node is the leaf of one star or a centre, and none is both."""
+    leaf, centre = F.lit(1).alias("leaf"), F.lit(0).alias("leaf")
+    ends = edges.select(F.col("a").alias("n"), leaf).union(edges.select(F.col("b").alias("n"), centre))
+    seen = ends.groupBy("n").agg(F.sum("leaf").alias("leaves"), F.min("leaf").alias("least"))
+    return not seen.where("leaves > 1 or (leaves = 1 and least = 0)").take(1)
 
 
-def components(edges: DataFrame, a: str, b: str, few: int = FEW) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, held: int = HELD) -> DataFrame:
     """``(node, component)`` of every node with an edge; a component is named by its least node.
 
-    Union-find as joins: in each round every node is linked to the least node
-    that it knows of, until each component is a star around its least node. The rounds
+    Each task contracts the edges it has, in bounded memory. Then union-find goes on as joins: in each round every
+    node is linked to the least node that it knows of, until each component is a star around its least node. The rounds
     grow with the logarithm of the longest path. Minima are aggregated before
     the shuffle, and joins carry the rest, so a node with very many edges may
-    be split. Where there are no more than ``few`` edges, the same components are found in one
-    task. Self-links and repeated edges don't matter; nulls are left out.
+    be split. Self-links and repeated edges don't matter; nulls are left out.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     given = edges.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    if given.limit(few + 1).count() <= few:
-        return stash(given.coalesce(1).mapInArrow(_union_find, "node long, component long"), "components")
-    now = stash(given.distinct(), "edges")
-    state = None
-    while True:
-        n, total = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if (n, total) == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        state = (n, total)
-        now = stash(_star(now), "edges")
+    now = stash(given.mapInArrow(_contract(held), "a long, b long").distinct(), "edges")
+    while not _settled(now):
+        now = stash(_star(now).mapInArrow(_contract(held), "a long, b long").distinct(), "edges")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,9 +1,8 @@
 """Near-duplicate groups: SuperMinHash, banding, verification, union-find.
 
-Signatures. Each shingle gives every slot a rank of its own: slot ``(a + b j)
-mod 127`` has rank j plus a hash in [0, 1), with a and b from the shingle's
-hash. So the ranks of one shingle are a permutation of the slots, any two
-slots are equally likely to get any two ranks (127 is prime), and the minima over a
+Signatures. Each shingle gives every slot a rank of its own: slot ``a + b (j + c) ** e
+mod 127`` has rank j plus a hash in [0, 1), with a, b, c and the exponent e (prime to 126) from the shingle's
+hash. So the ranks of one shingle are one of 73 million permutations of the slots, and the minima over a
 set are less scattered than with independent hashes. Ranks are taken level by
 level for all shingles of a batch; a document stops at the first level that is above all
 its minima, after a level or three if it has a few hundred shingles.
@@ -54,6 +53,8 @@ PIVOTS = 8
 MEMBERS = 500
 #: Members of one bucket that are put in order in one task.
 DEALT = 20_000
+#: Powers modulo SLOTS by the exponents that permute all residues.
+POWERS = np.array([[pow(x, e, SLOTS) for x in range(SLOTS)] for e in range(1, SLOTS - 1) if math.gcd(e, SLOTS - 1) == 1], dtype=np.int64)
 
 SKETCH = [
     T.StructField("n_shingles", T.LongType()),
@@ -93,16 +94,18 @@ def signatures(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     least = np.full(n * SLOTS, np.iinfo(np.uint32).max, dtype=np.uint32)
     spread = mix(keys ^ U64(0x5851F42D4C957F2D))
     a = (spread % U64(SLOTS)).astype(np.int64)
-    b = (1 + (spread >> U64(32)) % U64(SLOTS - 1)).astype(np.int64)
+    b = (1 + (spread >> U64(16)) % U64(SLOTS - 1)).astype(np.int64)
+    c = ((spread >> U64(32)) % U64(SLOTS)).astype(np.int64)
+    e = ((spread >> U64(48)) % U64(len(POWERS))).astype(np.int64)
     for rank in range(SLOTS):
         value = (mix(keys + U64((rank + 1) * int(GRAM) & 0xFFFFFFFFFFFFFFFF)) >> U64(39)).astype(np.uint32) | np.uint32(rank << 25)
-        np.minimum.at(least, doc * SLOTS + (a + b * rank) % SLOTS, value)
+        np.minimum.at(least, doc * SLOTS + (a + b * POWERS[e, (c + rank) % SLOTS]) % SLOTS, value)
         open_docs = least.reshape(n, SLOTS).max(axis=1) >= np.uint32((rank + 1) << 25)
         left = open_docs[doc]
         if not left.any():
             break
         if not left.all():
-            keys, doc, a, b = keys[left], doc[left], a[left], b[left]
+            keys, doc, a, b, c, e = keys[left], doc[left], a[left], b[left], c[left], e[left]
     return least.reshape(n, SLOTS)
 
 

@@ -435,12 +435,13 @@ def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, dealt):
     assert {x.doc_id: x.component_id for x in out} == group
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_components(spark, few):
+@pytest.mark.parametrize("held", [2, 1000])
+def test_components(spark, held):
+    """Where tasks hold all of their edges, and where they hand on parts of them."""
     chain = [(i, i + 1) for i in range(50)] + [(100, 103), (103, 101), (7, 7), (200, 100)]
-    out = {r.node: r.component for r in components(spark.createDataFrame(chain, "x long, y long"), "x", "y", few).collect()}
+    out = {r.node: r.component for r in components(spark.createDataFrame(chain, "x long, y long").repartition(5), "x", "y", held).collect()}
     assert out == {i: 0 for i in range(51)} | {100: 100, 101: 100, 103: 100, 200: 100}
-    assert components(spark.createDataFrame([], "x long, y long"), "x", "y", few).count() == 0
+    assert components(spark.createDataFrame([], "x long, y long"), "x", "y", held).count() == 0
 
 
 def test_superminhash_estimates_similarity():
