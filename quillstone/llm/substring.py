@@ -4,10 +4,12 @@ Seeds. Of every 13 consecutive words one 5-gram is kept by winnowing, so any
 span of 13 words that two documents share has the same seed in both. Seeds
 are joined over all documents, and those of a single document go no further.
 
-Extension. A seed that several documents hold is extended to the 13-word windows that
-chose it, to its left and right. Windows are joined in turn, each with the least
-doc_id that holds it. Windows of a later document are removed; where they overlap or
-adjoin, they make up a maximal repeat.
+Extension. A seed that several documents hold is extended to its left and right, a word at a time: the
+13-word windows around it that chose it are joined in turn, each with the least
+doc_id that holds it. Windows go by two independent 64-bit hashes, so that different words
+are not taken for equal. They are joined rather than compared pair by pair, as millions of documents may share a
+passage. A seed's match goes on as far as the windows on either side are repeats too; such a run of windows is a
+maximal repeat, of 13 words at least, and its words are removed from the later documents.
 
 Documents are dealt once into chunks of about 4 MB, and what is shuffled is summed up by
 chunk: a passage that every document holds is one entry for each chunk, not for
@@ -29,9 +31,12 @@ SEED = 5
 CHUNK_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 
-ENTRIES = "bucket int, chunk int, keys array<long>, low array<long>, high array<long>"
-ANSWERS = "chunk int, keys array<long>, first array<long>"
-KEPT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+ENTRIES = "bucket int, chunk int, keys array<long>, more array<long>, low array<long>, high array<long>"
+ANSWERS = "chunk int, keys array<long>, more array<long>, first array<long>"
+#: What makes the second hash of a window independent of the first.
+SALT = 0x8C5FB2A9D3E41F67
+REPEATS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+KEPT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("repeats", REPEATS)])
 LONGS = pa.list_(pa.int64())
 
 
@@ -47,20 +52,27 @@ def _seeds(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.flatnonzero(room), winnow(grams, room, LENGTH - SEED + 1), grams
 
 
-def _entries(keys: np.ndarray, docs: np.ndarray, chunk: int, buckets: int) -> pa.Table:
-    """The least and greatest document of each key, dealt by key into buckets."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+def _lists(offsets: np.ndarray, columns: list[np.ndarray]) -> list[pa.ListArray]:
+    return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.int64))) for x in columns]
+
+
+def _cuts(sorted_ids: np.ndarray) -> np.ndarray:
+    """Offsets of the runs of equal ids."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(sorted_ids)) + 1, [len(sorted_ids)]]).astype(np.int32) if len(sorted_ids) else np.zeros(1, dtype=np.int32)
+
+
+def _entries(keys: np.ndarray, more: np.ndarray, docs: np.ndarray, chunk: int, buckets: int) -> pa.Table:
+    """The least and greatest document of each key, dealt by key into buckets. ``more``: second hashes, or all zero for seeds."""
+    order = np.lexsort((docs, more, keys))
+    keys, more, docs = keys[order], more[order], docs[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])])) if len(keys) else np.zeros(0, dtype=np.int64)
     last = np.append(first[1:], len(keys)) - 1 if len(keys) else first
-    keys, low, high = keys[first], docs[first], docs[last]
+    keys, more, low, high = keys[first], more[first], docs[first], docs[last]
     bucket = ((keys >> U64(32)) % U64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1 if len(order) else order
-    offsets = np.concatenate([[0], cuts, [len(order)]]).astype(np.int32) if len(order) else np.zeros(1, dtype=np.int32)
+    offsets = _cuts(bucket[order])
     ids = bucket[order][offsets[:-1]]
-    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[order].astype(np.int64))) for x in (keys, low, high)]
-    return pa.Table.from_arrays([pa.array(ids, pa.int32()), pa.array(np.full(len(ids), chunk), pa.int32()), *lists], names=["bucket", "chunk", "keys", "low", "high"])
+    return pa.Table.from_arrays([pa.array(ids, pa.int32()), pa.array(np.full(len(ids), chunk), pa.int32()), *_lists(offsets, [x[order] for x in (keys, more, low, high)])], names=["bucket", "chunk", "keys", "more", "low", "high"])
 
 
 def _flat(table: pa.Table, name: str) -> np.ndarray:
@@ -77,10 +89,10 @@ def _first_holders(only_later: bool):
     def run(table: pa.Table) -> pa.Table:
         sizes = np.asarray(table.column("keys").combine_chunks().value_lengths())
         chunk = np.repeat(table.column("chunk").to_numpy(), sizes)
-        keys, low, high = (_flat(table, c) for c in ("keys", "low", "high"))
-        order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        start = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+        keys, more, low, high = (_flat(table, c) for c in ("keys", "more", "low", "high"))
+        order = np.lexsort((more, keys))
+        new = (keys[order][1:] != keys[order][:-1]) | (more[order][1:] != more[order][:-1])
+        start = np.flatnonzero(np.concatenate([[True], new]))
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
         least = np.minimum.reduceat(low[order], start)[group]
         most = high[order] if only_later else np.maximum.reduceat(high[order], start)[group]
@@ -89,10 +101,8 @@ def _first_holders(only_later: bool):
         by = np.argsort(chunk[order], kind="stable")
         order, least = order[by], least[by]
         to = chunk[order]
-        cuts = np.flatnonzero(np.diff(to)) + 1
-        offsets = np.concatenate([[0], cuts, [len(to)]]).astype(np.int32) if len(to) else np.zeros(1, dtype=np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (keys[order], least)]
-        return pa.Table.from_arrays([pa.array(to[offsets[:-1]], pa.int32()), *lists], names=["chunk", "keys", "first"])
+        offsets = _cuts(to)
+        return pa.Table.from_arrays([pa.array(to[offsets[:-1]], pa.int32()), *_lists(offsets, [keys[order], more[order], least])], names=["chunk", "keys", "more", "first"])
 
     return run
 
@@ -106,7 +116,7 @@ def _seed_entries(buckets: int):
         words = words_of(table.column("text"), SPACED)
         _, seeds, grams = _seeds(words)
         at = np.unique(seeds)
-        return _entries(grams[at], _ids(table)[words.doc[at]], _chunk_of(table), buckets)
+        return _entries(grams[at], np.zeros(len(at), dtype=U64), _ids(table)[words.doc[at]], _chunk_of(table), buckets)
 
     return run
 
@@ -115,59 +125,72 @@ def _window_entries(buckets: int):
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
         known = np.unique(_flat(shared, "keys").astype(U64)) if shared.num_rows else np.zeros(0, dtype=U64)
         if not table.num_rows or not len(known):
-            return _entries(np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), 0, buckets)
+            return _entries(np.zeros(0, dtype=U64), np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), 0, buckets)
         words = words_of(table.column("text"), SPACED)
         begins, seeds, grams = _seeds(words)
         own = grams[seeds]
         at = np.searchsorted(known, own)
         at[at == len(known)] = 0
         begins = begins[known[at] == own]
-        return _entries(words.grams(LENGTH)[0][begins], _ids(table)[words.doc[begins]], _chunk_of(table), buckets)
+        return _entries(words.grams(LENGTH)[0][begins], words.grams(LENGTH, SALT)[0][begins], _ids(table)[words.doc[begins]], _chunk_of(table), buckets)
 
     return run
 
 
-def _removed(words: Words, ids: np.ndarray, keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which words lie in a window that begins in an earlier document."""
-    order = np.argsort(keys)
-    keys, first = keys[order], first[order]
+def _extended(words: Words, ids: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """Which windows begin in an earlier document as well, by where they begin in ``words``."""
+    hit = np.zeros(len(words.hash), dtype=bool)
+    keys, more, first = (_flat(answers, c) for c in ("keys", "more", "first"))
+    if not len(keys):
+        return hit
+    keys, more = keys.astype(U64), more.astype(U64)
+    order = np.lexsort((more, keys))
+    keys, more, first = keys[order], more[order], first[order]
     grams, room = words.grams(LENGTH)
     begins = np.flatnonzero(room)
-    at = np.searchsorted(keys, grams[begins])
+    own, other = grams[begins], words.grams(LENGTH, SALT)[0][begins]
+    at = np.searchsorted(keys, own)
     at[at == len(keys)] = 0
-    gone = begins[(keys[at] == grams[begins]) & (first[at] < ids[words.doc[begins]])]
-    return covered(len(words.hash), gone, LENGTH)
+    while True:  # on to the next of keys that differ in their second hash alone
+        on = np.flatnonzero((keys[at] == own) & (more[at] != other) & (at + 1 < len(keys)))
+        on = on[keys[at[on] + 1] == own[on]]
+        if not len(on):
+            break
+        at[on] += 1
+    hit[begins] = (keys[at] == own) & (more[at] == other) & (first[at] < ids[words.doc[begins]])
+    return hit
 
 
 def _kept(table: pa.Table, answers: pa.Table) -> pa.Table:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
     if not table.num_rows:
-        return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())], names=KEPT.names)
+        return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=KEPT.names)
     text = table.column("text")
     words = words_of(text, SPACED)
-    if answers.num_rows:
-        removed = _removed(words, _ids(table), _flat(answers, "keys").astype(U64), _flat(answers, "first"))
-    else:
-        removed = np.zeros(len(words.hash), dtype=bool)
+    removed = covered(len(words.hash), np.flatnonzero(_extended(words, _ids(table), answers)), LENGTH)
     counts = per_doc(removed, words.bounds)
     whole = words.data.tobytes()
-    kept = []
+    kept, repeats = [], []
     for d, n in enumerate(counts.tolist()):
         all_words = whole[words.offsets[d] : words.offsets[d + 1]].split()
+        runs = np.zeros(0, dtype=np.int64)
         if n:
-            gone = removed[words.bounds[d] : words.bounds[d + 1]].tolist()
-            all_words = [w for w, g in zip(all_words, gone) if not g]
+            gone = removed[words.bounds[d] : words.bounds[d + 1]]
+            runs = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+            all_words = [w for w, g in zip(all_words, gone.tolist()) if not g]
         kept.append(b" ".join(all_words))
+        repeats.append([{"start": a, "end": b} for a, b in zip(runs[::2].tolist(), runs[1::2].tolist())])
     return pa.Table.from_arrays(
-        [table.column("doc_id").cast(pa.int64()), pa.array(words.counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=KEPT.names
+        [table.column("doc_id").cast(pa.int64()), pa.array(words.counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(repeats, kinds[4])], names=KEPT.names
     )
 
 
 def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_text`` of each row of ``docs(doc_id, text)``.
+    """``doc_id, n_words, n_removed, kept_text, repeats`` of each row of ``docs(doc_id, text)``.
 
     A word is removed if a window of 13 words that covers it begins in a
     document with a smaller doc_id as well; ``kept_text`` has the others, joined
-    by blanks. Null and empty texts have no words; shorter texts than a window lose
+    by blanks, and ``repeats`` are the word ranges that go. Null and empty texts have no words; shorter texts than a window lose
     none. Rows of one doc_id never remove each other's words, so repeated rows
     fare alike. A null doc_id counts as greater than all others. An empty table gives an
     empty result; other columns are not read. A text of any length is handled
