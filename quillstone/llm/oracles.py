@@ -114,3 +114,56 @@ FROM p CROSS JOIN bar LEFT JOIN fit ON p.page_id = fit.page_id LEFT JOIN bound O
 """
 
 ORACLES |= {"op4_chat_formatting": CHAT, "op9_url_reputation": URLS}
+
+
+def _fences() -> tuple[str, str]:
+    """The fence columns of ``f`` and the condition under which ``r`` lies inside them."""
+    columns, inside = [], []
+    for r, top, of, incident, sides in (("wl", "word_chars", "n_words", 1, "low high"), ("sr", "n_symbols", "n_words", 4, "high"), ("dr", "n_dup_lines", "n_lines", 1, "high"), ("rr", "n_repeat_words", "n_words", 8, "high")):
+        for side in sides.split():
+            sign, cmp = ("+", "<= 0.75") if side == "high" else ("-", ">= -0.75")
+            columns.append(f"{r}_mid {sign} (6 * least(abs({r}_{side} - {r}_mid), 2 * greatest(abs(w_{r}_{side} - w_{r}_mid), {r}_mid)) + {incident}.0::DOUBLE / nullif({of}_mid, 0)) AS {r}_{side}_f")
+            root = "sqrt(greatest({}, 0) / " + f"{incident}.0::DOUBLE + 0.375)"
+            inside.append(f"coalesce({root.format(f'{top}::DOUBLE')} - {root.format(f'{of} * {r}_{side}_f')} {cmp}, true)")
+    return ", ".join(columns), " AND ".join(inside)
+
+
+_MEASURES = ("wl", "sr", "dr", "rr", "n_words", "n_lines")
+_NAMES = [f"{m}_{q}" for m in _MEASURES for q in ("low", "mid", "high")]
+_FENCE, _INSIDE = _fences()
+
+
+def _quantiles(name: str, by: str) -> str:
+    """CTEs of the quantiles of one level: merged buckets, ranks and one row a group."""
+    wide = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {q} END) AS {m}_{q}" for m in _MEASURES for q in ("low", "mid", "high"))
+    at = ", ".join(f"min(CASE WHEN upto >= {q} * n THEN v END) AS {c}" for c, q in (("low", "(1 - 0.7::DOUBLE)"), ("mid", "0.5::DOUBLE"), ("high", "0.7::DOUBLE")))
+    return f"""{name}_m AS (SELECT {by}, measure, bucket, sum(k) AS k FROM sketch GROUP BY ALL),
+{name}_r AS (SELECT *, sum(k) OVER (PARTITION BY {by}, measure ORDER BY bucket) AS upto, sum(k) OVER (PARTITION BY {by}, measure) AS n, CASE WHEN bucket = -1000000 THEN 0 ELSE pow(1.002::DOUBLE, bucket + 0.5::DOUBLE) END AS v FROM {name}_m),
+{name}_q AS (SELECT {by}, measure, max(n) AS n, {at} FROM {name}_r GROUP BY ALL),
+{name} AS (SELECT {by}, max(CASE WHEN measure = 'n_words' THEN n END) AS n, {wide} FROM {name}_q GROUP BY {by})"""
+
+
+QUALITY = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, {_words(SPACED_WORDS, False)} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i)),
+gr AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM gr, LATERAL (SELECT unnest(range(i, i + 8)) AS p) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id),
+r AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(ln.dup, 0) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(ln.n, 0) AS n_lines FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN ln ON ln.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM r),
+v AS (SELECT lang, source, unnest([{{'m': 'wl', 'v': word_chars / nullif(n_words, 0)}}, {{'m': 'sr', 'v': n_symbols / nullif(n_words, 0)}}, {{'m': 'dr', 'v': n_dup_lines / nullif(n_lines, 0)}},
+        {{'m': 'rr', 'v': n_repeat_words / nullif(n_words, 0)}}, {{'m': 'n_words', 'v': n_words::DOUBLE}}, {{'m': 'n_lines', 'v': n_lines::DOUBLE}}]) AS x FROM b WHERE NOT base_failed),
+sketch AS (SELECT lang, source, x.m AS measure, CASE WHEN x.v = 0 THEN -1000000 ELSE CAST(floor(ln(x.v) / ln(1.002::DOUBLE)) AS INTEGER) END AS bucket, count(*) AS k, 1 AS corpus FROM v WHERE x.v IS NOT NULL GROUP BY ALL),
+{_quantiles("gq", "lang, source")},
+{_quantiles("lq", "lang")},
+{_quantiles("cq", "corpus")},
+w AS (SELECT gq.lang, gq.source, gq.n, {", ".join(f"CASE WHEN lq.n >= 100 THEN lq.{c} ELSE cq.{c} END AS w_{c}" for c in _NAMES)}, {", ".join(f"gq.{c} AS o_{c}" for c in _NAMES)} FROM gq JOIN lq ON gq.lang = lq.lang CROSS JOIN cq),
+p AS (SELECT *, {", ".join(f"CASE WHEN n >= 100 THEN o_{c} ELSE w_{c} END AS {c}" for c in _NAMES)} FROM w),
+f AS (SELECT lang, source, {_FENCE} FROM p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_INSIDE} AS kept
+FROM b LEFT JOIN f ON f.lang = b.lang AND f.source = b.source
+"""
+
+ORACLES |= {"op1_quality_rules": QUALITY}
