@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def cooccurrence(rows: DataFrame, group: str, member: str, least: int) -> DataFr
     return pairs.groupBy("first_id", "second_id").agg(F.count(F.lit(1)).alias("n_outcomes"))
 
 
-def closure(seeds: DataFrame, links: DataFrame, most: int = 100) -> DataFrame:
+def closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """``node, depth`` of all that ``links(src, dst)`` lead to from ``seeds(node)``.
 
     Breadth first: each round joins the last round's nodes alone, and is
@@ -26,22 +28,24 @@ def closure(seeds: DataFrame, links: DataFrame, most: int = 100) -> DataFrame:
     """
     seen = seeds.select("node", F.lit(0).cast("long").alias("depth")).distinct()
     front = seen
-    for depth in range(1, most + 1):
+    depth = 0
+    while True:
+        depth += 1
         found = front.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = durable(found.join(seen.select(F.col("node").alias("old")), F.col("node") == F.col("old"), "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if front.isEmpty():
             return seen
         seen = seen.union(front)
-    raise ValueError(f"the closure is deeper than {most}")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """A checkpoint in ``spark.checkpoint.dir``. Where that is unset, local sessions get a temporary folder; a cluster must name one."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 

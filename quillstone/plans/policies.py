@@ -80,10 +80,11 @@ def page_violations(spark: SparkSession, sf: str) -> DataFrame:
     return per.select("conv_id", F.explode(F.filter(F.array(*[F.when(c, name) for name, c in rules.items()]), lambda x: x.isNotNull())).alias("rule"))
 
 
-@query("""SELECT vec_id AS unit, 'dimension' AS rule FROM embeddings WHERE len(embedding) <> 64 UNION ALL SELECT vec_id, 'not_finite' FROM embeddings WHERE len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0 UNION ALL SELECT vec_id, 'no_unit' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)""")
+@query("""SELECT vec_id AS unit, 'dimension' AS rule FROM embeddings WHERE len(embedding) <> 64 UNION ALL SELECT vec_id, 'not_finite' FROM embeddings WHERE len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0 UNION ALL SELECT vec_id, 'no_unit' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))""")
 def retrieval_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors that an index must not hold."""
-    units = table(spark, sf, "documents").where("doc_id % 3 <> 0").select("doc_id")
+    barred = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    units = table(spark, sf, "documents").select("doc_id").join(barred, "doc_id", "left_anti")
     rows = table(spark, sf, "embeddings").join(units, F.col("vec_id") == F.col("doc_id"), "left")
     odd = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     rules = {"dimension": F.size("embedding") != 64, "not_finite": odd, "no_unit": F.col("doc_id").isNull()}

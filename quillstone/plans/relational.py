@@ -76,15 +76,15 @@ def bundle_assemble(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").join(children, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("id"), F.coalesce("n", F.lit(0)).alias("n_children"), F.coalesce("q", F.lit(0.0)).alias("quantity"))
 
 
-@query("""WITH i AS (SELECT l_suppkey AS id, md5(string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR)) AS d FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1),
-e AS (SELECT l_suppkey AS id, md5(string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR)) AS d FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1)
+@query("""WITH i AS (SELECT l_suppkey AS id, md5(string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR)) AS d FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1),
+e AS (SELECT l_suppkey AS id, md5(string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR)) AS d FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
 SELECT i.id, CASE WHEN e.id IS NULL THEN 'created' WHEN e.d = i.d THEN 'reused' ELSE 'conflict' END AS disposition FROM i LEFT JOIN e ON i.id = e.id""")
 def immutable_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Incoming append-only records against those present: created, reused or in conflict."""
+    """Incoming append-only records (open lines of a supplier) against those present (its finished ones): created, reused or in conflict."""
     digest = F.md5(F.array_join(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))), ","))
     rows = table(spark, sf, "lineitem")
-    incoming = rows.where("l_orderkey % 2 = 0").groupBy(F.col("l_suppkey").alias("id")).agg(digest.alias("d"))
-    present = rows.where("l_orderkey % 3 = 0").groupBy(F.col("l_suppkey").alias("e_id")).agg(digest.alias("e_d"))
+    incoming = rows.where("l_linestatus = 'O'").groupBy(F.col("l_suppkey").alias("id")).agg(digest.alias("d"))
+    present = rows.where("l_linestatus = 'F'").groupBy(F.col("l_suppkey").alias("e_id")).agg(digest.alias("e_d"))
     state = F.when(F.col("e_id").isNull(), "created").when(F.col("d") == F.col("e_d"), "reused").otherwise("conflict")
     return incoming.join(present, F.col("id") == F.col("e_id"), "left").select("id", state.alias("disposition"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import search
+from quillstone.operators.digests import set_digest
 from quillstone.registry import query
 from quillstone.sources.tables import table, units
 
@@ -48,7 +49,11 @@ def _semantic(spark: SparkSession, sf: str) -> DataFrame:
     return search.cosine(vectors, vectors.where(F.col("unit") == VECTOR_ID).select("embedding"))
 
 
-@query(f"SELECT * FROM ({_EXACT}) WHERE rank <= {TOP}")
+#: What an exact search selects.
+SELECTED_SQL = f"SELECT * FROM ({_EXACT}) WHERE rank <= {TOP}"
+
+
+@query(SELECTED_SQL)
 def exact_search(spark: SparkSession, sf: str) -> DataFrame:
     """Units that hold a literal, in source order."""
     return search.top(_exact(spark, sf), [F.col("unit")], TOP).select("unit", "rank")
@@ -132,14 +137,29 @@ def exact_lexical_projection(spark: SparkSession, sf: str) -> DataFrame:
     return _units(spark, sf).select(F.col("unit").alias("doc_id"), F.sha2("text", 256).alias("body"), F.sha2(X.folded(F.col("text")), 256).alias("body_folded"), F.size(X.terms(F.col("text"))).cast("long").alias("n_terms"))
 
 
-@query("""WITH a AS (SELECT source, md5(string_agg(sha256(text), '' ORDER BY sha256(text))) AS f, count(*) AS n FROM documents GROUP BY source),
-b AS (SELECT source, md5(string_agg(sha256(text), '' ORDER BY sha256(text))) AS f, count(*) AS n FROM documents WHERE doc_id <> 5 GROUP BY source)
+#: The index holds what the labels cover, with the ends of texts trimmed as it was when they were indexed.
+_PART = "string_agg(prefix || ':' || part, ',' ORDER BY prefix)"
+
+
+def _state_sql(text: str, rows: str) -> str:
+    return f"""SELECT source, sha256({_PART}) AS f, CAST(sum(k) AS BIGINT) AS n FROM (SELECT source, left(d, 2) AS prefix, count(*) AS k, sum(('0x' || substr(d, 3, 8))::BIGINT) || '-' || sum(('0x' || substr(d, 11, 8))::BIGINT) || '-' || sum(('0x' || substr(d, 19, 8))::BIGINT) || '-' || count(*) AS part
+FROM (SELECT source, sha256({text}) AS d FROM {rows}) GROUP BY 1, 2) GROUP BY source"""
+
+
+@query(f"""WITH a AS ({_state_sql("text", "documents")}),
+b AS ({_state_sql("trim(text)", "documents JOIN embeddings ON vec_id = doc_id")})
 SELECT a.source, CASE WHEN b.source IS NULL THEN 'not_found' WHEN a.n <> b.n THEN 'incomplete' WHEN a.f <> b.f THEN 'stale' ELSE 'fresh' END AS state FROM a LEFT JOIN b ON a.source = b.source""")
 def index_freshness(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether an index still holds what its documents say."""
-    rows = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("d"))
-    state = lambda r: r.groupBy("source").agg(F.md5(F.array_join(F.array_sort(F.collect_list("d")), "")).alias("f"), F.count(F.lit(1)).alias("n"))
-    now, then = state(rows), state(rows.where("doc_id <> 5")).select(F.col("source").alias("b"), F.col("f").alias("bf"), F.col("n").alias("bn"))
+    """Whether an index still holds what its documents say: it has one vector for each document, and was built of trimmed texts."""
+    docs = table(spark, sf, "documents")
+    indexed = docs.join(table(spark, sf, "embeddings").select("vec_id"), F.col("vec_id") == F.col("doc_id"))
+
+    def state(rows: DataFrame, text: Column) -> DataFrame:
+        own = rows.select("source", F.sha2(text, 256).alias("d"))
+        counts = own.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+        return set_digest(own, ["source"], "d").join(counts, F.col("source") == F.col("s")).select("source", F.col("digest").alias("f"), "n")
+
+    now, then = state(docs, F.col("text")), state(indexed, F.trim("text")).select(F.col("source").alias("b"), F.col("f").alias("bf"), F.col("n").alias("bn"))
     found = F.when(F.col("b").isNull(), "not_found").when(F.col("n") != F.col("bn"), "incomplete").when(F.col("f") != F.col("bf"), "stale").otherwise("fresh")
     return now.join(then, F.col("source") == F.col("b"), "left").select("source", found.alias("state"))
 
@@ -152,10 +172,10 @@ def semantic_integrity(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("unit"), F.col("doc_id").isNotNull().alias("has_unit"), (F.size("embedding") == 64).alias("whole"))
 
 
-@query("""SELECT doc_id, 'search_document: title=' || source || ' lang=' || lang || chr(10) || left(text, 200) AS input FROM documents""")
+@query("""SELECT doc_id, 'search_document: title=' || source || ' lang=' || lang || chr(10) || text AS input FROM documents""")
 def semantic_input(spark: SparkSession, sf: str) -> DataFrame:
     """What is handed to the embedding model."""
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("search_document: title="), "source", F.lit(" lang="), "lang", F.lit("\n"), F.substring("text", 1, 200)).alias("input"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("search_document: title="), "source", F.lit(" lang="), "lang", F.lit("\n"), "text").alias("input"))
 
 
 @query("""SELECT label, count(*) AS n, CAST(min(vec_id) AS BIGINT) AS first_id FROM embeddings GROUP BY label""")

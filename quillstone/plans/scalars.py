@@ -79,11 +79,11 @@ def confidence_label(spark: SparkSession, sf: str) -> DataFrame:
     return assertions(spark, sf).select("id", X.confidence_label(F.col("confidence")).alias("label"))
 
 
-@query("""WITH n AS (SELECT r_regionkey, list(n_name ORDER BY n_name) AS l FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0 GROUP BY 1)
+@query("""WITH n AS (SELECT r_regionkey, list(n_name ORDER BY n_name) AS l FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)
 SELECT r_regionkey, CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' and ' || l[2] ELSE array_to_string(l[:-2], ', ') || ', and ' || l[-1] END AS names FROM n""")
 def join_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names in a sentence."""
-    names = table(spark, sf, "nation").where("n_nationkey % 4 <> 0").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("l"))
+    names = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("l"))
     return names.select("r_regionkey", X.joined_names(F.col("l")).alias("names"))
 
 

@@ -122,15 +122,6 @@ def span_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(F.length("text") >= 40).select("doc_id", span.alias("span"), F.sha2(span, 256).alias("digest"))
 
 
-@query("""WITH t AS (SELECT doc_id, text, substr(text, 11, 20) AS exact, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END || substr(text, 1, 10) AS prefix FROM documents)
-SELECT doc_id, CASE WHEN length(text) < 30 THEN 'out_of_bounds' WHEN prefix <> substr(text, 1, 10) THEN 'prefix_mismatch' WHEN contains(substr(text, 12), exact) THEN 'not_unique' ELSE 'valid' END AS outcome FROM t""")
-def evidence_validate(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether evidence still stands where it was found, by the first check that fails."""
-    rows = table(spark, sf, "documents").select("doc_id", "text", F.substring("text", 11, 20).alias("exact"), F.concat(F.when(F.col("doc_id") % 7 == 0, "x").otherwise(""), F.substring("text", 1, 10)).alias("prefix"))
-    outcome = F.when(F.length("text") < 30, "out_of_bounds").when(F.col("prefix") != F.substring("text", 1, 10), "prefix_mismatch").when(F.substring("text", 12, 2**30).contains(F.col("exact")), "not_unique").otherwise("valid")
-    return rows.select("doc_id", outcome.alias("outcome"))
-
-
 @query("""SELECT doc_id, CAST(strpos(text, q) AS BIGINT) - 1 AS start_char, CAST(strpos(text, q) - 1 + length(q) AS BIGINT) AS end_char FROM (SELECT doc_id, text, substr(text, length(text) // 2, 25) AS q FROM documents WHERE length(text) > 60)""")
 def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
     """The span of a quote in its document."""
@@ -157,11 +148,11 @@ def analysis_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \t\n\r\x0b\x0c]+')) AS BIGINT) AS n, len(string_split(text, chr(10))) AS f FROM documents)
-SELECT doc_id, n AS required_tokens, CASE WHEN n <= 1574 THEN 'ready' WHEN f > 1 THEN 'split' ELSE 'blocked' END AS outcome FROM t""")
+SELECT doc_id, n AS required_tokens, CASE WHEN n <= 15744 THEN 'ready' WHEN f > 1 THEN 'split' ELSE 'blocked' END AS outcome FROM t""")
 def context_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Whether all that is required fits the budget, must be split, or can't be handled."""
     n = F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\x0b\x0c]+"), F.lit(0))).cast("long")
-    outcome = F.when(n <= 1574, "ready").when(F.col("text").contains("\n"), "split").otherwise("blocked")
+    outcome = F.when(n <= 15744, "ready").when(F.col("text").contains("\n"), "split").otherwise("blocked")
     return table(spark, sf, "documents").select("doc_id", n.alias("required_tokens"), outcome.alias("outcome"))
 
 
