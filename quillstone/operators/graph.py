@@ -38,6 +38,25 @@ def closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
         seen = seen.union(front)
 
 
+def cyclic(edges: DataFrame, group: str) -> DataFrame:
+    """``group, cyclic`` of each group of ``edges(group, src, dst)``: whether some path comes back to where it began.
+
+    Paths are doubled: after round k there is a row for each pair of nodes with a path of exactly 2 ** k edges, and each pair's
+    paths are counted once. A group without a cycle runs out of pairs by the time paths are longer than it has
+    nodes, so the rounds are the logarithm of the largest group. Self-links are cycles.
+    """
+    nodes = edges.select(group, F.explode(F.array("src", "dst")).alias("n")).groupBy(group).agg(F.count_distinct("n").alias("size"))
+    pairs = durable(edges.select(group, "src", "dst").where("src is not null and dst is not null").distinct())
+    most = nodes.agg(F.max("size")).first()[0] or 0
+    length = 1
+    while length <= most and not pairs.isEmpty():
+        onward = pairs.select(F.col(group).alias("g"), F.col("src").alias("mid"), F.col("dst").alias("end"))
+        pairs = durable(pairs.join(onward, (F.col(group) == F.col("g")) & (F.col("dst") == F.col("mid"))).select(group, "src", F.col("end").alias("dst")).distinct())
+        length *= 2
+    left = pairs.select(F.col(group).alias("g")).distinct()
+    return nodes.join(left, F.col(group) == F.col("g"), "left").select(group, F.col("g").isNotNull().alias("cyclic"))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """A checkpoint in ``spark.checkpoint.dir``. Where that is unset, local sessions get a temporary folder; a cluster must name one."""
     context = df.sparkSession.sparkContext

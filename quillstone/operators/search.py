@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import folded, terms
+from quillstone.operators.graph import durable
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -27,28 +28,25 @@ def exact(units: DataFrame, literal: str) -> DataFrame:
     return units.where(folded(F.col("text")).contains(literal.lower().replace("ß", "ss"))).select("unit")
 
 
-def _times(words: str, word: str) -> Column:
-    """How often a word occurs."""
-    return F.size(F.filter(words, lambda x: x == word))
-
-
 def bm25(units: DataFrame, words: list[str]) -> DataFrame:
     """``unit, score`` of units with any of the words; less is better, repeated words count repeatedly.
 
-    One pass counts the words of the query in each unit; only these counts are
-    kept. The corpus statistics are one row, broadcast to the scores.
+    Texts are tokenised once: each unit's size and its counts of the query's words come from one pass and are written,
+    and both the corpus statistics and the scores are read from there. The statistics are one row, broadcast to the scores.
     """
     times = Counter(words)
-    counts = {w: f"tf{i}" for i, w in enumerate(times)}
-    found = terms(F.col("text"))
-    rows = units.select("unit", found.alias("w")).select("unit", F.size("w").alias("size"), *[_times("w", w).alias(c) for w, c in counts.items()])
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in counts.values()])
+    names = {w: f"tf{i}" for i, w in enumerate(times)}
+    found = F.filter("w", lambda x: x.isin(*times))
+    counts = F.aggregate(found, F.array(*[F.lit(0) for _ in times]), lambda done, x: F.zip_with(done, F.array(*[F.lit(w) for w in times]), lambda n, w: n + (x == w).cast("int")))
+    rows = units.select("unit", terms(F.col("text")).alias("w")).select("unit", F.size("w").alias("size"), counts.alias("c"))
+    rows = durable(rows.select("unit", "size", *[F.get("c", F.lit(i)).alias(c) for i, c in enumerate(names.values())]))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in names.values()])
     score = F.lit(0.0)
-    for w, c in counts.items():
+    for w, c in names.items():
         idf = F.log((F.col("n") - F.col(f"df_{c}") + 0.5) / (F.col(f"df_{c}") + 0.5))
         weight = F.when(idf <= 0, 1e-6).otherwise(idf) * times[w]
         score = score + weight * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    any_word = F.greatest(*map(F.col, counts.values())) if len(counts) > 1 else F.col(next(iter(counts.values())))
+    any_word = F.greatest(*map(F.col, names.values())) if len(names) > 1 else F.col(next(iter(names.values())))
     return rows.where(any_word > 0).join(F.broadcast(stats)).select("unit", F.round(-score, 6).alias("score"))
 
 
@@ -77,21 +75,32 @@ def fuse(channels: dict[str, DataFrame], k: int) -> DataFrame:
 
 
 
+#: A word with something else on both sides: whatever holds the text around it holds it as a whole word.
+INNER = r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"
+
 
 def occurrences(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``item_id, n_documents, n_occurrences`` of each anchor text in the documents.
+    """``item_id, n_documents, n_occurrences`` of each anchor text in the documents, as a plain literal.
 
-    An
-    anchor meets only documents that hold its first word, by an equi-join on it.
+    An anchor meets only documents that hold the rarest of its inner words, those between its first and last, which may be parts of
+    longer words in a document. Anchors without inner words are looked for in every document. Candidates are
+    confirmed on whole texts; a document's text meets all of its anchors in one row.
     """
-    head = F.regexp_extract("text", r"[\p{L}\p{N}]+", 0)
-    wanted = anchors.select("item_id", F.col("text").alias("anchor"), head.alias("head"))
+    wanted = anchors.select("item_id", F.col("text").alias("anchor")).where("anchor != ''").withColumn("inner", F.array_distinct(F.regexp_extract_all("anchor", F.lit(INNER), F.lit(0))))
+    pieces = wanted.select("item_id", "anchor", F.explode("inner").alias("word"))
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    heads = wanted.select(F.col("head").alias("h")).distinct()
-    holders = docs.select("doc_id", F.explode(words).alias("w")).join(heads, F.col("w") == F.col("h"), "left_semi")
-    found = holders.join(wanted, F.col("w") == F.col("head")).join(docs.select(F.col("doc_id").alias("d"), "text"), F.col("doc_id") == F.col("d")).where(F.col("text").contains(F.col("anchor")))
+    held = docs.select("doc_id", F.explode(words).alias("w")).join(pieces.select(F.col("word").alias("w")).distinct(), "w", "left_semi")
+    counts = held.groupBy(F.col("w").alias("c_word")).agg(F.count(F.lit(1)).alias("k"))
+    # A word that no document has makes its anchor's count zero, so absent ones are the rarest.
+    rarest = pieces.join(counts, F.col("word") == F.col("c_word"), "left").groupBy("item_id", "anchor").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "word")).alias("r")).where("r.k > 0")
+    found = held.join(rarest.select("item_id", "anchor", F.col("r.word").alias("r_word")), F.col("w") == F.col("r_word")).select("doc_id", "item_id", "anchor")
+    short = wanted.where(F.size("inner") == 0).agg(F.collect_set(F.struct("item_id", "anchor")).alias("s"))
+    by_doc = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("item_id", "anchor")).alias("a"))
+    none = F.array().cast("array<struct<item_id:bigint,anchor:string>>")
+    both = docs.select("doc_id", "text").join(by_doc, F.col("doc_id") == F.col("d"), "left").join(short)  # one row: the anchors of one or two words
+    each = both.select("text", F.explode(F.concat(F.coalesce("a", none), F.coalesce("s", none))).alias("x")).select("text", "x.item_id", "x.anchor").where(F.col("text").contains(F.col("anchor")))
     n = (F.length("text") - F.length(F.replace("text", "anchor", F.lit("")))) / F.length("anchor")
-    counted = found.groupBy(F.col("item_id").alias("i")).agg(F.count(F.lit(1)).alias("n_documents"), F.sum(n).cast("long").alias("n_occurrences"))
+    counted = each.groupBy(F.col("item_id").alias("i")).agg(F.count(F.lit(1)).alias("n_documents"), F.sum(n).cast("long").alias("n_occurrences"))
     zero = F.lit(0).cast("long")
     return anchors.select("item_id").join(counted, F.col("item_id") == F.col("i"), "left").select("item_id", F.coalesce("n_documents", zero).alias("n_documents"), F.coalesce("n_occurrences", zero).alias("n_occurrences"))
 

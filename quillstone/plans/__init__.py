@@ -1,6 +1,6 @@
 """All registered queries but those for training data."""
 
-from quillstone.plans import evidence, graph, harness, ledger, policies, relational, retrieval, scalars, structure
+from quillstone.plans import briefing, documents, evidence, graph, harness, ledger, news, policies, relational, retrieval, scalars, structure
 from quillstone.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evidence", "graph", "harness", "ledger", "policies", "relational", "retrieval", "scalars", "structure"]
+__all__ = ["ORACLES", "QUERIES", "briefing", "documents", "evidence", "graph", "harness", "ledger", "news", "policies", "relational", "retrieval", "scalars", "structure"]

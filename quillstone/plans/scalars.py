@@ -166,12 +166,6 @@ def html_lang(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", r'<html[^>]* lang="([^"]*)"', 1).alias("lang"), F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
 
 
-@query(r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?s)<p[ >].*?</p>')) AS BIGINT) AS n_paragraphs, regexp_matches(html, '<article[ >]') AS semantic FROM pages")
-def html_article(spark: SparkSession, sf: str) -> DataFrame:
-    """How an article is marked up: semantic elements, and its paragraphs."""
-    return table(spark, sf, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?s)<p[ >].*?</p>"), F.lit(0))).cast("long").alias("n_paragraphs"), F.col("html").rlike("<article[ >]").alias("semantic"))
-
-
 @query("""SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - length(translate(text, '#$%&*', ''))) / length(text)::DOUBLE END, 9) AS rate FROM documents""")
 def glyph_quality(spark: SparkSession, sf: str) -> DataFrame:
     """The rate of suspicious characters."""
