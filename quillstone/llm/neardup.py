@@ -199,7 +199,7 @@ def _named(members: DataFrame, groups: DataFrame) -> DataFrame:
     return named.join(still.where("low != high and any").select("key", "parts"), "key")
 
 
-def _close(members: DataFrame, texts: DataFrame, links: DataFrame, groups: DataFrame, checked: DataFrame) -> DataFrame:
+def _close(members: DataFrame, texts: DataFrame, groups: DataFrame, checked: DataFrame) -> DataFrame:
     """Components after comparing, in each bucket, all homes with those of other components that a similar pair could be made of."""
     dealt = _named(members, groups).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).repartition("key", "part")
     place = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.desc("home"), "doc_id"))
@@ -220,8 +220,7 @@ def _close(members: DataFrame, texts: DataFrame, links: DataFrame, groups: DataF
             checked = checked.union(more)
             found = stash(_verified(more, texts), "links")
             if found.take(1):
-                links = links.union(found)
-                groups = components(links, "p", "m")
+                groups = components(groups.select(F.col("component").alias("p"), F.col("node").alias("m")).union(found), "p", "m")
                 if upto < last:
                     named = stash(_named(named, groups), "open")
         done = upto
@@ -256,7 +255,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = _named(members.where("size > 2").select("key", "doc_id"), groups).select("doc_id").distinct()
     rest = stash(texts.join(rest, "doc_id", "left_semi"), "rest")
     if rest.take(1):
-        groups = _close(_rare_buckets(rest), rest, links, groups, pairs)
+        groups = _close(_rare_buckets(rest), rest, groups, pairs)
     grouped = classes.join(groups, F.col("rep") == F.col("node"), "left").select(*[F.col(c).alias(f"r_{c}") for c in digest], F.coalesce("component", "rep").alias("component"))
     same = (F.col("d1") == F.col("r_d1")) & (F.col("d2") == F.col("r_d2")) & (F.col("n_shingles") == F.col("r_n_shingles"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
