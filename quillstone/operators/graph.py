@@ -50,11 +50,11 @@ def cyclic(edges: DataFrame, group: str) -> DataFrame:
     most = nodes.agg(F.max("size")).first()[0] or 0
     length = 1
     while length <= most and not pairs.isEmpty():
-        onward = pairs.select(F.col(group).alias("g"), F.col("src").alias("mid"), F.col("dst").alias("end"))
-        pairs = durable(pairs.join(onward, (F.col(group) == F.col("g")) & (F.col("dst") == F.col("mid"))).select(group, "src", F.col("end").alias("dst")).distinct())
+        onward = pairs.select(F.col(group).alias("__g"), F.col("src").alias("__mid"), F.col("dst").alias("__end"))
+        pairs = durable(pairs.join(onward, (F.col(group) == F.col("__g")) & (F.col("dst") == F.col("__mid"))).select(group, "src", F.col("__end").alias("dst")).distinct())
         length *= 2
-    left = pairs.select(F.col(group).alias("g")).distinct()
-    return nodes.join(left, F.col(group) == F.col("g"), "left").select(group, F.col("g").isNotNull().alias("cyclic"))
+    left = pairs.select(F.col(group).alias("__g")).distinct()
+    return nodes.join(left, F.col(group) == F.col("__g"), "left").select(group, F.col("__g").isNotNull().alias("cyclic"))
 
 
 def durable(df: DataFrame) -> DataFrame:
