@@ -1,4 +1,8 @@
-"""A cleaning pipeline over ``documents``: each stage works on what its predecessor kept."""
+"""A cleaning pipeline over ``documents``: each stage works on what its predecessor kept.
+
+All stages take rows with nulls in any column, empty and very long texts, repeated rows, no rows at all, and further columns of any
+name; what each makes of them is stated by the function that it calls. All but the last return the columns that they were given.
+"""
 
 from __future__ import annotations
 
@@ -6,31 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import decontam, neardup, packing, pii, quality
 from quillstone.llm.queries import tokenizer_path
-from quillstone.llm.store import stash
+from quillstone.llm.store import scratch, stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go; a null or empty text has no words and is rejected, repeated rows go or stay alike."""
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the one of least doc_id, with all its rows. Rows without a doc_id or words stay."""
     return neardup.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a span with the benchmark go."""
+    """Rows whose text shares a span with the benchmark go; each row is judged by its own text, so rows without a doc_id are too."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it are replaced in the texts."""
+    """Personal data and the terms that disclose it are replaced in the texts; no row goes, and a null text stays null."""
     return pii.with_text(docs, pii.sanitise(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids in training sequences."""
+    """Pieces of the documents' ids in training sequences; an empty or null text is the one end id."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -47,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written as Parquet and read again."""
+    """All stages in turn, each written as Parquet and read again. What a stage wrote for itself goes once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

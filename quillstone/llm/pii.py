@@ -19,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.spans import given, listed, matches, replaced, tagged
-from quillstone.llm.store import stash
+from quillstone.llm.spans import blocks, given, listed, matches, replaced, tagged
+from quillstone.llm.store import stash, within_bounds
 
 # The patterns that are asked for. A run is entered only at its
 # beginning or where the last match ended, and is not given back, so that long runs take linear time.
@@ -82,13 +82,20 @@ def _found(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     rows = rows.select("doc_id", "text", F.concat(*[tagged(F.col(k), k) for k in KINDS]).alias("base"))
 
-    def around(s: Column) -> Column:
-        lead = F.greatest(s["start"] - REACH, F.lit(0))
-        before, after = F.substring(F.col("text"), lead + 1, s["start"] - lead), F.substring(F.col("text"), s["end"] + 1, F.lit(REACH))
-        return F.struct(_entity(s).alias("entity"), F.xxhash64(before, after).alias("context"))
+    def contexts(block: Column) -> Column:
+        """The mentions of a block of spans with their contexts, cut from the stretch of text that holds them all."""
+        begin = F.greatest(F.array_min(F.transform(block, lambda s: s["start"])) - REACH, F.lit(0))
+        stretch = F.substring(F.col("text"), begin + 1, F.array_max(F.transform(block, lambda s: s["end"])) + REACH - begin)
+
+        def around(t: Column, s: Column) -> Column:
+            lead = F.greatest(s["start"] - REACH, F.lit(0))
+            before, after = F.substring(t, lead - begin + 1, s["start"] - lead), F.substring(t, s["end"] - begin + 1, F.lit(REACH))
+            return F.struct(_entity(s).alias("entity"), F.xxhash64(before, after).alias("context"))
+
+        return given(stretch, lambda t: F.transform(block, lambda s: around(t, s)))
 
     terms = F.when(F.size("base") > 0, _terms(_masked(F.col("text"), F.col("base"))))
-    return rows.select("doc_id", _row(F.col("text")).alias("row"), "base", F.transform("base", around).alias("entities"), terms.alias("terms"))
+    return rows.select("doc_id", _row(F.col("text")).alias("row"), "base", F.flatten(F.transform(given(F.col("base"), blocks), contexts)).alias("entities"), terms.alias("terms"))
 
 
 def _disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -131,6 +138,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     words = texts.select("t_row", F.explode(_terms(F.col("text"))).alias("word"))
     hits = words.join(told, F.col("word") == F.col("term")).groupBy("t_row").agg(F.collect_set(F.struct("term", "share")).alias("told"))
     hits = stash(hits, "told").withColumnRenamed("t_row", "h_row")
+    hits = within_bounds(hits, 100 + 40 * F.size("told"))  # so that texts stay in their tasks where few have such terms
     bases = found.select(F.col("row").alias("b_row"), F.col("base").alias("b_base")).join(hits.select("h_row"), F.col("b_row") == F.col("h_row"), "left_semi").dropDuplicates(["b_row"])
     at = texts.join(hits, F.col("t_row") == F.col("h_row")).dropDuplicates(["t_row"]).join(bases, F.col("t_row") == F.col("b_row"))
     share = lambda v: F.try_element_at(F.col("told"), F.lower(v))
@@ -151,7 +159,9 @@ def with_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """
     key = _row(F.coalesce("text", F.lit("")))
     one = spans.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("row").alias("__row"), F.col("base").alias("__base"), F.col("terms").alias("__terms"))
-    joined = docs.withColumn("__key", key).join(one.dropDuplicates(["__row"]), F.col("__key") == F.col("__row"), "left")
+    one = stash(one.dropDuplicates(["__row"]), "replaced")
+    one = within_bounds(one, 100 + 60 * (F.size("__base") + F.size("__terms")))
+    joined = docs.withColumn("__key", key).join(one, F.col("__key") == F.col("__row"), "left")
     as_text = F.transform("__terms", lambda t: F.struct(_class_of(t).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))
     both = F.concat(F.transform("__base", lambda s: F.struct(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))), as_text)
     text = F.when(F.col("__row").isNull(), F.col("text")).otherwise(replaced(F.col("text"), both, lambda s: s["kind"]))

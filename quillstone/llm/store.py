@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The folders that tables are written to, the innermost last; each entry is of one session's application.
 _open: list[str] = []
@@ -70,3 +71,13 @@ def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{own if keep or not _open else _open[-1]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of a table that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def within_bounds(df: DataFrame, weight: Column) -> DataFrame:
+    """``df``, to be broadcast if its rows' ``weight`` in bytes adds up to no more than BROADCAST_BYTES; else Spark shuffles and splits skewed keys. Reads ``df`` once."""
+    total = df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
