@@ -39,9 +39,15 @@ def acronyms(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: w.rlike("^[A-Z]{2,}$"))))
 
 
+#: Latin letters with diacritics, and what is left of them without; combining marks, which come after, are left out altogether.
+MARKED = "".join(c for c in map(chr, range(0xE0, 0x250)) if unicodedata.combining(unicodedata.normalize("NFD", c)[-1]) and c == c.lower())
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in MARKED)
+MARKED += "".join(map(chr, range(0x300, 0x370)))
+
+
 def terms(text: Column) -> Column:
-    """The words that full-text search indexes."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """The words that full-text search indexes: in lower case, without diacritics."""
+    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def confidence_label(c: Column) -> Column:

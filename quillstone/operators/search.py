@@ -105,13 +105,23 @@ def occurrences(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     return anchors.select("item_id").join(counted, F.col("item_id") == F.col("i"), "left").select("item_id", F.coalesce("n_documents", zero).alias("n_documents"), F.coalesce("n_occurrences", zero).alias("n_occurrences"))
 
 
+#: Queries that are broadcast together.
+BLOCK = 10_000
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest vectors of each row of a stated query set, itself left out.
 
-    The query set is broadcast, and each task keeps the k best of each query before
-    anything is shuffled, so the shuffle holds k rows a query and task.
+    The queries come in blocks of about BLOCK, each broadcast; in each task the rows of a query are ranked before they are shuffled,
+    as Spark limits ranks ahead of the exchange.
     """
+    blocks = max(1, -(-queries.count() // BLOCK))
     near = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding"))) / F.sqrt(dot(F.col("q"), F.col("q")))
-    scored = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "q_label", "vec_id", "label", F.round(near, 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    out = None
+    for i in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = vectors.join(F.broadcast(part), F.col("vec_id") != F.col("query_id")).select("query_id", "q_label", "vec_id", "label", F.round(near, 6).alias("score"))
+        ranked = scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+        out = ranked if out is None else out.union(ranked)
+    return out

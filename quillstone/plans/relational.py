@@ -121,10 +121,11 @@ def latest_complete(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE ts > (SELECT ts FROM events WHERE event_id = 500) OR (ts = (SELECT ts FROM events WHERE event_id = 500) AND event_id > 500) ORDER BY ts, event_id LIMIT 100")
 def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
-    """The page of 100 rows after a (time, id) cursor."""
+    """The page of 100 rows after a (time, id) cursor. The cursor's one row is read first, so that its time reaches the scan as a filter."""
     events = table(spark, sf, "events")
-    cursor = events.where("event_id = 500").select(F.struct("ts", "event_id").alias("cursor"))  # one row
-    later = events.join(F.broadcast(cursor), F.struct("ts", "event_id") > F.col("cursor"))
+    at = events.where("event_id = 500").select(F.col("ts").cast("string")).first()
+    ts = F.lit(at[0] if at else None).cast(events.schema["ts"].dataType)
+    later = events.where((F.col("ts") >= ts) & ((F.col("ts") > ts) | (F.col("event_id") > 500)))
     return later.orderBy("ts", "event_id").limit(100).select("event_id", "user_id", "event_type")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions import text as X
 from quillstone.operators import search
 from quillstone.operators.digests import set_digest
 from quillstone.registry import query
@@ -17,8 +18,9 @@ VECTOR_ID = 0
 TOP = 20
 
 _EXACT = f"""SELECT doc_id AS unit, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE contains(replace(lower(text), 'ß', 'ss'), '{LITERAL}')"""
-_BM25 = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+_TERMS = f"regexp_extract_all(translate(lower(text), '{X.MARKED}', '{X.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+_BM25 = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
 s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
 q(term, times) AS (VALUES ('the', 2), ('tion', 1), ('ing', 1)),
 t AS (SELECT doc_id, len(w) AS size, term, times, len(list_filter(w, lambda x: x = term)) AS tf FROM d, q),
@@ -129,11 +131,9 @@ def retrieval_units(spark: SparkSession, sf: str) -> DataFrame:
     return units(spark, sf).where("text <> ''").select("source_order", "unit_id", F.sha2("text", 256).alias("digest"))
 
 
-@query(r"""SELECT doc_id, sha256(text) AS body, sha256(replace(lower(text), 'ß', 'ss')) AS body_folded, CAST(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS BIGINT) AS n_terms FROM documents""")
+@query(f"""SELECT doc_id, sha256(text) AS body, sha256(replace(lower(text), 'ß', 'ss')) AS body_folded, CAST(len({_TERMS}) AS BIGINT) AS n_terms FROM documents""")
 def exact_lexical_projection(spark: SparkSession, sf: str) -> DataFrame:
     """What the exact and lexical indexes hold of each unit."""
-    from quillstone.functions import text as X
-
     return _units(spark, sf).select(F.col("unit").alias("doc_id"), F.sha2("text", 256).alias("body"), F.sha2(X.folded(F.col("text")), 256).alias("body_folded"), F.size(X.terms(F.col("text"))).cast("long").alias("n_terms"))
 
 

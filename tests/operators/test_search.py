@@ -44,6 +44,12 @@ def test_bm25(spark):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
 
 
+def test_terms_have_no_diacritics(spark):
+    docs = spark.createDataFrame([(1, "Un café noir"), (2, "the CAFE\u0301 bar"), (3, "cafes"), (4, None), (5, "Łódź naïve")], "unit long, text string")
+    assert {x.unit for x in search.bm25(docs, ["cafe"]).collect()} == {1, 2}
+    assert {x.unit for x in search.bm25(docs, ["naive", "łodz"]).collect()} == {5}
+
+
 def test_set_digests_follow_the_multiset(spark):
     rows = [("a", str(i)) for i in range(500)] + [("b", str(i)) for i in range(499, -1, -1)] + [("c", str(i)) for i in range(500)] + [("c", "0")] + [("d", "7")]
     df = spark.createDataFrame(rows, "g string, v string").select("g", F.sha2("v", 256).alias("d"))

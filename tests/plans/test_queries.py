@@ -9,9 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from quillstone.plans import ORACLES as SQL
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+QUERIES = __spark_entry__.queries()
 
 
 @pytest.fixture(scope="module")
