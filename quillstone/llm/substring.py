@@ -31,7 +31,7 @@ SEED = 5
 CHUNK_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 
-ENTRIES = "bucket int, chunk int, keys array<long>, more array<long>, low array<long>, high array<long>"
+ENTRIES = "bucket int, chunk int, keys array<long>, more array<long>, low array<long>, span array<long>"
 ANSWERS = "chunk int, keys array<long>, more array<long>, first array<long>"
 #: What makes the second hash of a window independent of the first.
 SALT = 0x8C5FB2A9D3E41F67
@@ -62,17 +62,20 @@ def _cuts(sorted_ids: np.ndarray) -> np.ndarray:
 
 
 def _entries(keys: np.ndarray, more: np.ndarray, docs: np.ndarray, chunk: int, buckets: int) -> pa.Table:
-    """The least and greatest document of each key, dealt by key into buckets. ``more``: second hashes, or all zero for seeds."""
+    """The least document of each key and how far the greatest is from it, dealt by key into buckets. ``more``: second hashes, or all zero for seeds.
+
+    Most keys of a chunk are in one document; their spans are zeros, which are shuffled at next to no size.
+    """
     order = np.lexsort((docs, more, keys))
     keys, more, docs = keys[order], more[order], docs[order]
     first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])])) if len(keys) else np.zeros(0, dtype=np.int64)
     last = np.append(first[1:], len(keys)) - 1 if len(keys) else first
-    keys, more, low, high = keys[first], more[first], docs[first], docs[last]
+    keys, more, low, span = keys[first], more[first], docs[first], docs[last] - docs[first]
     bucket = ((keys >> U64(32)) % U64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     offsets = _cuts(bucket[order])
     ids = bucket[order][offsets[:-1]]
-    return pa.Table.from_arrays([pa.array(ids, pa.int32()), pa.array(np.full(len(ids), chunk), pa.int32()), *_lists(offsets, [x[order] for x in (keys, more, low, high)])], names=["bucket", "chunk", "keys", "more", "low", "high"])
+    return pa.Table.from_arrays([pa.array(ids, pa.int32()), pa.array(np.full(len(ids), chunk), pa.int32()), *_lists(offsets, [x[order] for x in (keys, more, low, span)])], names=["bucket", "chunk", "keys", "more", "low", "span"])
 
 
 def _flat(table: pa.Table, name: str) -> np.ndarray:
@@ -89,7 +92,8 @@ def _first_holders(only_later: bool):
     def run(table: pa.Table) -> pa.Table:
         sizes = np.asarray(table.column("keys").combine_chunks().value_lengths())
         chunk = np.repeat(table.column("chunk").to_numpy(), sizes)
-        keys, more, low, high = (_flat(table, c) for c in ("keys", "more", "low", "high"))
+        keys, more, low, span = (_flat(table, c) for c in ("keys", "more", "low", "span"))
+        high = low + span
         order = np.lexsort((more, keys))
         new = (keys[order][1:] != keys[order][:-1]) | (more[order][1:] != more[order][:-1])
         start = np.flatnonzero(np.concatenate([[True], new]))
