@@ -148,7 +148,8 @@ WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS so
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i)),
 gr AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM gr, LATERAL (SELECT unnest(range(i, i + 8)) AS p) GROUP BY doc_id),
-ln AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id),
 r AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(ln.dup, 0) AS BIGINT) AS n_dup_lines,
         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(ln.n, 0) AS n_lines FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN ln ON ln.doc_id = d.doc_id),
@@ -167,3 +168,36 @@ FROM b LEFT JOIN f ON f.lang = b.lang AND f.source = b.source
 """
 
 ORACLES |= {"op1_quality_rules": QUALITY}
+
+
+def _crc_steps() -> str:
+    """The 256 remainders of CRC-32 by its polynomial, as a list for SQL."""
+    values = list(range(256))
+    for _ in range(8):
+        values = [v >> 1 ^ (0xEDB88320 if v & 1 else 0) for v in values]
+    return f"[{', '.join(f'{v}::BIGINT' for v in values)}]"
+
+
+# Runs have code points up to U+00FF, so a letter is one byte or two in UTF-8.
+_BYTES = "flatten(list_transform(string_split(key, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + unicode(c) // 64)::BIGINT, (128 + unicode(c) % 64)::BIGINT] END))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda h, b: xor(h >> 8, steps[(xor(h, b) & 255) + 1])), 4294967295::BIGINT)"
+
+VARIANTS = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+lowered AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || {LOWER_AZ.format("run")} AS key, {LOWER_AZ.format("run")} AS run, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, k, {_CRC} AS h FROM lowered CROSS JOIN (SELECT {_crc_steps()} AS steps)),
+altered AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM altered WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cut AS MATERIALIZED (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM v, LATERAL (SELECT unnest(range(0, length(word))) AS i)),
+inserted AS (SELECT cut.word AS longer, v.word AS shorter FROM cut JOIN v ON cut.rest = v.word),
+pairs AS (SELECT longer AS word, shorter AS near FROM inserted UNION SELECT shorter, longer FROM inserted
+          UNION SELECT a.word, b.word FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word),
+ranked AS (SELECT pairs.word, near, v.n, row_number() OVER (PARTITION BY pairs.word ORDER BY v.n DESC, near) AS r, count(*) OVER (PARTITION BY pairs.word) AS n_near FROM pairs JOIN v ON v.word = near),
+formed AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN ranked.n >= 5 * v.n THEN near END AS form, CASE WHEN ranked.n >= 5 * v.n THEN ranked.n END AS form_n
+           FROM v LEFT JOIN ranked ON ranked.word = v.word AND r = 1),
+chain AS (SELECT word, word AS root FROM formed UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NOT NULL),
+ends AS (SELECT chain.word, root FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NULL)
+SELECT formed.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM formed JOIN ends ON ends.word = formed.word
+"""
+
+ORACLES |= {"op12_spelling_variants": VARIANTS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, chat, decontam, hosts, neardup, packing, pii, quality, secret_scan, substring
+from quillstone.llm import bpe, chat, decontam, hosts, neardup, neighbours, packing, pii, quality, secret_scan, spelling, substring, whitening
 from quillstone.llm.oracles import ORACLES
 
 TOKENIZER = "word_bpe_49k.json"
@@ -95,6 +95,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.secrets(_table(spark, sf_dir, "documents")))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_url_reputation,
         op10_secret_scan,
+        op11_nearest_neighbours,
+        op12_spelling_variants,
+        op13_embedding_whitening,
     )
 }
 ORACLE_SQL = {name: sql for name, sql in ORACLES.items() if name in QUERIES}
