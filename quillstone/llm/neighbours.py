@@ -9,8 +9,8 @@ Multiprobe. A query looks into the buckets whose axes it lies nearest to, in tha
 sample of queries is compared with every row, and the fewest probes are taken with which FIT_RECALL of the sample's true neighbours are found.
 
 Reranking. Candidates lie by bucket, in parts of PART_ROWS rows each, so that a bucket of a third of all rows is many parts. The
-queries of a bucket go to each of its parts and are scored there in blocks with the original vectors; only scores that may be among
-the query's nearest leave the task. A bounded sample of rows gives each query a floor that more than k rows are above.
+queries of a bucket go to each of its parts and are scored there in blocks with the original vectors; of each query
+only the nearest of all parts of a task leave it. A bounded sample of rows gives each query a floor that more than k rows are above.
 A query that finds fewer than k rows above it looks into four times as many buckets, and so on to all of them.
 """
 
@@ -34,6 +34,8 @@ TABLES = 2
 BUCKET_ROWS = 400
 #: Candidates that are held at once.
 PART_ROWS = 512
+#: Rows of results that a task holds before it hands them on.
+HELD_ROWS = 1_000_000
 #: Queries that are scored at once.
 BLOCK = 256
 #: The sample of queries that probes are fitted on, and the share of its neighbours that are found.
@@ -141,30 +143,66 @@ def _axes(rows: int, turned: int) -> tuple[int, ...]:
     return tuple(out)
 
 
+def _top(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best of these rows by falling score, then vec_id; of rows of one vec_id the best."""
+    order = np.lexsort((-score, vec, query))
+    query, vec, score = query[order], vec[order], score[order]
+    new = np.ones(len(query), dtype=bool)
+    new[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])
+    query, vec, score = query[new], vec[new], score[new]
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    top = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[top], vec[top], score[top]
+
+
 def _best(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, candidate and score of each query's k nearest among these candidates, none under its floor and none of its own id."""
     out = []
     slack = 1e-9 * (np.linalg.norm(q, axis=1) * (np.linalg.norm(c, axis=1).max() if len(c) else 0.0) + 1e-300)
+    many = len(c) > 4 * k and len(np.unique(c_ids)) == len(c)
     for a in range(0, len(q), BLOCK):
         b = min(len(q), a + BLOCK)
         rough = q[a:b] @ c.T
         rough[q_ids[a:b, None] == c_ids[None, :]] = -np.inf
         least = floor[a:b]
-        if len(c) > 4 * k:
+        if many:
             least = np.maximum(least, np.partition(rough, len(c) - k, axis=1)[:, len(c) - k])
         qi, ci = np.nonzero((rough >= (least - slack[a:b])[:, None]) & (rough > -np.inf))
         # Scores are added up entry by entry in one order, so that equal vectors have equal scores.
         score = np.concatenate([(q[a + qi[i : i + 65536]] * c[ci[i : i + 65536]]).sum(axis=1) for i in range(0, len(qi), 65536)]) if len(qi) else np.zeros(0)
         keep = score >= floor[a:b][qi]
-        qi, ci, score = qi[keep], ci[keep], score[keep]
-        order = np.lexsort((c_ids[ci], -score, qi))
-        qi, ci, score = qi[order], ci[order], score[order]
-        first = np.searchsorted(qi, qi)
-        top = np.arange(len(qi)) - first < k
-        out.append((q_ids[a + qi[top]], c_ids[ci[top]], score[top]))
+        out.append(_top(q_ids[a + qi[keep]], c_ids[ci[keep]], score[keep], k))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+class Nearest:
+    """The k nearest of each query so far, handed on when they are many."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+        self.full = False
+
+    def add(self, part: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        self.parts.append(part)
+        self.rows += len(part[0])
+        if self.rows > 2 * HELD_ROWS:
+            self._shrink()
+            self.full = self.rows > HELD_ROWS
+
+    def _shrink(self) -> None:
+        self.parts = [_top(*map(np.concatenate, zip(*self.parts)), self.k)] if self.parts else []
+        self.rows = sum(len(p[0]) for p in self.parts)
+
+    def taken(self) -> list[pa.RecordBatch]:
+        self._shrink()
+        out, self.parts, self.rows = [_found(*p) for p in self.parts], [], 0
+        self.full = False
+        return out
+
+
 def _found(query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score)], names=["query_id", "vec_id", "score"])
 
@@ -186,8 +224,10 @@ def nearest_in(rows: DataFrame, width: int, q_ids: np.ndarray, q: np.ndarray, k:
     """FOUND of a bounded block of queries against every row, by comparing all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Nearest(k)
         for batch in pieces(batches, width):
-            yield _found(*_best(q, q_ids, np.full(len(q), -np.inf), matrix(batch.column(1), width), batch.column(0).to_numpy(), k))
+            best.add(_best(q, q_ids, np.full(len(q), -np.inf), matrix(batch.column(1), width), batch.column(0).to_numpy(), k))
+        yield from best.taken()
 
     return _ranked(rows.select("vec_id", "embedding").mapInArrow(run, FOUND), k).select("query_id", "vec_id", "score")
 
@@ -262,7 +302,7 @@ def _rerank(width: int, k: int):
     """Rows come by part of a bucket, its candidates first; the queries stream past these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, best = None, [], Nearest(k)
         for batch in pieces(batches, width):
             x, ids, floor = matrix(batch.column("embedding"), width), batch.column("vec_id").to_numpy(), batch.column("floor").to_numpy(zero_copy_only=False)
             is_query = batch.column("is_query").to_numpy(zero_copy_only=False)
@@ -278,7 +318,10 @@ def _rerank(width: int, k: int):
                 if b > c and held:
                     if len(held) > 1:
                         held = [(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))]
-                    yield _found(*_best(x[c:b], ids[c:b], floor[c:b], *held[0], k))
+                    best.add(_best(x[c:b], ids[c:b], floor[c:b], *held[0], k))
+            if best.full:
+                yield from best.taken()
+        yield from best.taken()
 
     return run
 
