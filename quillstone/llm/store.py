@@ -8,12 +8,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The folders that tables are written to, the innermost last; each entry is of one session's application.
-_open: list[str] = []
+#: The folders that tables are written to, as (application, folder), the innermost last. Each thread has its own.
+_open: ContextVar[tuple[tuple[str, str], ...]] = ContextVar("open", default=())
 _leaving: set[str] = set()
 
 
@@ -49,12 +50,13 @@ def _clear_at_exit(spark: SparkSession, folder: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are stashed inside are deleted at its end. What is still needed must have been written elsewhere by then."""
-    folder = f"{shared_folder(spark)}/quillstone/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    _open.append(folder)
+    application = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark)}/quillstone/{application}/{uuid.uuid4().hex}"
+    before = _open.set((*_open.get(), (application, folder)))
     try:
         yield
     finally:
-        _open.remove(folder)
+        _open.reset(before)
         _delete(spark, folder)
 
 
@@ -66,9 +68,11 @@ def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     ``keep``) when the driver ends. An empty ``df`` keeps its schema.
     """
     spark = df.sparkSession
-    own = f"{shared_folder(spark)}/quillstone/{spark.sparkContext.applicationId}"
+    application = spark.sparkContext.applicationId
+    own = f"{shared_folder(spark)}/quillstone/{application}"
     _clear_at_exit(spark, own)
-    path = f"{own if keep or not _open else _open[-1]}/{name}-{uuid.uuid4().hex}"
+    inner = [folder for app, folder in _open.get() if app == application]
+    path = f"{own if keep or not inner else inner[-1]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
