@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from quillstone.llm.wordkernel import slices
 
@@ -27,14 +27,6 @@ CACHED_CHUNKS = 1_000_000
 COUNTS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_tokens")])
 
 
-def _byte_letters() -> list[str]:
-    """The printable letter by which byte-level vocabularies write each byte."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = (b for b in range(256) if b not in printable)
-    letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    return [letters[b] for b in range(256)]
-
-
 class HeapCounter:
     """Counts the tokens of texts for a byte-level BPE file that drops white space and marks word ends."""
 
@@ -43,11 +35,11 @@ class HeapCounter:
             spec = json.load(f)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(split)
-        self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
-        self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.letters = _byte_letters()
+        # What letters are, and how they are lower-cased, is for the file's own rules to say: other libraries have other versions of Unicode.
+        rules = Tokenizer.from_file(path)
+        self.normal, self.cut = rules.normalizer, rules.pre_tokenizer
+        self.special = sorted((t["content"] for t in spec["added_tokens"] if t["special"]), key=len, reverse=True)
+        self.specials = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.known: dict[bytes, int] = {}
@@ -77,11 +69,9 @@ class HeapCounter:
         return n - merges
 
     def _plain(self, text: str) -> int:
-        text = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text))
-        text = "".join(c.lower() for c in text)  # by code point: no letter depends on its neighbours
         count = 0
-        for piece in self.pieces.findall(text):
-            symbols = [self.letters[b] for b in piece.encode()]
+        for piece, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(text)):
+            symbols = list(piece)  # one letter for each byte
             symbols[-1] += self.suffix
             count += self.merged(symbols)
         return count
@@ -101,10 +91,10 @@ class HeapCounter:
             if n is None:
                 n = self.chunk(c)
                 if len(c) <= CACHED_BYTES:
+                    if len(known) >= CACHED_CHUNKS:
+                        known.clear()
                     known[c] = n
             total += n
-        if len(known) > CACHED_CHUNKS:
-            known.clear()
         return total
 
 
