@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.columns import unwrapped, wrapped
 from quillstone.llm.components import components
 from quillstone.llm.store import stash
 from quillstone.llm.wordkernel import GRAM, SPACED, U64, Words, mix, slices, words_of
@@ -263,6 +264,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns unchanged."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that are kept, with their columns unchanged. Columns may have any names."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    return unwrapped(wrapped(docs).join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti"), docs.columns)

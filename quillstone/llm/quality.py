@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.columns import named
 from quillstone.llm.store import stash
 from quillstone.llm.wordkernel import SPACED, covered, per_doc, slices, string_buffer, words_of
 
@@ -199,7 +200,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     The rows are written with their counts, so that no text is measured twice or shuffled.
     """
     inner = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.select(*[F.col(c).alias(n) for c, n in inner.items()], F.col("text"), F.col("lang"), F.col("source"))
+    plain = docs.select(*[named(c).alias(n) for c, n in inner.items()], F.col("text"), F.col("lang"), F.col("source"))
     features = stash(measure(plain, [*inner.values(), "lang", "source"]), "measured")
     kept = judge(features, stash(thresholds(features), "fences")).where(F.col("kept"))
     return kept.select(*[F.col(n).alias(c) for c, n in inner.items()])
