@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.columns import unwrapped, wrapped
+from quillstone.llm.spans import before, given
 from quillstone.llm.store import stash
 from quillstone.llm.wordkernel import ALPHANUMERIC, U64, slices, winnow, words_of
 
@@ -140,9 +142,23 @@ def _agreement(a: Column, b: Column) -> Column:
     return F.when(first_other == 0, F.size(a)).otherwise(first_other - 1).cast("int")
 
 
-def _row(docs: DataFrame) -> Column:
+def _row() -> Column:
     """The name of a text: hits depend on it alone."""
-    return F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def _merged(hits: Column) -> Column:
+    """Ranges in order of their starts, with those that overlap or touch made one."""
+
+    def cut(hits: Column) -> Column:
+        last = before(F.transform(hits, lambda h: h["end"]), lambda a, b: F.greatest(a, b), -1)
+        return F.filter(F.zip_with(hits, last, lambda h, at: F.struct(h["start"].alias("start"), at.alias("at"))), lambda x: x["start"] > x["at"])
+
+    def closed(heads: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(heads, 2, F.greatest(F.size(heads) - 1, F.lit(0))), lambda x: x["at"]), F.array(F.array_max(F.transform(hits, lambda h: h["end"]))))
+        return F.zip_with(heads, ends, lambda x, end: F.struct(x["start"].alias("start"), end.alias("end")))
+
+    return given(given(hits, cut), closed)
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,23 +172,14 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = sorted(r["span"] for r in prints.select("span").distinct().collect())  # SPAN values at most
     schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("found", T.ArrayType(CANDIDATE))])
     shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(prints.select("fingerprint").distinct()).tobytes())  # MOST_BITS / 8 at most
-    rows = stash(docs.select("doc_id", _row(docs).alias("row"), "text").mapInArrow(_documents(spans, shared), schema), "candidates")
-    each = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("c")).select("row", "c.*")
+    rows = stash(docs.select("doc_id", _row().alias("row"), "text").mapInArrow(_documents(spans, shared), schema), "candidates")
+    each = rows.where(F.size("found") > 0).dropDuplicates(["row"]).select("row", F.explode("found").alias("c")).select("row", "c.*")
     joined = each.join(bench, (F.col("fingerprint") == F.col("b_fingerprint")) & (F.col("span") == F.col("b_span")))
     k = ((F.col("span") + 1) / 2).cast("int")
-    before, after = _agreement(F.col("left"), F.col("b_left")), _agreement(F.col("right"), F.col("b_right"))
-    marked = joined.where((after >= k) & (before + after >= F.col("span"))).select("row", F.struct((F.col("pos") - before).alias("start"), (F.col("pos") + after).alias("end")).alias("hit"), F.col("b_items").alias("items"))
+    ahead, after = _agreement(F.col("left"), F.col("b_left")), _agreement(F.col("right"), F.col("b_right"))
+    marked = joined.where((after >= k) & (ahead + after >= F.col("span"))).select("row", F.struct((F.col("pos") - ahead).alias("start"), (F.col("pos") + after).alias("end")).alias("hit"), F.col("b_items").alias("items"))
     per = marked.groupBy("row").agg(F.array_sort(F.collect_set("hit")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def widen(done, nxt):
-        last = F.element_at(done, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], nxt["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (nxt["start"] <= F.try_element_at(done, F.lit(-1))["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(
-            F.concat(done, F.array(F.struct(nxt["start"].alias("start"), nxt["end"].alias("end"))))
-        )
-
-    found = stash(per.select(F.col("row").alias("h_row"), F.aggregate("hit", empty, widen).alias("hits"), "items"), "hits")
+    found = stash(per.select(F.col("row").alias("h_row"), _merged(F.col("hit")).alias("hits"), "items"), "hits")
     return rows.select("doc_id", "row", "n_words"), found
 
 
@@ -203,4 +210,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows with a null text or doc_id are judged like any other; repeated rows go or stay together. Columns may have any names.
     """
     _, found = _hits(docs.select("doc_id", "text"), benchmark)
-    return docs.join(found.select("h_row"), _row(docs) == F.col("h_row"), "left_anti")
+    return unwrapped(wrapped(docs).join(found.select("h_row"), _row() == F.col("h_row"), "left_anti"), docs.columns)
