@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.columns import unwrapped, wrapped
 from quillstone.llm.spans import blocks, given, listed, matches, replaced, tagged
 from quillstone.llm.store import stash, within_bounds
 
@@ -99,28 +100,56 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 def _disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``term, share``: terms that disclose at least GENERALISE of some entity's information, and the most that they do."""
+    """``term, share``: terms that disclose at least GENERALISE of some entity's information, and the most that they do.
+
+    What can't reach that is left out before any pair is made: entities with one context, terms that stand in one text
+    with an entity, and, as n(e, t) <= n(e), terms that are more common than ``N (n(e) / N) ** GENERALISE``. Terms that stand in the same texts have
+    the same counts with every entity, so one of them stands for all of its class.
+    """
     held = found.where(F.size("entities") > 0).select("row", "entities", "terms")
     # An entity counts once a row, with one of its contexts; repeated rows count as often as they are there.
     ordered = held.select("row", F.array_sort("entities").alias("es"))
     once = F.filter("es", lambda e, i: (i == 0) | (F.get("es", i - 1)["entity"] != e["entity"]))
     mentions = ordered.select("row", F.explode(once).alias("e")).groupBy("row", "e.entity").agg(F.min("e.context").alias("context"), F.count(F.lit(1)).alias("copies"))
     mentions = stash(mentions, "mentions")
-    per_entity = mentions.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    per_term = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    size = docs.agg(F.count(F.lit(1)).alias("n")).join(per_entity.agg(F.max("n_entity").alias("most")))
-    # As n(e, t) <= n(e), a share of GENERALISE takes n(t) <= N (n(e) / N) ** GENERALISE; more common terms need no pairs.
-    limit = 1.000001 * F.col("n") * F.pow(F.col("most") / F.col("n"), F.lit(GENERALISE))
-    rare = per_term.join(F.broadcast(size)).where(F.col("n_term") <= limit).select("term", "n_term")
-    terms = held.dropDuplicates(["row"]).select("row", F.explode("terms").alias("term")).join(rare, "term")
-    pairs = terms.join(mentions, "row").groupBy("entity", "term", "context").agg(F.sum("copies").alias("k"), F.first("n_term").alias("n_term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("k").alias("n_pair"), F.count(F.lit(1)).alias("contexts"), F.first("n_term").alias("n_term"))
-    counted = pairs.where(F.col("contexts") > 1).join(per_entity, "entity").join(F.broadcast(size))
+    size = docs.agg(F.count(F.lit(1)).alias("n"))
+    several = mentions.groupBy(F.col("entity").alias("of")).agg(F.sum("copies").alias("n_entity"), F.min("context").alias("low"), F.max("context").alias("high")).where("low != high")
+    most = 1.000001 * F.col("n") * F.pow(F.col("n_entity") / F.col("n"), F.lit(GENERALISE))
+    entities = several.join(F.broadcast(size)).select("of", "n_entity", "n", most.alias("most"))  # one row
+    known = stash(mentions.join(entities, F.col("entity") == F.col("of")).drop("of"), "known")
+    if known.isEmpty():
+        return docs.sparkSession.createDataFrame([], "term string, share double")
+
+    texts = held.join(known.select(F.col("row").alias("k_row")), F.col("row") == F.col("k_row"), "left_semi").dropDuplicates(["row"])
+    terms = stash(texts.select("row", F.explode("terms").alias("term")), "terms")
+    # Two sums of hashes name the set of texts that a term stands in.
+    place = [F.sum(F.xxhash64("row", F.lit(salt)).cast("decimal(20,0)")).alias(f"at{salt}") for salt in (1, 2)]
+    sets = terms.groupBy("term").agg(F.count(F.lit(1)).alias("texts"), *place).where("texts > 1")
+    counted = _occurring(docs, sets.select("term")).groupBy("word").agg(F.count(F.lit(1)).alias("n_term"))
+    bound = known.agg(F.max("most").alias("bound"))
+    rare = counted.join(F.broadcast(bound)).where(F.col("n_term") <= F.col("bound")).select("word", "n_term")  # one row
+    sets = stash(sets.join(rare, F.col("term") == F.col("word")).drop("word"), "rare")
+    of = ["texts", "at1", "at2", "n_term"]
+    firsts = sets.groupBy(*of).agg(F.min("term").alias("first"))
+    at = terms.join(firsts.select("first", "n_term"), F.col("term") == F.col("first")).select("row", "term", "n_term")
+    pairs = at.join(known.withColumnRenamed("row", "k_row"), (F.col("row") == F.col("k_row")) & (F.col("n_term") <= F.col("most")))
+    pairs = pairs.groupBy("entity", "term", "context").agg(F.sum("copies").alias("k"), *[F.first(c).alias(c) for c in ("n_term", "n_entity", "n")])
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("k").alias("n_pair"), F.count(F.lit(1)).alias("contexts"), *[F.first(c).alias(c) for c in ("n_term", "n_entity", "n")])
     own = F.log2(F.col("n") / F.col("n_entity"))
     told = F.log2(F.col("n_pair") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
     bits = (F.col("contexts") - 1) * told
-    weighed = counted.where((own > 0) & (told > 0)).select("term", (told / own * bits / (bits + DOUBT)).alias("share"))
-    return weighed.where(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"))
+    weighed = pairs.where((F.col("contexts") > 1) & (own > 0) & (told > 0)).select("term", (told / own * bits / (bits + DOUBT)).alias("share"))
+    shares = weighed.where(F.col("share") >= GENERALISE).groupBy(F.col("term").alias("told")).agg(F.max("share").alias("share"))
+    classes = firsts.join(shares, F.col("first") == F.col("told")).select(*[F.col(c).alias(f"c_{c}") for c in of], "share")
+    same = [F.col(c) == F.col(f"c_{c}") for c in of]
+    return sets.join(classes, same[0] & same[1] & same[2] & same[3]).select("term", "share")
+
+
+def _occurring(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``row, word``: each of the terms in each row that it stands in. Words that are no terms stay in their task if the terms are few enough."""
+    terms = within_bounds(stash(terms.select(F.col("term").alias("t")), "asked"), 20 + F.octet_length("t"))
+    words = docs.select(_row(F.col("text")).alias("row"), F.explode(_terms(F.col("text"))).alias("word"))
+    return words.join(terms, F.col("word") == F.col("t"), "left_semi")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -134,10 +163,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = stash(_found(own), "personal")
     told = stash(_disclosing(own, found), "disclosing")
+    nothing = F.array().cast("array<struct<start:int,end:int,value:string,share:double>>")
+    if told.isEmpty():
+        return found.select(F.col("doc_id").alias("f_doc"), "row", "base", nothing.alias("terms"))
     texts = own.select(_row(F.col("text")).alias("t_row"), "text")
-    words = texts.select("t_row", F.explode(_terms(F.col("text"))).alias("word"))
-    hits = words.join(told, F.col("word") == F.col("term")).groupBy("t_row").agg(F.collect_set(F.struct("term", "share")).alias("told"))
-    hits = stash(hits, "told").withColumnRenamed("t_row", "h_row")
+    words = _occurring(own, told).join(told, F.col("word") == F.col("term"))
+    hits = words.groupBy(F.col("row").alias("h_row")).agg(F.collect_set(F.struct("term", "share")).alias("told"))
+    hits = stash(hits, "told")
     hits = within_bounds(hits, 100 + 40 * F.size("told"))  # so that texts stay in their tasks where few have such terms
     bases = found.select(F.col("row").alias("b_row"), F.col("base").alias("b_base")).join(hits.select("h_row"), F.col("b_row") == F.col("h_row"), "left_semi").dropDuplicates(["b_row"])
     at = texts.join(hits, F.col("t_row") == F.col("h_row")).dropDuplicates(["t_row"]).join(bases, F.col("t_row") == F.col("b_row"))
@@ -147,7 +179,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
     at = at.select("t_row", given(_masked(F.col("text"), F.col("b_base")), spans_in).alias("at"), "told")
     flagged = at.select("t_row", F.transform("at", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value"), share(t["value"]).alias("share"))).alias("told"))
     spans = found.select(F.col("row"), "base", F.col("doc_id").alias("f_doc"))
-    nothing = F.array().cast("array<struct<start:int,end:int,value:string,share:double>>")
     return spans.join(flagged, F.col("row") == F.col("t_row"), "left").select("f_doc", "row", "base", F.coalesce("told", nothing).alias("terms"))
 
 
@@ -157,15 +188,14 @@ def with_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
     Each base span becomes its kind in brackets, a disclosing term [NUMBER], [CODE] or [TERM], or nothing.
     A text without spans stays as it is, null too. Repeated rows are replaced alike; columns may have any names.
     """
-    key = _row(F.coalesce("text", F.lit("")))
-    one = spans.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("row").alias("__row"), F.col("base").alias("__base"), F.col("terms").alias("__terms"))
-    one = stash(one.dropDuplicates(["__row"]), "replaced")
-    one = within_bounds(one, 100 + 60 * (F.size("__base") + F.size("__terms")))
-    joined = docs.withColumn("__key", key).join(one, F.col("__key") == F.col("__row"), "left")
-    as_text = F.transform("__terms", lambda t: F.struct(_class_of(t).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))
-    both = F.concat(F.transform("__base", lambda s: F.struct(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))), as_text)
-    text = F.when(F.col("__row").isNull(), F.col("text")).otherwise(replaced(F.col("text"), both, lambda s: s["kind"]))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    one = spans.where((F.size("base") > 0) | (F.size("terms") > 0)).select("row", "base", "terms")
+    one = stash(one.dropDuplicates(["row"]), "replaced")
+    one = within_bounds(one, 100 + 60 * (F.size("base") + F.size("terms")))
+    joined = wrapped(docs).join(one, _row(F.coalesce("text", F.lit(""))) == F.col("row"), "left")
+    as_text = F.transform("terms", lambda t: F.struct(_class_of(t).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))
+    both = F.concat(F.transform("base", lambda s: F.struct(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))), as_text)
+    text = F.when(F.col("row").isNull(), F.col("text")).otherwise(replaced(F.col("text"), both, lambda s: s["kind"]))
+    return unwrapped(joined, docs.columns, text=text)
 
 
 def _class_of(term: Column) -> Column:
