@@ -1,4 +1,4 @@
-"""Substring deduplication by seeds that are extended both ways.
+"""Substring deduplication by seeds and extension, with joins in place of comparisons.
 
 Seeds. Of every 13 consecutive words one 5-gram is kept by winnowing, so any
 span of 13 words that two documents share has the same seed in both. Seeds
@@ -6,12 +6,12 @@ are joined over all documents, and those of a single document go no further.
 
 Extension. A seed that several documents hold is extended to its left and right, a word at a time: the
 13-word windows around it that chose it are joined in turn, each with the least
-doc_id that holds it. Windows go by two independent 64-bit hashes, so that different words
-are not taken for equal. They are joined rather than compared pair by pair, as millions of documents may share a
-passage. A seed's match goes on as far as the windows on either side are repeats too; such a run of windows is a
-maximal repeat, of 13 words at least, and its words are removed from the later documents.
+doc_id that holds it. So no match is grown from one anchor in one pair of documents: a passage may be in millions of them, and
+the earliest of these need not share most of it. Windows go by two independent 64-bit hashes, so that different words
+are not taken for equal. Windows that are repeats and overlap or touch make one range, whose words go; where its parts repeat
+different documents, it is the union of their maximal repeats over the length threshold.
 
-Documents are dealt once into chunks of about 4 MB, and what is shuffled is summed up by
+Rows of equal doc_id and text are judged once. Documents are dealt once into chunks of about 4 MB, and what is shuffled is summed up by
 chunk: a passage that every document holds is one entry for each chunk, not for
 each document, and no document's text is shuffled twice.
 """
@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.store import stash, within_bounds
 from quillstone.llm.wordkernel import SPACED, U64, Words, covered, per_doc, winnow, words_of
 
 LENGTH = 13
@@ -36,7 +37,7 @@ ANSWERS = "chunk int, keys array<long>, more array<long>, first array<long>"
 #: What makes the second hash of a window independent of the first.
 SALT = 0x8C5FB2A9D3E41F67
 REPEATS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-KEPT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("repeats", REPEATS)])
+KEPT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("repeats", REPEATS), T.StructField("copies", T.LongType())])
 LONGS = pa.list_(pa.int64())
 
 
@@ -166,7 +167,7 @@ def _extended(words: Words, ids: np.ndarray, answers: pa.Table) -> np.ndarray:
 
 
 def _kept(table: pa.Table, answers: pa.Table) -> pa.Table:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int64()]
     if not table.num_rows:
         return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=KEPT.names)
     text = table.column("text")
@@ -185,7 +186,7 @@ def _kept(table: pa.Table, answers: pa.Table) -> pa.Table:
         kept.append(b" ".join(all_words))
         repeats.append([{"start": a, "end": b} for a, b in zip(runs[::2].tolist(), runs[1::2].tolist())])
     return pa.Table.from_arrays(
-        [table.column("doc_id").cast(pa.int64()), pa.array(words.counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(repeats, kinds[4])], names=KEPT.names
+        [table.column("doc_id").cast(pa.int64()), pa.array(words.counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(repeats, kinds[4]), table.column("copies")], names=KEPT.names
     )
 
 
@@ -201,6 +202,30 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     whole, in one chunk.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    copies = docs.groupBy("doc_id", *_text_keys(F.col("text"))).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copies = stash(copies, "copies")
+    if copies.isEmpty():
+        return _removed(docs.withColumn("copies", F.lit(1).cast("long")), chunk_bytes).drop("copies")
+    # Rows that are there several times are judged once, and told to each.
+    keys = ["hash", "other", "bytes"]
+    repeated = copies.select(F.col("doc_id").alias("c_doc"), *[F.col(c).alias(f"c_{c}") for c in keys], "copies")
+    keyed = docs.select("doc_id", "text", *_text_keys(F.col("text")))
+    is_copy = F.col("doc_id").eqNullSafe(F.col("c_doc"))
+    for c in keys:
+        is_copy = is_copy & F.col(c).eqNullSafe(F.col(f"c_{c}"))
+    small = within_bounds(repeated, F.lit(40))
+    single = keyed.join(small, is_copy, "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    several = keyed.join(small, is_copy).groupBy("doc_id", *keys).agg(F.any_value("text").alias("text"), F.any_value("copies").alias("copies"))
+    told = _removed(single.union(several.select("doc_id", "text", "copies")), chunk_bytes)
+    return told.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+
+
+def _text_keys(text: Column) -> list[Column]:
+    """What tells texts of one doc_id apart."""
+    return [F.xxhash64(text).alias("hash"), F.hash(text).alias("other"), F.octet_length(text).alias("bytes")]
+
+
+def _removed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // chunk_bytes))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition("chunk")
