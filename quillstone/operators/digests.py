@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,3 +17,9 @@ def set_digest(rows: DataFrame, by: list[str], digest: str) -> DataFrame:
     parts = rows.groupBy(*by, F.substring(digest, 1, 2).alias("prefix")).agg(F.concat_ws("-", piece(3), piece(11), piece(19), F.count(F.lit(1)).cast("string")).alias("part"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("prefix", "part"))), lambda p: F.concat(p["prefix"], F.lit(":"), p["part"]))
     return parts.groupBy(*by).agg(F.sha2(F.array_join(listed, ","), 256).alias("digest"))
+
+
+def sum_digest(digest: Column) -> Column:
+    """A multiset of SHA-256 hex digests as a text, by an aggregate: sums of three 32-bit pieces and the count. For groups of any size, as nothing is gathered."""
+    piece = lambda at: F.sum(F.conv(F.substring(digest, at, 8), 16, 10).cast("long")).cast("string")
+    return F.concat_ws("-", piece(1), piece(9), piece(17), F.count(F.lit(1)).cast("string"))

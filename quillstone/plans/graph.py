@@ -85,17 +85,6 @@ def graph_mine_proposals(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("confidence", F.when(F.col("kind") == "assertion", 0.5).otherwise(0.7))
 
 
-@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, 0 AS depth FROM conversations WHERE turn = 0 UNION ALL
-SELECT c.conv_id, c.turn, s.depth + 1 FROM s JOIN conversations c ON c.conv_id = s.conv_id AND c.turn = s.turn + 1)
-SELECT conv_id, CAST(max(depth) AS BIGINT) AS depth, count(*) AS n FROM s GROUP BY conv_id""")
-def context_closure(spark: SparkSession, sf: str) -> DataFrame:
-    """All that is reached from the first records over typed references."""
-    turns = table(spark, sf, "conversations").select("conv_id", "turn")
-    key = lambda turn: F.struct("conv_id", turn.alias("turn"))
-    links = turns.select(key(F.col("turn") - 1).alias("src"), key(F.col("turn")).alias("dst"))
-    reached = graph.closure(turns.where("turn = 0").select(key(F.col("turn")).alias("node")), links)
-    return reached.groupBy(F.col("node.conv_id").alias("conv_id")).agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n"))
-
 
 @query("""SELECT conv_id, max(turn) AS tip_turn, max_by(role, turn) AS tip_role, CASE WHEN max_by(role, turn) = 'user' THEN NULL ELSE max(turn) END AS current_turn
 FROM conversations GROUP BY conv_id""")

@@ -88,15 +88,6 @@ def illegal_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.col("from_state").isNotNull() & ~step.isin(*[">".join(a) for a in allowed]))
 
 
-@query("""SELECT p_partkey AS id, p_name AS path, bool_or(starts_with(p_name, rule)) AS allowed FROM part, (VALUES ('Part#1'), ('Part#22'), ('a'), ('b')) r(rule) GROUP BY 1, 2""")
-def path_scope(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a path is on the allow list."""
-    rules = ("Part#1", "Part#22", "a", "b")
-    allowed = F.lit(False)
-    for r in rules:
-        allowed = allowed | F.col("p_name").startswith(r)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("path"), allowed.alias("allowed"))
-
 
 @query("""SELECT p_brand AS task, count(*) AS n_files, CAST(sum(p_size) AS BIGINT) AS n_lines, sum(p_size) > 1500 OR count(*) > 90 AS over_budget FROM part GROUP BY 1""")
 def path_budget(spark: SparkSession, sf: str) -> DataFrame:

@@ -32,11 +32,6 @@ def source_title(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.when(head != "", head).otherwise(F.concat(F.lit("doc-"), "doc_id")).alias("title"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, 'Source type: article') OR doc_id % 10 = 0 THEN 'article' ELSE 'manual_file' END AS source_type FROM documents")
-def source_type(spark: SparkSession, sf: str) -> DataFrame:
-    """What kind of source a text says it is."""
-    return table(spark, sf, "documents").select("doc_id", F.when(F.col("text").contains("Source type: article") | (F.col("doc_id") % 10 == 0), "article").otherwise("manual_file").alias("source_type"))
-
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events")
 def event_log_read(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,12 +40,6 @@ def event_log_read(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), F.coalesce(F.try_parse_json("props").isNotNull(), F.lit(False)).alias("valid"))
 
 
-@query("""SELECT t.name, t.name NOT IN ('nation', 'orders') AS missing FROM (VALUES ('region'), ('nation'), ('orders')) t(name)""")
-def migration_gap(spark: SparkSession, sf: str) -> DataFrame:
-    """Required tables that aren't there."""
-    required = spark.createDataFrame([("region",), ("nation",), ("orders",)], "name string")
-    return required.select("name", (~F.col("name").isin("nation", "orders")).alias("missing"))
-
 
 @query("SELECT source, CASE WHEN count(*) = count(DISTINCT sha256(text)) THEN 'created' ELSE 'conflict' END AS disposition, count(*) AS n_children FROM documents GROUP BY source")
 def bundle_commit_disposition(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,13 +109,6 @@ def duplicate_manifests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy(F.col("source").alias("manifest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("SELECT o_custkey AS plan_id, count(*) AS n_units, 'plan_' || left(sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey::VARCHAR)), 24) AS digest FROM orders GROUP BY 1")
-def freeze_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """A plan's units, fixed by their digest."""
-    ids = F.array_join(F.array_sort(F.collect_list(F.col("o_orderkey").cast("string"))), ",")
-    rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("plan_id")).agg(F.count(F.lit(1)).alias("n_units"), ids.alias("ids"))
-    return rows.select("plan_id", "n_units", X.record_id("plan", "ids").alias("digest"))
-
 
 @query("SELECT o_custkey AS plan_id, o_orderkey AS item_id, 'frozen' AS origin FROM orders UNION ALL SELECT o_custkey, o_orderkey * 10 + l_linenumber, 'split_child' FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
 def planned_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,20 +134,6 @@ def attempt_membership(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", (F.col("c_custkey").isNotNull() & (F.col("event_type") != "view")).alias("member"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'error' AND value < 5 THEN 'runtime_failed' WHEN event_type = 'error' THEN 'invalid_output' WHEN value < 1 THEN 'abstained' ELSE 'succeeded' END AS status FROM events""")
-def run_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Where a bounded run ended."""
-    failed = F.col("event_type") == "error"
-    status = F.when(failed & (F.col("value") < 5), "runtime_failed").when(failed, "invalid_output").when(F.col("value") < 1, "abstained").otherwise("succeeded")
-    return table(spark, sf, "events").select("event_id", status.alias("status"))
-
-
-@query(f"""SELECT doc_id, order_index, CASE WHEN order_index = 0 THEN 2 WHEN line = '' THEN 99 ELSE 1 END AS priority, CASE WHEN order_index = 0 THEN 'heading' WHEN line = '' THEN 'furniture' ELSE 'focus' END AS role FROM ({_LINES})""")
-def context_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """What a context may hold, and how much it matters."""
-    first, blank = F.col("order_index") == 0, F.col("line") == ""
-    return lines(spark, sf).select("doc_id", "order_index", F.when(first, 2).when(blank, 99).otherwise(1).alias("priority"), F.when(first, "heading").when(blank, "furniture").otherwise("focus").alias("role"))
-
 
 @query(f"""SELECT doc_id, sha256(string_agg('[line:' || order_index || ']' || chr(10) || line, chr(10) ORDER BY order_index)) AS digest, CAST(sum(strlen('[line:' || order_index || ']' || chr(10) || line)) + count(*) - 1 AS BIGINT) AS byte_length FROM ({_LINES}) GROUP BY doc_id""")
 def context_render(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,16 +143,6 @@ def context_render(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(whole, 256).alias("digest"), F.octet_length(whole).cast("long").alias("byte_length"))
 
 
-@query("SELECT doc_id, left(sha256(text), 24) = left(sha256(trim(text)), 24) AS verified FROM documents")
-def manifest_verify(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a manifest's id is still that of its content."""
-    return table(spark, sf, "documents").select("doc_id", (X.record_id("m", "text") == X.record_id("m", F.trim("text"))).alias("verified"))
-
-
-@query("SELECT p_partkey AS cell_id, CASE WHEN p_size % 3 = 0 THEN 'no_row_header' WHEN p_size % 5 = 0 THEN 'no_column_header' ELSE 'planned' END AS state FROM part")
-def table_cell_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells are planned with both of their headers, else blocked for a stated reason."""
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("cell_id"), F.when(F.col("p_size") % 3 == 0, "no_row_header").when(F.col("p_size") % 5 == 0, "no_column_header").otherwise("planned").alias("state"))
 
 
 @query("""SELECT l_orderkey AS table_id, CAST(l_linenumber AS BIGINT) AS row_index, count(*) AS n_cells, CAST(sum(count(*)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS offset_cells FROM lineitem GROUP BY 1, l_linenumber""")
@@ -209,11 +167,6 @@ def table_violations(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("n <> d").select("table_id", (F.col("n") - F.col("d")).alias("n_repeated"))
 
 
-@query("""SELECT l_orderkey AS region_id, 'outside_page' AS rule FROM lineitem WHERE l_tax > 0.07 GROUP BY 1""")
-def geometry_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Regions outside their page."""
-    return table(spark, sf, "lineitem").where("l_tax > 0.07").select(F.col("l_orderkey").alias("region_id")).distinct().withColumn("rule", F.lit("outside_page"))
-
 
 @query("SELECT l_orderkey AS page_id, round(sum(CAST(round(l_discount * 100) AS BIGINT)) / (10.0::DOUBLE * count(*)), 6) AS confidence, sum(CAST(round(l_discount * 100) AS BIGINT)) < 3 * count(*) AS degraded FROM lineitem GROUP BY 1")
 def ocr_confidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,12 +255,6 @@ def element_paths(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", "n", F.concat(F.lit("p["), "n", F.lit("]")).alias("path"))
 
 
-@query("SELECT conv_id, count(*) FILTER (turn = 0) AS n_roots, count(*) - count(DISTINCT turn) AS n_repeated, count(*) FILTER (turn = 0) = 1 AND count(*) = count(DISTINCT turn) AS valid FROM conversations GROUP BY 1")
-def tree_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """One root, and no two siblings in one place."""
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count_if(F.col("turn") == 0).alias("n_roots"), (F.count(F.lit(1)) - F.count_distinct("turn")).alias("n_repeated"))
-    return rows.withColumn("valid", (F.col("n_roots") == 1) & (F.col("n_repeated") == 0))
-
 
 @query(f"SELECT id, contains(scope, 'inference') AS inference, contains(scope, 'claim') AS reported FROM ({ASSERTIONS_SQL})")
 def keyword_effects(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,12 +303,6 @@ def resolve_citation(spark: SparkSession, sf: str) -> DataFrame:
     return assertions(spark, sf).where(F.col("subject_id").isin("org-1", "org-2", "org-3")).groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
-@query("SELECT label, count(*) AS n_units, sha256(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id::VARCHAR)) AS manifest FROM embeddings GROUP BY 1")
-def index_publish(spark: SparkSession, sf: str) -> DataFrame:
-    """The manifest that an index is published under."""
-    ids = F.array_join(F.array_sort(F.collect_list(F.col("vec_id").cast("string"))), ",")
-    return table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n_units"), F.sha2(ids, 256).alias("manifest"))
-
 
 @query("SELECT event_id, user_id, event_type <> 'error' AND value >= 0 AS shaped FROM events WHERE event_type IN ('error', 'purchase')")
 def model_run_violations(spark: SparkSession, sf: str) -> DataFrame:

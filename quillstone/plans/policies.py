@@ -28,14 +28,6 @@ def closure_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("no_bytes or no_assessment or no_vector")
 
 
-@query("""SELECT doc_id, substr(source, 4)::INT % 2 <> 0 AND (toxic IS NULL OR toxic = 0) AS planned FROM (SELECT d.doc_id, source, toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""")
-def rights_gated_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that may be shown to a model."""
-    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("l"), "toxic")
-    rows = table(spark, sf, "documents").join(labels, F.col("doc_id") == F.col("l"), "left")
-    may = F.substring("source", 4, 10).cast("int") % 2 != 0
-    return rows.select("doc_id", (may & (F.col("toxic").isNull() | (F.col("toxic") == 0))).alias("planned"))
-
 
 @query(f"""SELECT id, c_name AS label, CASE WHEN c_acctbal >= 0 THEN 'accepted' WHEN c_acctbal > -500 THEN 'pending' ELSE 'missing' END AS reference, CAST(n AS BIGINT) AS n_evidence
 FROM ({PROPOSALS_SQL}) JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE review_status = 'pending'""")
@@ -91,12 +83,6 @@ def retrieval_violations(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("unit"), F.explode(F.filter(F.array(*[F.when(c, name) for name, c in rules.items()]), lambda x: x.isNotNull())).alias("rule"))
 
 
-@query("""SELECT id FROM (SELECT 'p-' || p_partkey AS id, p_type, CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_name END AS original FROM part) WHERE original IS NULL""")
-def review_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Edited records that don't keep their original."""
-    rows = table(spark, sf, "part").select(F.concat(F.lit("p-"), "p_partkey").alias("id"), F.when(F.col("p_size") % 10 != 0, F.col("p_name")).alias("original"))
-    return rows.where("original is null").select("id")
-
 
 @query("""SELECT 'act_' || left(sha256('capture:' || doc_id), 24) AS id, 'capture' AS kind, 'doc-' || doc_id AS output_id, 'src-' || source AS input_id FROM documents""")
 def provenance_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,25 +114,7 @@ def reconcile_interrupted(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", F.when(F.col("ended").isNull() | (F.col("started") > F.col("ended")), "interrupted").otherwise("closed").alias("outcome"))
 
 
-@query("""SELECT c_custkey AS attempt_id, CASE c_nationkey % 4 WHEN 0 THEN 'fetch_failed' WHEN 1 THEN 'parse_failed' WHEN 2 THEN 'rights_blocked' ELSE 'stored' END AS code, c_nationkey % 4 = 0 AS retryable FROM customer""")
-def failure_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Typed outcomes of attempts, and whether trying again may help."""
-    codes = F.array(*map(F.lit, ("fetch_failed", "parse_failed", "rights_blocked", "stored")))
-    kind = F.col("c_nationkey") % 4
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("attempt_id"), F.get(codes, kind).alias("code"), (kind == 0).alias("retryable"))
-
-
-@query("""SELECT s_suppkey AS id, abs(s_acctbal - round(s_acctbal, 1)) <= 0.001 AS agrees FROM supplier""")
-def geometry_tolerance(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes that agree within a tolerance."""
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.abs(F.col("s_acctbal") - F.round("s_acctbal", 1)) <= 0.001).alias("agrees"))
-
 
-@query("""SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN p_size WHEN 1 THEN 100 - p_size WHEN 2 THEN 100 - p_size ELSE p_size END AS left_edge, CASE WHEN p_size % 4 IN (1, 3) THEN 'landscape' ELSE 'portrait' END AS shape FROM part""")
-def page_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Boxes after a turn of the page by quarters."""
-    turn = F.col("p_size") % 4
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(turn.isin(1, 2), 100 - F.col("p_size")).otherwise(F.col("p_size")).alias("left_edge"), F.when(turn.isin(1, 3), "landscape").otherwise("portrait").alias("shape"))
 
 
 @query("""SELECT p_partkey AS id, regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') || '-' || left(sha256(p_name), 8) AS task_id FROM part""")

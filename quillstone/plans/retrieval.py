@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
-from quillstone.operators import search
+from quillstone.operators import postings, search
 from quillstone.operators.digests import set_digest
 from quillstone.registry import query
+from quillstone.sources.shared import exists, shared_folder, state_of
 from quillstone.sources.tables import table, units
 
 #: The query that the registered searches run: a literal, its words, and the vector of one document.
@@ -18,9 +19,9 @@ VECTOR_ID = 0
 TOP = 20
 
 _EXACT = f"""SELECT doc_id AS unit, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE contains(replace(lower(text), 'ß', 'ss'), '{LITERAL}')"""
-_TERMS = f"regexp_extract_all(translate(lower(text), '{X.MARKED}', '{X.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+TERMS_SQL = f"regexp_extract_all(translate(lower(text), '{X.MARKED}', '{X.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
 _BM25 = rf"""
-WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+WITH d AS (SELECT doc_id, {TERMS_SQL} AS w FROM documents),
 s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
 q(term, times) AS (VALUES ('the', 2), ('tion', 1), ('ing', 1)),
 t AS (SELECT doc_id, len(w) AS size, term, times, len(list_filter(w, lambda x: x = term)) AS tf FROM d, q),
@@ -42,8 +43,17 @@ def _exact(spark: SparkSession, sf: str) -> DataFrame:
     return search.exact(_units(spark, sf), LITERAL)
 
 
+def published_index(spark: SparkSession, sf: str) -> str:
+    """The folder of the index of the documents as their files are now; it is published when it is first asked for, by source."""
+    docs = table(spark, sf, "documents")
+    folder = f"{shared_folder(spark)}/quillstone-postings/{state_of(docs)}"
+    if not exists(spark, f"{folder}/manifests/_SUCCESS"):
+        postings.publish(docs.select(F.col("source").alias("representation"), F.col("doc_id").alias("unit"), "text"), folder)
+    return folder
+
+
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
-    return search.bm25(_units(spark, sf), WORDS)
+    return postings.bm25(spark, published_index(spark, sf), WORDS)
 
 
 def _semantic(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,7 +141,7 @@ def retrieval_units(spark: SparkSession, sf: str) -> DataFrame:
     return units(spark, sf).where("text <> ''").select("source_order", "unit_id", F.sha2("text", 256).alias("digest"))
 
 
-@query(f"""SELECT doc_id, sha256(text) AS body, sha256(replace(lower(text), 'ß', 'ss')) AS body_folded, CAST(len({_TERMS}) AS BIGINT) AS n_terms FROM documents""")
+@query(f"""SELECT doc_id, sha256(text) AS body, sha256(replace(lower(text), 'ß', 'ss')) AS body_folded, CAST(len({TERMS_SQL}) AS BIGINT) AS n_terms FROM documents""")
 def exact_lexical_projection(spark: SparkSession, sf: str) -> DataFrame:
     """What the exact and lexical indexes hold of each unit."""
     return _units(spark, sf).select(F.col("unit").alias("doc_id"), F.sha2("text", 256).alias("body"), F.sha2(X.folded(F.col("text")), 256).alias("body_folded"), F.size(X.terms(F.col("text"))).cast("long").alias("n_terms"))

@@ -115,12 +115,6 @@ def canonical_json(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("user_id").alias("user"))).alias("json"))
 
 
-@query("SELECT event_id, regexp_matches(lower(props), '\"(k|token|password)\"[ ]*:') AND event_type = 'error' AS forbidden FROM events")
-def secret_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a JSON object has a key of the deny list."""
-    keys = F.transform(F.coalesce(F.json_object_keys("props"), F.array().cast("array<string>")), F.lower)
-    return table(spark, sf, "events").select("event_id", (F.arrays_overlap(keys, F.array(*map(F.lit, ("k", "token", "password")))) & (F.col("event_type") == "error")).alias("forbidden"))
-
 
 @query("""SELECT vec_id, round(sqrt(list_sum([(x * x)::DOUBLE for x in embedding::DOUBLE[]])), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum([(x * x)::DOUBLE for x in embedding::DOUBLE[]])), 6) AS first_value FROM embeddings""")
 def vector_normalize(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,13 +178,6 @@ def page_policy(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", path.alias("path"), F.when(n == 0, "blocked").when(rate >= 0.01, "degraded").otherwise("acceptable").alias("status"))
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_nationkey % 7 = 0 THEN 'blocked_entitlement' WHEN c_nationkey % 7 = 1 THEN 'blocked_rate_limit' WHEN c_nationkey % 7 = 2 THEN 'failed' ELSE 'continue' END AS state FROM customer""")
-def delivery_status(spark: SparkSession, sf: str) -> DataFrame:
-    """What a delivery's status code means."""
-    code = F.element_at(F.array(*map(F.lit, (401, 429, 503, 200, 204, 302, 404))), (F.col("c_nationkey") % 7 + 1).cast("int"))
-    state = F.when(code.isin(401, 403), "blocked_entitlement").when(code == 429, "blocked_rate_limit").when(code >= 500, "failed").otherwise("continue")
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), state.alias("state"))
-
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_type LIKE '%STEEL%' OR p_name LIKE '%red%' THEN 'withdrawal' WHEN p_name LIKE '%correct%' THEN 'correction' ELSE 'update' END AS kind FROM part""")
 def revision_kind(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,29 +186,3 @@ def revision_kind(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), kind.alias("kind"))
 
 
-#: The purposes that rights may allow, and what each signal does to them.
-PURPOSES = ("archive", "audit", "briefing", "diagnostic", "display", "embedding", "evidence", "export", "model_context", "public_fixture", "review", "search")
-RESTRICTED = ("archive", "diagnostic", "review")
-
-
-@query("""WITH s AS (SELECT DISTINCT source, CAST(substr(source, 4) AS INTEGER) AS n FROM documents),
-p(purpose) AS (VALUES ('archive'), ('audit'), ('briefing'), ('diagnostic'), ('display'), ('embedding'), ('evidence'), ('export'), ('model_context'), ('public_fixture'), ('review'), ('search'))
-SELECT source, string_agg(purpose, ',' ORDER BY purpose) AS purposes FROM s, p
-WHERE purpose <> 'public_fixture' AND (n % 3 <> 0 OR purpose IN ('archive', 'diagnostic', 'review')) AND (n % 2 <> 0 OR purpose <> 'model_context') GROUP BY source""")
-def rights_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """What a source's signals let it be used for, by set algebra."""
-    n = F.substring("source", 4, 10).cast("int")
-    every = F.array(*map(F.lit, PURPOSES))
-    allowed = F.array_except(every, F.array(F.lit("public_fixture")))
-    allowed = F.when(n % 3 == 0, F.array_intersect(allowed, F.array(*map(F.lit, RESTRICTED)))).otherwise(allowed)
-    allowed = F.when(n % 2 == 0, F.array_except(allowed, F.array(F.lit("model_context")))).otherwise(allowed)
-    return table(spark, sf, "documents").select("source").distinct().select("source", F.array_join(F.array_sort(allowed), ",").alias("purposes"))
-
-
-@query("""SELECT doc_id, CASE WHEN n % 5 = 0 THEN 'entitlement_expired' WHEN n % 5 = 1 THEN 'embargo_active' WHEN n % 2 = 0 THEN 'not_permitted' ELSE 'permitted' END AS decision
-FROM (SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS n FROM documents)""")
-def rights_authorize(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a use is allowed, by the first reason that holds."""
-    n = F.substring("source", 4, 10).cast("int")
-    reason = F.when(n % 5 == 0, "entitlement_expired").when(n % 5 == 1, "embargo_active").when(n % 2 == 0, "not_permitted").otherwise("permitted")
-    return table(spark, sf, "documents").select("doc_id", reason.alias("decision"))

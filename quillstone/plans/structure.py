@@ -62,17 +62,6 @@ def nearest_table(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("l_returnflag = 'R'").select("l_orderkey", F.col("n").cast("long").alias("annotation"), near.cast("long").alias("target")).where("target is not null")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS table_id, l_linenumber AS r0, l_linenumber + CAST(l_quantity AS INT) % 2 + 1 AS r1, l_suppkey % 5 AS c0 FROM lineitem)
-SELECT a.table_id, CAST(a.r0 AS BIGINT) AS row_index, count(*) AS n_headers FROM c a JOIN c h ON a.table_id = h.table_id AND h.r0 <= a.r0 AND a.r0 < h.r1 AND h.c0 < a.c0 GROUP BY 1, 2""")
-def header_ancestry(spark: SparkSession, sf: str) -> DataFrame:
-    """Row headers of each cell: cells of its row to the left; an equi-join on table and row."""
-    rows = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("r0"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 2 + 1).alias("r1"), (F.col("l_suppkey") % 5).alias("c0")
-    )
-    spans = rows.select(F.col("table_id").alias("h_table"), F.explode(F.sequence(F.col("r0"), F.col("r1") - 1)).alias("h_row"), F.col("c0").alias("h_col"))
-    joined = rows.join(spans, (F.col("table_id") == F.col("h_table")) & (F.col("r0") == F.col("h_row")) & (F.col("h_col") < F.col("c0")))
-    return joined.groupBy("table_id", F.col("r0").cast("long").alias("row_index")).agg(F.count(F.lit(1)).alias("n_headers"))
-
 
 @query("""WITH c AS (SELECT l_orderkey AS table_id, unnest(range(l_linenumber, l_linenumber + 2)) AS r, l_suppkey % 3 AS c FROM lineitem)
 SELECT table_id, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, count(*) AS n FROM c GROUP BY 1, 2, 3 HAVING count(*) > 1""")
@@ -147,14 +136,6 @@ def analysis_units(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.select("doc_id", "unit", record_id("unit", F.lit("analysis"), "doc_id", "unit").alias("unit_id"), "n_focus", "first_index")
 
 
-@query("""WITH t AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \t\n\r\x0b\x0c]+')) AS BIGINT) AS n, len(string_split(text, chr(10))) AS f FROM documents)
-SELECT doc_id, n AS required_tokens, CASE WHEN n <= 15744 THEN 'ready' WHEN f > 1 THEN 'split' ELSE 'blocked' END AS outcome FROM t""")
-def context_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether all that is required fits the budget, must be split, or can't be handled."""
-    n = F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\x0b\x0c]+"), F.lit(0))).cast("long")
-    outcome = F.when(n <= 15744, "ready").when(F.col("text").contains("\n"), "split").otherwise("blocked")
-    return table(spark, sf, "documents").select("doc_id", n.alias("required_tokens"), outcome.alias("outcome"))
-
 
 @query("""SELECT user_id, CAST(max_by(event_id, (ts, event_id)) AS BIGINT) AS attempt_id, max(ts) AS completed_at FROM events WHERE event_type = 'purchase' AND value > 20 GROUP BY user_id""")
 def latest_valid_attempt(spark: SparkSession, sf: str) -> DataFrame:
