@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.columns import unwrapped, wrapped
 from quillstone.llm.spans import blocks, given, listed, matches, replaced, tagged
-from quillstone.llm.store import stash, within_bounds
+from quillstone.llm.store import fits, stash, within_bounds
 
 # The patterns that are asked for. A run is entered only at its
 # beginning or where the last match ended, and is not given back, so that long runs take linear time.
@@ -170,7 +170,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     words = _occurring(own, told).join(told, F.col("word") == F.col("term"))
     hits = words.groupBy(F.col("row").alias("h_row")).agg(F.collect_set(F.struct("term", "share")).alias("told"))
     hits = stash(hits, "told")
-    hits = within_bounds(hits, 100 + 40 * F.size("told"))  # so that texts stay in their tasks where few have such terms
+    # Texts without such terms stay in their tasks: by a broadcast of all hits where these are few, else of the hashes of the texts that have some, else not at all.
+    if fits(hits, 100 + 40 * F.size("told")):
+        hits = F.broadcast(hits)
+    else:
+        held = hits.select(F.xxhash64("h_row").alias("held"))
+        texts = texts.join(F.broadcast(held), F.xxhash64("t_row") == F.col("held"), "left_semi") if fits(held, F.lit(16)) else texts
     bases = found.select(F.col("row").alias("b_row"), F.col("base").alias("b_base")).join(hits.select("h_row"), F.col("b_row") == F.col("h_row"), "left_semi").dropDuplicates(["b_row"])
     at = texts.join(hits, F.col("t_row") == F.col("h_row")).dropDuplicates(["t_row"]).join(bases, F.col("t_row") == F.col("b_row"))
     share = lambda v: F.try_element_at(F.col("told"), F.lower(v))

@@ -81,7 +81,11 @@ def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
+def fits(df: DataFrame, weight: Column) -> bool:
+    """Whether rows of these ``weight`` in bytes add up to no more than BROADCAST_BYTES. Reads ``df`` once."""
+    return (df.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def within_bounds(df: DataFrame, weight: Column) -> DataFrame:
-    """``df``, to be broadcast if its rows' ``weight`` in bytes adds up to no more than BROADCAST_BYTES; else Spark shuffles and splits skewed keys. Reads ``df`` once."""
-    total = df.agg(F.sum(weight)).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+    """``df``, to be broadcast if it ``fits``; else Spark shuffles and splits skewed keys."""
+    return F.broadcast(df) if fits(df, weight) else df
