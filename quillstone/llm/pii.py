@@ -177,12 +177,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
         held = hits.select(F.xxhash64("h_row").alias("held"))
         texts = texts.join(F.broadcast(held), F.xxhash64("t_row") == F.col("held"), "left_semi") if fits(held, F.lit(16)) else texts
     bases = found.select(F.col("row").alias("b_row"), F.col("base").alias("b_base")).join(hits.select("h_row"), F.col("b_row") == F.col("h_row"), "left_semi").dropDuplicates(["b_row"])
-    at = texts.join(hits, F.col("t_row") == F.col("h_row")).dropDuplicates(["t_row"]).join(bases, F.col("t_row") == F.col("b_row"))
+    bases = within_bounds(stash(bases, "bases"), 100 + 60 * F.size("b_base"))
+    at = texts.join(hits, F.col("t_row") == F.col("h_row")).join(bases, F.col("t_row") == F.col("b_row"))  # each copy in its own task; spans are shuffled, not texts
     share = lambda v: F.try_element_at(F.col("told"), F.lower(v))
     spans_in = lambda t: matches(t, TERM, lambda v: share(v).isNotNull())
     at = at.select("t_row", "text", "b_base", F.map_from_entries("told").alias("told"))
     at = at.select("t_row", given(_masked(F.col("text"), F.col("b_base")), spans_in).alias("at"), "told")
-    flagged = at.select("t_row", F.transform("at", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value"), share(t["value"]).alias("share"))).alias("told"))
+    flagged = at.select("t_row", F.transform("at", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value"), share(t["value"]).alias("share"))).alias("told")).dropDuplicates(["t_row"])
     spans = found.select(F.col("row"), "base", F.col("doc_id").alias("f_doc"))
     return spans.join(flagged, F.col("row") == F.col("t_row"), "left").select("f_doc", "row", "base", F.coalesce("told", nothing).alias("terms"))
 
