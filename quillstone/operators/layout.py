@@ -39,11 +39,25 @@ def reading_order(items: DataFrame) -> DataFrame:
 def cross_references(targets: DataFrame, markers: DataFrame) -> DataFrame:
     """Each marker tied to the nearest target of its label: ``targets(doc, label, node, order_index)``, ``markers(doc, label, node, order_index, start_char, end_char)``.
 
-    A node never refers to itself; of two targets as near the one with the lesser node is taken. Labels are joined as they are;
-    the nearest is an aggregate over a marker's candidates, which are the targets of one label in one document.
+    A node never refers to itself; of two targets as near the one with the lesser node is taken. No marker meets all targets of its
+    label: both are put in order of their places, and a running value from either side brings the nearest place with targets. Of each place the two least
+    targets are kept, the second for markers that are the first themselves. Markers without a target are left out; null labels have none.
     """
-    t = targets.select(F.col("doc").alias("t_doc"), F.col("label").alias("t_label"), F.col("node").alias("target"), F.col("order_index").alias("t_order"))
-    pairs = markers.join(t, (F.col("doc") == F.col("t_doc")) & (F.col("label") == F.col("t_label")) & (F.col("node") != F.col("target")))
-    near = F.min(F.struct(F.abs(F.col("order_index") - F.col("t_order")).alias("distance"), "target"))
-    found = pairs.groupBy("doc", "label", "node", "start_char", "end_char").agg(near.alias("near"))
-    return found.select("doc", "label", "node", "start_char", "end_char", F.col("near.target").alias("target"))
+    key = Window.partitionBy("doc", "label")
+    place = Window.partitionBy("doc", "label", "order_index").orderBy("node")
+    ranked = targets.where("doc is not null and label is not null").select("doc", "label", "order_index", "node").distinct().withColumn("n", F.row_number().over(place)).where("n <= 2")
+    at = ranked.groupBy("doc", "label", "order_index").agg(F.min("node").alias("first"), F.max(F.when(F.col("n") == 2, F.col("node"))).alias("second"))
+    held = at.select("doc", "label", "order_index", F.struct(F.col("order_index").alias("at"), "first", "second").alias("target"))
+    own = markers.where("doc is not null and label is not null").select("doc", "label", "order_index", F.struct("node", "start_char", "end_char").alias("marker"))
+    both = held.unionByName(own, allowMissingColumns=True)
+    up, down = key.orderBy("order_index"), key.orderBy(F.desc("order_index"))
+    ahead = (Window.unboundedPreceding, -1)
+    near = both.select(
+        "doc", "label", "order_index", "marker", F.last("target", ignorenulls=True).over(up.rangeBetween(*ahead)).alias("before"), F.last("target", ignorenulls=True).over(down.rangeBetween(*ahead)).alias("after"), F.max("target").over(up.rangeBetween(0, 0)).alias("here")
+    ).where("marker is not null")
+    itself = F.col("here")["first"] == F.col("marker")["node"]
+    one = lambda distance, node: F.when(node.isNotNull(), F.struct(distance.alias("distance"), node.alias("node")))
+    choices = [one(F.lit(0).cast("long"), F.when(itself, F.col("here")["second"]).otherwise(F.col("here")["first"]))]
+    choices += [one(F.abs(F.col("order_index") - F.col(c)["at"]).cast("long"), F.col(c)["first"]) for c in ("before", "after")]
+    found = near.select("doc", "label", "marker.*", F.array_min(F.filter(F.array(*choices), lambda x: x.isNotNull())).alias("near"))
+    return found.where("near is not null").select("doc", "label", "node", "start_char", "end_char", F.col("near.node").alias("target"))

@@ -6,7 +6,7 @@ import re
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,10 @@ def _record(**fields: T.DataType) -> T.StructType:
 
 _S = T.StringType()
 BODY = T.ArrayType(_record(kind=_S, path=_S, text=_S))
-ITEM = _record(item_id=_S, version=_S, provider=_S, status=_S, language=_S, headlines=T.ArrayType(_S), signals=T.ArrayType(_S), body=BODY, error=_S)
+ITEM = _record(item_id=_S, version=_S, provider=_S, status=_S, language=_S, headlines=T.ArrayType(_S), signals=T.ArrayType(_S), body=BODY, error=_S,
+               version_created=_S, first_created=_S, embargo_until=_S, roles=T.ArrayType(_S), subjects=T.ArrayType(_S), locations=T.ArrayType(_S), usage_terms=T.ArrayType(_S), media=T.ArrayType(_S), archive_permitted=T.BooleanType())
+#: The fields of an item that are times, as they stand in it.
+TIMES = ("version_created", "first_created", "embargo_until")
 # The tags that body elements have, and what they are.
 KINDS = {"hl1": "heading", "hl2": "heading", "p": "paragraph", "blockquote": "quote", "li": "list_item", "caption": "caption"}
 PRECEDENCE = ("json_ld", "semantic_html", "page")
@@ -32,16 +35,24 @@ def _text(node: ElementTree.Element) -> str:
     return re.sub(r"[ \t\n\r\f\v]+", " ", "".join(node.itertext())).strip(" ")
 
 
+def _faulty(error: str) -> tuple:
+    return tuple(error if name == "error" else None for name in ITEM.names)
+
+
 def _item(payload: str | None) -> tuple:
-    """The fields of ITEM for one payload; a payload that can't be read has only an ``error``."""
+    """The fields of ITEM for one payload; a payload that can't be read has only an ``error``.
+
+    Times are texts, null where there is none. Subjects and locations are those with names; what may be archived is all but items with
+    a signal of that name, whatever its scheme and case.
+    """
     try:
         root = ElementTree.fromstring(payload or "")
     except ElementTree.ParseError:
-        return (*[None] * 8, "malformed")
+        return _faulty("malformed")
     if _plain(root.tag) != "newsItem":
-        return (*[None] * 8, "not_a_news_item")
+        return _faulty("not_a_news_item")
     if not root.get("guid") or not root.get("version"):
-        return (*[None] * 8, "no_identity")
+        return _faulty("no_identity")
     by_tag: dict[str, list[ElementTree.Element]] = {}
     for node in root.iter():
         by_tag.setdefault(_plain(node.tag), []).append(node)
@@ -60,7 +71,11 @@ def _item(payload: str | None) -> tuple:
             body.append((KINDS[tag], f"{tag}[{seen[tag]}]", text))
     signals = [q for n in by_tag.get("signal", []) if (q := n.get("qcode"))]
     name = _text(provider) if provider is not None else ""
-    return (root.get("guid"), root.get("version"), name or "unknown-provider", status.get("qcode", "unknown") if status is not None else "unknown", language.get("tag") if language is not None else None, headlines, signals, body, None)
+    named = lambda tag: [t for n in by_tag.get(tag, []) if (t := next((_text(c) for c in n if _plain(c.tag) == "name"), ""))]
+    time = lambda tag: next(iter(texts(tag)), None)
+    media = [h for n in by_tag.get("remoteContent", []) if (h := n.get("href"))]
+    more = (time("versionCreated"), time("firstCreated"), time("embargoed"), named("role"), named("subject"), named("located"), texts("usageTerms"), media, not any(q.casefold().rsplit(":", 1)[-1] == "noarchive" for q in signals))
+    return (root.get("guid"), root.get("version"), name or "unknown-provider", status.get("qcode", "unknown") if status is not None else "unknown", language.get("tag") if language is not None else None, headlines, signals, body, None, *more)
 
 
 @F.pandas_udf(ITEM)
@@ -71,6 +86,11 @@ def newsml(payload: pd.Series) -> pd.DataFrame:
     return rows
 
 
+def times(items: DataFrame) -> DataFrame:
+    """``items`` with their TIMES as instants; what is no time is null."""
+    return items.withColumns({c: F.try_to_timestamp(c) for c in TIMES})
+
+
 def article(html: Column) -> Column:
     """``struct<headline, precedence, elements>`` of a web page: JSON-LD's article first, then ``<article>``, then the whole page.
 
@@ -97,14 +117,12 @@ def representation(items: DataFrame, key: str) -> DataFrame:
     """
     good = items.where(F.col("error").isNull()).withColumn("analyzable", F.exists("body", lambda e: e["kind"] == "paragraph"))
     root = record_id("nod", "item_id", "version", F.lit("root"))
-    places = F.aggregate(
-        "body",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda done, e: F.struct((done["at"] + F.length(e["text"]) + 1).alias("at"), F.concat(done["starts"], F.array(done["at"])).alias("starts")),
-    )
-    rows = good.select(key, "item_id", "version", "analyzable", root.alias("root"), "body", places.alias("p"))
-    each = F.zip_with("body", F.col("p.starts"), lambda e, at: F.struct(e["kind"].alias("kind"), at.alias("start_char"), (at + F.length(e["text"])).alias("end_char")))
-    nodes = rows.select(key, "item_id", "version", "root", "analyzable", F.posexplode(each).alias("order_index", "e"))
+    rows = good.select(key, "item_id", "version", "analyzable", root.alias("root"), "body")
+    # A running sum over an item's elements: no array is copied for each of them.
+    w = Window.partitionBy(key, "item_id", "version").orderBy("order_index").rowsBetween(Window.unboundedPreceding, -1)
+    nodes = rows.select(key, "item_id", "version", "root", "analyzable", F.posexplode("body").alias("order_index", "e"))
+    start = F.coalesce(F.sum(F.length("e.text") + 1).over(w), F.lit(0))
+    nodes = nodes.withColumn("e", F.struct("e.kind", start.alias("start_char"), (start + F.length("e.text")).alias("end_char")))
     own = nodes.select(key, record_id("nod", "item_id", "version", "order_index").alias("node_id"), F.col("root").alias("parent_id"), "e.kind", F.col("order_index").cast("long").alias("order_index"), F.col("e.start_char").cast("long").alias("start_char"), F.col("e.end_char").cast("long").alias("end_char"), "analyzable")
-    whole = rows.select(key, F.col("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("kind"), F.lit(-1).cast("long").alias("order_index"), F.lit(0).cast("long").alias("start_char"), F.greatest(F.col("p.at") - 1, F.lit(0)).cast("long").alias("end_char"), "analyzable")
+    whole = rows.select(key, F.col("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("kind"), F.lit(-1).cast("long").alias("order_index"), F.lit(0).cast("long").alias("start_char"), F.greatest(F.aggregate("body", F.lit(-1), lambda n, e: n + F.length(e["text"]) + 1), F.lit(0)).cast("long").alias("end_char"), "analyzable")
     return own.union(whole)

@@ -79,26 +79,39 @@ def fuse(channels: dict[str, DataFrame], k: int) -> DataFrame:
 INNER = r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"
 
 
+#: So many words of anchors are looked for within a document's row, and so many short anchors are compared with all documents at once.
+FEW_WORDS = 2_000
+SHORT_BLOCK = 1_000
+
+
 def occurrences(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """``item_id, n_documents, n_occurrences`` of each anchor text in the documents, as a plain literal.
 
     An anchor meets only documents that hold the rarest of its inner words, those between its first and last, which may be parts of
-    longer words in a document. Anchors without inner words are looked for in every document. Candidates are
-    confirmed on whole texts; a document's text meets all of its anchors in one row.
+    longer words in a document. Anchors without inner words are compared with every document, in blocks of SHORT_BLOCK. Candidates are
+    confirmed on whole texts. If anchors have few words, a document's other words don't leave its row.
     """
     wanted = anchors.select("item_id", F.col("text").alias("anchor")).where("anchor != ''").withColumn("inner", F.array_distinct(F.regexp_extract_all("anchor", F.lit(INNER), F.lit(0))))
     pieces = wanted.select("item_id", "anchor", F.explode("inner").alias("word"))
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    held = docs.select("doc_id", F.explode(words).alias("w")).join(pieces.select(F.col("word").alias("w")).distinct(), "w", "left_semi")
+    distinct = pieces.select(F.col("word").alias("w")).distinct()
+    few = [r["w"] for r in distinct.limit(FEW_WORDS + 1).collect()]
+    if len(few) <= FEW_WORDS:
+        held = docs.select("doc_id", F.explode(F.array_intersect(words, F.array(*map(F.lit, few)).cast("array<string>"))).alias("w"))
+    else:
+        held = docs.select("doc_id", F.explode(words).alias("w")).join(distinct, "w", "left_semi")
+    held = durable(held)
     counts = held.groupBy(F.col("w").alias("c_word")).agg(F.count(F.lit(1)).alias("k"))
     # A word that no document has makes its anchor's count zero, so absent ones are the rarest.
     rarest = pieces.join(counts, F.col("word") == F.col("c_word"), "left").groupBy("item_id", "anchor").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "word")).alias("r")).where("r.k > 0")
-    found = held.join(rarest.select("item_id", "anchor", F.col("r.word").alias("r_word")), F.col("w") == F.col("r_word")).select("doc_id", "item_id", "anchor")
-    short = wanted.where(F.size("inner") == 0).agg(F.collect_set(F.struct("item_id", "anchor")).alias("s"))
-    by_doc = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("item_id", "anchor")).alias("a"))
-    none = F.array().cast("array<struct<item_id:bigint,anchor:string>>")
-    both = docs.select("doc_id", "text").join(by_doc, F.col("doc_id") == F.col("d"), "left").join(short)  # one row: the anchors of one or two words
-    each = both.select("text", F.explode(F.concat(F.coalesce("a", none), F.coalesce("s", none))).alias("x")).select("text", "x.item_id", "x.anchor").where(F.col("text").contains(F.col("anchor")))
+    pairs = held.join(rarest.select("item_id", "anchor", F.col("r.word").alias("r_word")), F.col("w") == F.col("r_word")).select(F.col("doc_id").alias("d"), "item_id", "anchor")
+    own = docs.select("doc_id", "text")
+    each = own.join(pairs, F.col("doc_id") == F.col("d")).where(F.col("text").contains(F.col("anchor"))).select("text", "item_id", "anchor")
+    short = wanted.where(F.size("inner") == 0).select("item_id", "anchor")
+    blocks = -(-short.count() // SHORT_BLOCK)
+    for i in range(blocks):
+        part = short.where(F.pmod(F.xxhash64("item_id", "anchor"), F.lit(blocks)) == i)
+        each = each.union(own.join(F.broadcast(part), F.col("text").contains(F.col("anchor"))).select("text", "item_id", "anchor"))
     n = (F.length("text") - F.length(F.replace("text", "anchor", F.lit("")))) / F.length("anchor")
     counted = each.groupBy(F.col("item_id").alias("i")).agg(F.count(F.lit(1)).alias("n_documents"), F.sum(n).cast("long").alias("n_occurrences"))
     zero = F.lit(0).cast("long")

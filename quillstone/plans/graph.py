@@ -85,7 +85,6 @@ def graph_mine_proposals(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("confidence", F.when(F.col("kind") == "assertion", 0.5).otherwise(0.7))
 
 
-
 @query("""SELECT conv_id, max(turn) AS tip_turn, max_by(role, turn) AS tip_role, CASE WHEN max_by(role, turn) = 'user' THEN NULL ELSE max(turn) END AS current_turn
 FROM conversations GROUP BY conv_id""")
 def current_revision(spark: SparkSession, sf: str) -> DataFrame:

@@ -88,7 +88,6 @@ def illegal_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.col("from_state").isNotNull() & ~step.isin(*[">".join(a) for a in allowed]))
 
 
-
 @query("""SELECT p_brand AS task, count(*) AS n_files, CAST(sum(p_size) AS BIGINT) AS n_lines, sum(p_size) > 1500 OR count(*) > 90 AS over_budget FROM part GROUP BY 1""")
 def path_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Files and lines of each task against its budget."""

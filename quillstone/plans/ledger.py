@@ -32,7 +32,6 @@ def source_title(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.when(head != "", head).otherwise(F.concat(F.lit("doc-"), "doc_id")).alias("title"))
 
 
-
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events")
 def event_log_read(spark: SparkSession, sf: str) -> DataFrame:
     """Log records as typed rows; malformed ones are flagged and not fatal."""
@@ -40,7 +39,6 @@ def event_log_read(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), F.coalesce(F.try_parse_json("props").isNotNull(), F.lit(False)).alias("valid"))
 
 
-
 @query("SELECT source, CASE WHEN count(*) = count(DISTINCT sha256(text)) THEN 'created' ELSE 'conflict' END AS disposition, count(*) AS n_children FROM documents GROUP BY source")
 def bundle_commit_disposition(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a bundle may be committed: no child twice."""
@@ -76,13 +74,6 @@ def rebuild_equivalence(spark: SparkSession, sf: str) -> DataFrame:
     return counted.withColumn("equivalent", F.col("n_mismatches") == 0)
 
 
-@query("SELECT doc_id, CASE WHEN n_chars <> length(text) THEN 'length' WHEN lang NOT IN ('de', 'en', 'es') THEN 'language' ELSE 'none' END AS issue FROM documents")
-def bundle_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    """The first rule that a stored representation breaks."""
-    issue = F.when(F.col("n_chars") != F.length("text"), "length").when(~F.col("lang").isin("de", "en", "es"), "language").otherwise("none")
-    return table(spark, sf, "documents").select("doc_id", issue.alias("issue"))
-
-
 @query(f"SELECT doc_id, order_index, 'fp_' || left(sha256('unit:' || doc_id || ':' || order_index || ':' || sha256(line)), 24) AS fingerprint FROM ({_LINES}) WHERE line <> ''")
 def unit_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of line units."""
@@ -97,19 +88,12 @@ def unit_projection_integrity(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(n, F.col("n_chars") == F.col("k")).select("doc_id", "n_projections", (F.col("n_projections") == 1).alias("intact"))
 
 
-@query(f"SELECT doc_id, order_index, sha256(line) = sha256(trim(line)) AS verified FROM ({_LINES}) WHERE line <> ''")
-def hit_verification(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a node's text still has the digest that was indexed."""
-    return lines(spark, sf).where("line <> ''").select("doc_id", "order_index", (F.sha2("line", 256) == F.sha2(F.trim("line"), 256)).alias("verified"))
-
-
 @query("SELECT source AS manifest, count(*) AS n FROM documents GROUP BY source HAVING count(*) > 1")
 def duplicate_manifests(spark: SparkSession, sf: str) -> DataFrame:
     """Manifests that occur more than once."""
     return table(spark, sf, "documents").groupBy(F.col("source").alias("manifest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-
 @query("SELECT o_custkey AS plan_id, o_orderkey AS item_id, 'frozen' AS origin FROM orders UNION ALL SELECT o_custkey, o_orderkey * 10 + l_linenumber, 'split_child' FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
 def planned_items(spark: SparkSession, sf: str) -> DataFrame:
     """Frozen units and the children of split ones."""
@@ -134,7 +118,6 @@ def attempt_membership(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", (F.col("c_custkey").isNotNull() & (F.col("event_type") != "view")).alias("member"))
 
 
-
 @query(f"""SELECT doc_id, sha256(string_agg('[line:' || order_index || ']' || chr(10) || line, chr(10) ORDER BY order_index)) AS digest, CAST(sum(strlen('[line:' || order_index || ']' || chr(10) || line)) + count(*) - 1 AS BIGINT) AS byte_length FROM ({_LINES}) GROUP BY doc_id""")
 def context_render(spark: SparkSession, sf: str) -> DataFrame:
     """Contexts as text, to the byte."""
@@ -143,8 +126,6 @@ def context_render(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(whole, 256).alias("digest"), F.octet_length(whole).cast("long").alias("byte_length"))
 
 
-
-
 @query("""SELECT l_orderkey AS table_id, CAST(l_linenumber AS BIGINT) AS row_index, count(*) AS n_cells, CAST(sum(count(*)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS offset_cells FROM lineitem GROUP BY 1, l_linenumber""")
 def table_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a table with the cells before them."""
@@ -167,7 +148,6 @@ def table_violations(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("n <> d").select("table_id", (F.col("n") - F.col("d")).alias("n_repeated"))
 
 
-
 @query("SELECT l_orderkey AS page_id, round(sum(CAST(round(l_discount * 100) AS BIGINT)) / (10.0::DOUBLE * count(*)), 6) AS confidence, sum(CAST(round(l_discount * 100) AS BIGINT)) < 3 * count(*) AS degraded FROM lineitem GROUP BY 1")
 def ocr_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Mean confidence of each page's lines. Hundredths are summed as whole numbers, so that the bar is met exactly."""
@@ -255,7 +235,6 @@ def element_paths(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", "n", F.concat(F.lit("p["), "n", F.lit("]")).alias("path"))
 
 
-
 @query(f"SELECT id, contains(scope, 'inference') AS inference, contains(scope, 'claim') AS reported FROM ({ASSERTIONS_SQL})")
 def keyword_effects(spark: SparkSession, sf: str) -> DataFrame:
     """Effects by the words of a predicate."""
@@ -303,7 +282,6 @@ def resolve_citation(spark: SparkSession, sf: str) -> DataFrame:
     return assertions(spark, sf).where(F.col("subject_id").isin("org-1", "org-2", "org-3")).groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
-
 @query("SELECT event_id, user_id, event_type <> 'error' AND value >= 0 AS shaped FROM events WHERE event_type IN ('error', 'purchase')")
 def model_run_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Runs whose output doesn't fit their outcome."""

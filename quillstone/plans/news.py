@@ -13,12 +13,19 @@ from quillstone.sources.tables import table
 # A document as a news item: its first line is the headline, short lines are headings, others paragraphs. Payloads of documents
 # labelled of low quality were cut off in transport; those labelled toxic must not be archived.
 SHORT = 40
+#: Items are of a time after this one, in seconds, by their length.
+FIRST = 1_704_067_200
 _SOURCE = f"""SELECT d.doc_id, source, lang, n_chars, coalesce(quality = 0, false) AS cut, coalesce(toxic = 1, false) AS barred,
 list_filter([trim(regexp_replace(x, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') FOR x IN string_split(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), chr(10))], lambda x: x <> '') AS ls FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 _ELEMENTS = f"""SELECT *, list_concat(CASE WHEN len(ls) > 0 THEN ['headline|headline[1]|' || ls[1]] ELSE [] END, ['byline|by[1]|By ' || source], ['dateline|dateline[1]|' || upper(lang)],
 list_transform(ls, lambda x, i: CASE WHEN length(x) < {SHORT} THEN 'heading|hl1[' || len(list_filter(ls[1:i], lambda y: length(y) < {SHORT})) ELSE 'paragraph|p[' || len(list_filter(ls[1:i], lambda y: length(y) >= {SHORT})) END || ']|' || x)) AS body FROM ({_SOURCE})"""
 
 
+def _utc_text(at: Column) -> Column:
+    """An instant as ISO text in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
     """``doc_id, source, payload``: documents as news items in XML."""
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels").withColumnRenamed("doc_id", "l_id"), F.col("doc_id") == F.col("l_id"), "left")
@@ -27,12 +34,15 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
     squeezed = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[ \t\n\r\f\v]+", " "))), lambda x: x != "")
     element = lambda x: F.concat(F.when(F.length(x) < SHORT, F.concat(F.lit("<hl1>"), escape(x), F.lit("</hl1>"))).otherwise(F.concat(F.lit("<p>"), escape(x), F.lit("</p>"))))
     head = F.when(F.size("ls") > 0, F.concat(F.lit("<headline>"), escape(F.get("ls", F.lit(0))), F.lit("</headline>"))).otherwise("")
+    stamp = lambda seconds: _utc_text(F.timestamp_seconds(F.lit(FIRST) + seconds))
+    times = F.concat(F.lit("<versionCreated>"), stamp(F.col("n_chars")), F.lit("</versionCreated>"), F.when(F.col("toxic").isNotNull(), F.concat(F.lit("<embargoed>"), stamp(2 * F.col("n_chars")), F.lit("</embargoed>"))).otherwise(""))
+    topics = F.concat(F.lit("<subject><name>In "), "lang", F.lit("</name></subject><subject/><located><name>"), F.upper("lang"), F.lit("</name></located>"))
     signal = F.when(F.col("toxic") == 1, F.lit('<signal qcode="sig:noarchive"/>')).otherwise("")
     rows = docs.select("doc_id", "source", "lang", "n_chars", "quality", "toxic", squeezed.alias("ls"))
     whole = F.concat(
-        F.lit('<newsItem xmlns="urn:news:item" guid="doc-'), "doc_id", F.lit('" version="'), "n_chars", F.lit('"><itemMeta><provider><name>'), escape(F.col("source")),
+        F.lit('<newsItem xmlns="urn:news:item" guid="doc-'), "doc_id", F.lit('" version="'), "n_chars", F.lit('"><rightsInfo><usageTerms>As '), escape(F.col("source")), F.lit(' allows</usageTerms></rightsInfo><itemMeta>'), times, F.lit('<provider><name>'), escape(F.col("source")),
         F.lit('</name></provider><pubStatus qcode="stat:usable"/>'), signal, F.lit('</itemMeta><contentMeta><language tag="'), "lang", F.lit('"/>'), head, F.lit("<by>By "), escape(F.col("source")),
-        F.lit("</by><dateline>"), F.upper("lang"), F.lit("</dateline></contentMeta><contentSet><inlineXML><body>"), F.array_join(F.transform("ls", element), "\n"), F.lit("</body></inlineXML></contentSet></newsItem>"),
+        F.lit("</by><dateline>"), F.upper("lang"), F.lit("</dateline>"), topics, F.lit("</contentMeta><contentSet><inlineXML><body>"), F.array_join(F.transform("ls", element), "\n"), F.lit("</body></inlineXML></contentSet></newsItem>"),
     )
     return rows.select("doc_id", "source", F.when(F.col("quality") == 0, F.substring(whole, F.lit(1), F.length(whole) - 11)).otherwise(whole).alias("payload"))
 
@@ -53,6 +63,15 @@ def newsml_parse(spark: SparkSession, sf: str) -> DataFrame:
     return _items(spark, sf).select("doc_id", "item_id", "version", "provider", "language", n.alias("n_elements"), F.sha2(F.array_join(_parts(F.col("body")), "\n"), 256).alias("body_sha256"), "error")
 
 
+@query(f"""SELECT doc_id, CASE WHEN NOT cut THEN strftime(make_timestamp(({FIRST} + n_chars) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS version_created, CASE WHEN NOT cut AND labelled THEN strftime(make_timestamp(({FIRST} + 2 * n_chars) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS embargo_until, CASE WHEN NOT cut THEN 'In ' || lang END AS subjects,
+CASE WHEN NOT cut THEN upper(lang) END AS locations, CASE WHEN NOT cut THEN 'As ' || source || ' allows' END AS usage_terms, CASE WHEN NOT cut THEN NOT barred END AS archive_permitted FROM (SELECT s.*, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.doc_id) AS labelled FROM ({_SOURCE}) s)""")
+def newsml_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Times, subjects, places and rights of news items, read from their XML."""
+    items = news.times(_items(spark, sf))
+    joined = [F.array_join(c, ",").alias(c) for c in ("subjects", "locations", "usage_terms")]
+    return items.select("doc_id", *[_utc_text(F.col(c)).alias(c) for c in ("version_created", "embargo_until")], *joined, "archive_permitted")
+
+
 @query(f"""WITH e AS (SELECT doc_id, n_chars, list_transform(body, lambda x: string_split(x, '|')[1]) AS ks, list_transform(body, lambda x: x[length(string_split(x, '|')[1]) + length(string_split(x, '|')[2]) + 3:]) AS ts FROM ({_ELEMENTS}) WHERE NOT cut),
 r AS (SELECT *, 'nod_' || left(sha256('doc-' || doc_id || ':' || n_chars || ':root'), 24) AS root, list_contains(ks, 'paragraph') AS analyzable FROM e),
 n AS (SELECT *, unnest(range(len(ks))) AS i FROM r)

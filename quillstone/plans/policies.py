@@ -28,7 +28,6 @@ def closure_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("no_bytes or no_assessment or no_vector")
 
 
-
 @query(f"""SELECT id, c_name AS label, CASE WHEN c_acctbal >= 0 THEN 'accepted' WHEN c_acctbal > -500 THEN 'pending' ELSE 'missing' END AS reference, CAST(n AS BIGINT) AS n_evidence
 FROM ({PROPOSALS_SQL}) JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE review_status = 'pending'""")
 def review_packet(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +82,6 @@ def retrieval_violations(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("unit"), F.explode(F.filter(F.array(*[F.when(c, name) for name, c in rules.items()]), lambda x: x.isNotNull())).alias("rule"))
 
 
-
 @query("""SELECT 'act_' || left(sha256('capture:' || doc_id), 24) AS id, 'capture' AS kind, 'doc-' || doc_id AS output_id, 'src-' || source AS input_id FROM documents""")
 def provenance_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Activities with what went in and what came out."""
@@ -114,9 +112,6 @@ def reconcile_interrupted(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", F.when(F.col("ended").isNull() | (F.col("started") > F.col("ended")), "interrupted").otherwise("closed").alias("outcome"))
 
 
-
-
-
 @query("""SELECT p_partkey AS id, regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') || '-' || left(sha256(p_name), 8) AS task_id FROM part""")
 def task_slugs(spark: SparkSession, sf: str) -> DataFrame:
     """Task names with a digest that tells equal slugs apart."""

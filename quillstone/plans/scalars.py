@@ -115,7 +115,6 @@ def canonical_json(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("user_id").alias("user"))).alias("json"))
 
 
-
 @query("""SELECT vec_id, round(sqrt(list_sum([(x * x)::DOUBLE for x in embedding::DOUBLE[]])), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum([(x * x)::DOUBLE for x in embedding::DOUBLE[]])), 6) AS first_value FROM embeddings""")
 def vector_normalize(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of unit length: their former length and first value."""
@@ -178,7 +177,6 @@ def page_policy(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", path.alias("path"), F.when(n == 0, "blocked").when(rate >= 0.01, "degraded").otherwise("acceptable").alias("status"))
 
 
-
 @query("""SELECT p_partkey AS id, CASE WHEN p_type LIKE '%STEEL%' OR p_name LIKE '%red%' THEN 'withdrawal' WHEN p_name LIKE '%correct%' THEN 'correction' ELSE 'update' END AS kind FROM part""")
 def revision_kind(spark: SparkSession, sf: str) -> DataFrame:
     """The kind of a revision by its words."""

@@ -62,7 +62,6 @@ def nearest_table(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("l_returnflag = 'R'").select("l_orderkey", F.col("n").cast("long").alias("annotation"), near.cast("long").alias("target")).where("target is not null")
 
 
-
 @query("""WITH c AS (SELECT l_orderkey AS table_id, unnest(range(l_linenumber, l_linenumber + 2)) AS r, l_suppkey % 3 AS c FROM lineitem)
 SELECT table_id, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, count(*) AS n FROM c GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def grid_overlap(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,21 +103,6 @@ def capped_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.round(F.least(F.lit(1.0), F.sum(F.col("l_discount") * F.col("l_quantity") / 10)), 6).alias("coverage"))
 
 
-@query("SELECT doc_id, substr(text, 11, 30) AS span, sha256(substr(text, 11, 30)) AS digest FROM documents WHERE length(text) >= 40")
-def span_text(spark: SparkSession, sf: str) -> DataFrame:
-    """The text of a span of code points."""
-    span = F.substring("text", 11, 30)
-    return table(spark, sf, "documents").where(F.length("text") >= 40).select("doc_id", span.alias("span"), F.sha2(span, 256).alias("digest"))
-
-
-@query("""SELECT doc_id, CAST(strpos(text, q) AS BIGINT) - 1 AS start_char, CAST(strpos(text, q) - 1 + length(q) AS BIGINT) AS end_char FROM (SELECT doc_id, text, substr(text, length(text) // 2, 25) AS q FROM documents WHERE length(text) > 60)""")
-def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
-    """The span of a quote in its document."""
-    rows = table(spark, sf, "documents").where(F.length("text") > 60).select("doc_id", "text", F.substring(F.col("text"), F.floor(F.length("text") / 2).cast("int"), F.lit(25)).alias("q"))
-    start = F.position(F.col("q"), F.col("text")).cast("long") - 1
-    return rows.select("doc_id", start.alias("start_char"), (start + F.length("q")).alias("end_char"))
-
-
 @query("""SELECT l_orderkey AS id, bool_or(l_returnflag = 'A') AS directly_supported, count(*) FILTER (l_returnflag = 'A') AS n_direct, CASE WHEN bool_or(l_returnflag = 'A') THEN 'accept' ELSE 'withhold' END AS gate FROM lineitem GROUP BY 1""")
 def direct_support_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Claims pass with at least one direct support."""
@@ -136,7 +120,6 @@ def analysis_units(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.select("doc_id", "unit", record_id("unit", F.lit("analysis"), "doc_id", "unit").alias("unit_id"), "n_focus", "first_index")
 
 
-
 @query("""SELECT user_id, CAST(max_by(event_id, (ts, event_id)) AS BIGINT) AS attempt_id, max(ts) AS completed_at FROM events WHERE event_type = 'purchase' AND value > 20 GROUP BY user_id""")
 def latest_valid_attempt(spark: SparkSession, sf: str) -> DataFrame:
     """The last completed attempt of each item that counts."""

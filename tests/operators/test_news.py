@@ -31,6 +31,21 @@ def test_items_are_read(spark):
     assert not any(n.analyzable for n in nodes if n.id == 6) and {n.id for n in nodes} == {1, 6}
 
 
+DATED = """<newsItem guid="g" version="2"><rightsInfo><usageTerms>Free  use</usageTerms><usageTerms/></rightsInfo><itemMeta><versionCreated>2026-07-14T12:00:00Z</versionCreated>
+<firstCreated>soon</firstCreated><embargoed>2026-07-15T08:00:00+02:00</embargoed><signal qcode="x:NoArchive"/><role qcode="r"><name>Lead</name></role></itemMeta>
+<contentMeta><subject><name>Rivers</name></subject><subject qcode="s"/><located><name>Bonn</name></located></contentMeta><contentSet><remoteContent href="a.jpg"/><remoteContent/></contentSet></newsItem>"""
+
+
+def test_times_subjects_and_rights(spark):
+    items = spark.createDataFrame([(1, DATED), (2, GOOD), (3, "<x")], "id long, payload string").select("id", news.newsml("payload").alias("i")).select("id", "i.*")
+    out = {r.id: r for r in news.times(items).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in news.TIMES}).collect()}
+    one = out[1]
+    assert (one.version_created, one.first_created, one.embargo_until) == ("2026-07-14 12:00", None, "2026-07-15 06:00")
+    assert (one.roles, one.subjects, one.locations, one.usage_terms, one.media, one.archive_permitted) == (["Lead"], ["Rivers"], ["Bonn"], ["Free use"], ["a.jpg"], False)
+    assert (out[2].version_created, out[2].subjects, out[2].archive_permitted) == (None, [], False)
+    assert out[3].error == "malformed" and out[3].archive_permitted is None and out[3].subjects is None
+
+
 def test_articles_by_precedence(spark):
     data = '<script type="application/ld+json">{"headline": "H", "articleBody": "One\\n\\nTwo  x"}</script>'
     pages = [
