@@ -36,6 +36,30 @@ def reading_order(items: DataFrame) -> DataFrame:
     return rows.withColumn("place", (F.row_number().over(order) - 1).cast("long")).select("page", "item", "place")
 
 
+def columns(items: DataFrame) -> DataFrame:
+    """``page, item, column, place`` of ``items(page, item, left_edge, top_edge, width)``: columns from 0, which part where left edges leave a gap, and places from 0 within each, from the top."""
+    w = Window.partitionBy("page").orderBy("left_edge", "item")
+    opens = F.when(F.col("left_edge") - F.lag("left_edge").over(w) > COLUMN_GAP * F.col("width"), 1).otherwise(0)
+    rows = items.withColumn("opens", opens).withColumn("column", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    place = F.row_number().over(Window.partitionBy("page", "column").orderBy("top_edge", "left_edge", "item")) - 1
+    return rows.select("page", "item", F.col("column").cast("long").alias("column"), place.cast("long").alias("place"))
+
+
+def heading_levels(items: DataFrame) -> DataFrame:
+    """``doc, item, level`` of the headings of ``items(doc, item, kind, text_height, declared)``.
+
+    If a document declares several levels these stand, and headings without one are of the first. Else levels are the ranks of the text
+    heights to a tenth, from the tallest; headings without a height come last.
+    """
+    own = items.where("kind = 'heading'").withColumn("tall", F.round("text_height", 1))
+    varied = own.groupBy(F.col("doc").alias("v_doc")).agg((F.min("declared") < F.max("declared")).alias("varied"))
+    heights = own.select("doc", "tall").distinct()
+    ranks = heights.withColumn("rank", F.dense_rank().over(Window.partitionBy("doc").orderBy(F.desc_nulls_last("tall")))).select(F.col("doc").alias("r_doc"), F.col("tall").alias("r_tall"), "rank")
+    met = own.join(varied, F.col("doc") == F.col("v_doc")).join(ranks, (F.col("doc") == F.col("r_doc")) & F.col("tall").eqNullSafe(F.col("r_tall")))
+    level = F.when(F.coalesce("varied", F.lit(False)), F.coalesce("declared", F.lit(1))).otherwise(F.col("rank"))
+    return met.select("doc", "item", level.cast("long").alias("level"))
+
+
 def cross_references(targets: DataFrame, markers: DataFrame) -> DataFrame:
     """Each marker tied to the nearest target of its label: ``targets(doc, label, node, order_index)``, ``markers(doc, label, node, order_index, start_char, end_char)``.
 

@@ -31,6 +31,23 @@ def reading_order(spark: SparkSession, sf: str) -> DataFrame:
     return layout.reading_order(_items(spark, sf))
 
 
+@query(f"""WITH g AS (SELECT page, item, top_edge, left_edge, CASE WHEN left_edge - lag(left_edge) OVER (PARTITION BY page ORDER BY left_edge, item) > 0.15::DOUBLE * width THEN 1 ELSE 0 END AS opens FROM ({_ITEMS})),
+c AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY page ORDER BY left_edge, item ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "column" FROM g)
+SELECT page, item, "column", row_number() OVER (PARTITION BY page, "column" ORDER BY top_edge, left_edge, item) - 1 AS place FROM c""")
+def gap_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns of each page: a new one begins where the gap to the left neighbour is wide."""
+    return layout.columns(_items(spark, sf))
+
+
+@query(f"""WITH h AS (SELECT l_orderkey AS doc, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS item, round(l_quantity, 1) AS tall, CASE WHEN l_tax > 0.05 THEN l_linenumber END AS declared FROM lineitem WHERE l_returnflag = 'A'),
+v AS (SELECT doc, min(declared) < max(declared) AS varied FROM h GROUP BY 1)
+SELECT h.doc, item, CAST(CASE WHEN coalesce(varied, false) THEN coalesce(declared, 1) ELSE dense_rank() OVER (PARTITION BY h.doc ORDER BY tall DESC) END AS BIGINT) AS level FROM h JOIN v ON v.doc = h.doc""")
+def heading_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels of headings, as they are declared or by the heights of their text."""
+    declared = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("item"), F.when(F.col("l_returnflag") == "A", "heading").otherwise("text").alias("kind"), F.col("l_quantity").alias("text_height"), F.when(F.col("l_tax") > 0.05, F.col("l_linenumber")).alias("declared"))
+    return layout.heading_levels(declared)
+
+
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS order_index FROM documents"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators import graph
 from quillstone.registry import query
 from quillstone.sources.tables import date_text, table
 
@@ -57,14 +58,16 @@ def scorecard(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(spark, sf)
 
 
-@query(f"""WITH s AS (SELECT user_id % 5 AS team, * FROM ({_SCORES}))
-SELECT user_id, CAST(row_number() OVER (PARTITION BY team ORDER BY complete DESC, score_tenths DESC, user_id) AS BIGINT) AS rank, max(score_tenths) OVER (PARTITION BY team) - score_tenths AS behind FROM s""")
+@query(f"""WITH s AS (SELECT coalesce(c_mktsegment, 'none') AS team, x.* FROM ({_SCORES}) x LEFT JOIN customer ON c_custkey = user_id)
+SELECT user_id, team, CAST(row_number() OVER (PARTITION BY team ORDER BY complete DESC, score_tenths DESC, user_id) AS BIGINT) AS rank, max(score_tenths) OVER (PARTITION BY team) - score_tenths AS behind FROM s""")
 def scorecard_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranks within each team and distances to its best."""
-    rows = _scores(spark, sf).withColumn("team", F.col("user_id") % 5)
-    w = Window.partitionBy("team")
-    rank = F.row_number().over(w.orderBy(F.desc("complete"), F.desc("score_tenths"), "user_id")).cast("long")
-    return rows.select("user_id", rank.alias("rank"), (F.max("score_tenths").over(w) - F.col("score_tenths")).alias("behind"))
+    """Ranks within each team, the segment of the market, and distances to its best. Places are numbered over ranges of all rows, so that no team is put in order in one task."""
+    teams = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    scores = _scores(spark, sf).join(teams, F.col("user_id") == F.col("c_custkey"), "left")
+    rows = scores.select("user_id", F.coalesce("c_mktsegment", F.lit("none")).alias("team"), "score_tenths", (~F.col("complete")).alias("open"), (-F.col("score_tenths")).alias("less"))
+    placed = graph.numbered(rows, ["team", "open", "less", "user_id"], "place")
+    first = placed.groupBy(F.col("team").alias("t")).agg(F.min("place").alias("first"), F.max("score_tenths").alias("best"))
+    return placed.join(first, F.col("team") == F.col("t")).select("user_id", "team", (F.col("place") - F.col("first") + 1).alias("rank"), (F.col("best") - F.col("score_tenths")).alias("behind"))
 
 
 @query("""SELECT user_id, CASE WHEN count(DISTINCT event_type) = 5 THEN 'complete' WHEN count(DISTINCT event_type) >= 3 THEN 'partial' ELSE 'incomplete' END AS state,

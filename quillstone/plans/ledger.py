@@ -80,14 +80,6 @@ def unit_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).where("line <> ''").select("doc_id", "order_index", X.record_id("fp", F.lit("unit"), "doc_id", "order_index", F.sha2("line", 256)).alias("fingerprint"))
 
 
-@query("SELECT doc_id, count(*) OVER (PARTITION BY n_chars) AS n_projections, count(*) OVER (PARTITION BY n_chars) = 1 AS intact FROM documents")
-def unit_projection_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    """Units must have just one projection."""
-    rows = table(spark, sf, "documents").select("doc_id", "n_chars")
-    n = rows.groupBy(F.col("n_chars").alias("k")).agg(F.count(F.lit(1)).alias("n_projections"))
-    return rows.join(n, F.col("n_chars") == F.col("k")).select("doc_id", "n_projections", (F.col("n_projections") == 1).alias("intact"))
-
-
 @query("SELECT source AS manifest, count(*) AS n FROM documents GROUP BY source HAVING count(*) > 1")
 def duplicate_manifests(spark: SparkSession, sf: str) -> DataFrame:
     """Manifests that occur more than once."""
@@ -227,14 +219,6 @@ def artifact_existence(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").join(known, F.col("p_partkey") == F.col("l_partkey"), "left").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), F.col("p_partkey").isNotNull().alias("exists_"))
 
 
-@query("SELECT page_id, CAST(unnest(range(1, len(regexp_extract_all(html, '<p[ >]')) + 1)) AS BIGINT) AS n, 'p[' || unnest(range(1, len(regexp_extract_all(html, '<p[ >]')) + 1)) || ']' AS path FROM pages")
-def element_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Paths of elements by their tag's counter."""
-    n = F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), F.lit(0)))
-    rows = table(spark, sf, "pages").select("page_id", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n.cast("long")))).alias("n"))
-    return rows.select("page_id", "n", F.concat(F.lit("p["), "n", F.lit("]")).alias("path"))
-
-
 @query(f"SELECT id, contains(scope, 'inference') AS inference, contains(scope, 'claim') AS reported FROM ({ASSERTIONS_SQL})")
 def keyword_effects(spark: SparkSession, sf: str) -> DataFrame:
     """Effects by the words of a predicate."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import record_id
-from quillstone.operators import machines, rules
+from quillstone.operators import machines, postings, rules
 from quillstone.operators.digests import sum_digest
+from quillstone.plans.retrieval import TERMS_SQL, published_index
 from quillstone.registry import query
 from quillstone.sources.deliveries import status_state
 from quillstone.sources.tables import table
@@ -129,3 +130,34 @@ def index_publish(spark: SparkSession, sf: str) -> DataFrame:
     """The manifest that an index is published under, added up over its units."""
     own = table(spark, sf, "embeddings").select("label", F.sha2(F.col("vec_id").cast("string"), 256).alias("d"))
     return own.groupBy("label").agg(F.count(F.lit(1)).alias("n_units"), F.sha2(sum_digest(F.col("d")), 256).alias("manifest"))
+
+
+@query(r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1) AS tags FROM pages), e AS (SELECT page_id, lower(unnest(tags)) AS tag, unnest(range(len(tags))) AS i FROM t)
+SELECT page_id, CAST(i AS BIGINT) AS place, tag || '[' || row_number() OVER (PARTITION BY page_id, tag ORDER BY i) || ']' AS path FROM e""")
+def element_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of all elements, each by its tag's running counter."""
+    tags = F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))
+    rows = table(spark, sf, "pages").select("page_id", F.posexplode(tags).alias("place", "tag")).select("page_id", F.col("place").cast("long").alias("place"), F.lower("tag").alias("tag"))
+    n = F.row_number().over(Window.partitionBy("page_id", "tag").orderBy("place"))
+    return rows.select("page_id", "place", F.concat("tag", F.lit("["), n, F.lit("]")).alias("path"))
+
+
+@query("""SELECT coalesce(d.doc_id, e.vec_id) AS unit, CASE WHEN e.vec_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'orphan' WHEN n > 1 THEN 'repeated' ELSE 'intact' END AS state
+FROM documents d FULL JOIN (SELECT vec_id, count(*) AS n FROM embeddings GROUP BY 1) e ON e.vec_id = d.doc_id""")
+def unit_projection_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    """Units with their projections, the vectors: each must have just one, and each projection its unit."""
+    docs = table(spark, sf, "documents").select("doc_id")
+    held = table(spark, sf, "embeddings").groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"))
+    met = docs.join(held, F.col("doc_id") == F.col("vec_id"), "full")
+    state = F.when(F.col("vec_id").isNull(), "missing").when(F.col("doc_id").isNull(), "orphan").when(F.col("n") > 1, "repeated").otherwise("intact")
+    return met.select(F.coalesce("doc_id", "vec_id").alias("unit"), state.alias("state"))
+
+
+@query(f"""SELECT source AS representation, CAST(sum(len(list_distinct(w))) AS BIGINT) AS declared, CAST(sum(len(list_distinct(w))) AS BIGINT) AS counted, 'complete' AS state FROM (SELECT source, {TERMS_SQL} AS w FROM documents) GROUP BY source""")
+def index_completeness(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings that are there, counted, against what the manifests of the index declare."""
+    folder = published_index(spark, sf)
+    counted = postings.postings(spark, folder).groupBy(F.col("representation").alias("c")).agg(F.count(F.lit(1)).alias("counted"))
+    met = postings.manifests(spark, folder).join(counted, F.col("representation").eqNullSafe(F.col("c")), "left")
+    n = F.coalesce("counted", F.lit(0).cast("long"))
+    return met.select("representation", F.col("n_postings").alias("declared"), n.alias("counted"), F.when(n == F.col("n_postings"), "complete").otherwise("incomplete").alias("state"))

@@ -299,12 +299,6 @@ def name_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return pick("nation", "n_name", "n_nationkey", "n-").union(pick("supplier", "s_name", "s_suppkey", "s-")).union(pick("customer", "c_name", "c_custkey", "c-"))
 
 
-@query("""SELECT n_regionkey AS manifest_id, count(*) AS n_units, CASE WHEN count(*) = 5 THEN 'complete' ELSE 'incomplete' END AS state FROM nation GROUP BY 1""")
-def index_completeness(spark: SparkSession, sf: str) -> DataFrame:
-    """Counted against declared units."""
-    return table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("manifest_id")).agg(F.count(F.lit(1)).alias("n_units")).withColumn("state", F.when(F.col("n_units") == 5, "complete").otherwise("incomplete"))
-
-
 @query("""SELECT doc_id, CASE WHEN quality IS NULL THEN 'unassessed' WHEN toxic = 1 THEN 'blocked' WHEN quality = 1 THEN 'admitted' ELSE 'review' END AS admission
 FROM (SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""")
 def admission(spark: SparkSession, sf: str) -> DataFrame:

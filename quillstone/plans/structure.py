@@ -20,25 +20,6 @@ def repeated_furniture(spark: SparkSession, sf: str) -> DataFrame:
     return keys.groupBy(F.md5("key").alias("key")).agg(F.count(F.lit(1)).alias("n_pages")).where("n_pages >= 2")
 
 
-@query("""WITH h AS (SELECT user_id, event_id, round(value, 1) AS height FROM events WHERE event_type = 'view')
-SELECT user_id, event_id, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY height DESC) AS BIGINT) AS level FROM h""")
-def heading_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Levels of headings from the heights of their text."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("height"))
-    rows = table(spark, sf, "events").where("event_type = 'view'").select("user_id", "event_id", F.round("value", 1).alias("height"))
-    return rows.select("user_id", "event_id", F.dense_rank().over(w).cast("long").alias("level"))
-
-
-@query("""WITH g AS (SELECT user_id, event_id, value, CASE WHEN value - lag(value) OVER (PARTITION BY user_id ORDER BY value, event_id) > 15 THEN 1 ELSE 0 END AS jump FROM events)
-SELECT user_id, event_id, CAST(1 + sum(jump) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS column_index FROM g""")
-def gap_columns(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns: a new one begins where the gap to the left neighbour is wide."""
-    w = Window.partitionBy("user_id").orderBy("value", "event_id")
-    jump = F.when(F.col("value") - F.lag("value").over(w) > 15, 1).otherwise(0)
-    rows = table(spark, sf, "events").select("user_id", "event_id", "value", jump.alias("jump"))
-    return rows.select("user_id", "event_id", (1 + F.sum("jump").over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("long").alias("column_index"))
-
-
 @query("""SELECT conv_id, turn, CAST(max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section_turn,
 CAST(count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM conversations""")
 def section_paths(spark: SparkSession, sf: str) -> DataFrame:

@@ -48,3 +48,16 @@ def test_closure_goes_as_deep_as_there_are_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(12)], "src int, dst int")
     out = graph.closure(spark.createDataFrame([(0,)], "node int"), links)
     assert sorted((r.node, r.depth) for r in out.collect()) == [(i, i) for i in range(13)]
+
+
+def test_columns_part_at_gaps(spark):
+    items = [(1, "a", 10.0, 5.0), (1, "b", 20.0, 1.0), (1, "c", 200.0, 9.0), (1, "d", 210.0, 2.0), (1, "e", 290.0, 1.0), (2, "z", 1.0, 1.0)]
+    df = spark.createDataFrame([(*i, 600.0) for i in items], "page int, item string, left_edge double, top_edge double, width double")
+    got = {r.item: (r.column, r.place) for r in layout.columns(df).collect()}
+    assert got == {"b": (0, 0), "a": (0, 1), "e": (1, 0), "d": (1, 1), "c": (1, 2), "z": (0, 0)}
+
+
+def test_levels_by_height_or_as_declared(spark):
+    rows = [("h", "a", "heading", 24.04, None), ("h", "b", "heading", 12.0, None), ("h", "c", "heading", 23.96, None), ("h", "d", "heading", None, 2), ("h", "t", "text", 99.0, None), ("d", "x", "heading", 9.0, 1), ("d", "y", "heading", 9.0, 3), ("d", "z", "heading", 99.0, None)]
+    df = spark.createDataFrame(rows, "doc string, item string, kind string, text_height double, declared int")
+    assert {r.item: r.level for r in layout.heading_levels(df).collect()} == {"a": 1, "c": 1, "b": 2, "d": 3, "x": 1, "y": 3, "z": 1}
