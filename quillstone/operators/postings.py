@@ -27,19 +27,20 @@ from quillstone.operators.digests import set_digest
 from quillstone.operators.graph import durable
 from quillstone.sources.shared import delete, exists, partition
 
+#: Bands of an index, if it isn't said otherwise.
 BANDS = 16
 K1, B = 1.2, 0.75
 
 POSTINGS = "term string, unit long, tf int, size int, representation string, index_id string, band int"
-MANIFESTS = "index_id string, n_units long, n_postings long, total_size long, representation string"
+MANIFESTS = "index_id string, n_units long, n_postings long, total_size long, bands int, representation string"
 
 
 class IncompleteIndex(ValueError):
     """What was written is not what was given."""
 
 
-def band_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BANDS)).cast("int")
+def band_of(term: Column, bands: int = BANDS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(bands)).cast("int")
 
 
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,18 +59,18 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(valid, F.col("representation").eqNullSafe(F.col("m_representation")) & (F.col("index_id") == F.col("m_index")), "left_semi")
 
 
-def _posted(units: DataFrame) -> DataFrame:
+def _posted(units: DataFrame, bands: int) -> DataFrame:
     """The postings of ``units(representation, index_id, unit, text)``."""
     each = units.select("representation", "index_id", "unit", terms(F.col("text")).alias("w")).select("representation", "index_id", "unit", F.size("w").alias("size"), F.explode("w").alias("term"))
     counted = each.groupBy("representation", "index_id", "unit", "size", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return counted.select("term", "unit", "tf", "size", "representation", "index_id", band_of(F.col("term")).alias("band"))
+    return counted.select("term", "unit", "tf", "size", "representation", "index_id", band_of(F.col("term"), bands).alias("band"))
 
 
-def publish(units: DataFrame, folder: str) -> DataFrame:
+def publish(units: DataFrame, folder: str, bands: int = BANDS) -> DataFrame:
     """Bring the index in ``folder`` to ``units(representation, unit, text)``; ``representation, index_id, outcome`` of each representation given.
 
     ``outcome`` is ``created``, ``replaced`` or ``reused``. A null text counts as empty and its unit has no postings but is counted. Units
-    are expected once each: repeated ones would be written as often. Representations that are not given stay as they are. If what
+    are expected once each: repeated ones would be written as often. ``bands`` is for what is written now; an index may hold representations of several numbers of bands. Representations that are not given stay as they are. If what
     was written isn't complete, IncompleteIndex is raised, and the index is what it was before.
     """
     spark = units.sparkSession
@@ -86,16 +87,19 @@ def publish(units: DataFrame, folder: str) -> DataFrame:
     given = units.join(changed, F.col("representation").eqNullSafe(F.col("c_representation"))).select("representation", "index_id", "unit", "text")
     by = ["representation", "index_id", "band"]
     # Small partitions are written together and large ones split; files are sorted, so that a term is in few row groups.
-    spread = _posted(given).hint("rebalance", *by).sortWithinPartitions(*by, "term", "unit")
+    spread = _posted(given, bands).hint("rebalance", *by).sortWithinPartitions(*by, "term", "unit")
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{folder}/postings")
     held = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").join(changed.select("c_representation", F.col("index_id").alias("c_index")), F.col("representation").eqNullSafe(F.col("c_representation")) & (F.col("index_id") == F.col("c_index")), "left_semi")
-    written = held.groupBy(F.col("index_id").alias("w_index")).agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_words"))
-    sizes = given.groupBy("representation", "index_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.size(terms(F.col("text")))).alias("total_size"))
+    # Each unit's counts must add up to its size, and each text with a word must have its unit: texts are not cut into words again.
+    per_unit = held.groupBy("index_id", "unit").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("words"), F.max("size").cast("long").alias("size"))
+    written = per_unit.groupBy(F.col("index_id").alias("w_index")).agg(F.sum("n").alias("n_postings"), F.sum("size").alias("total_size"), F.count(F.lit(1)).alias("n_met"), F.count_if(F.col("words") != F.col("size")).alias("n_short"))
+    sizes = given.groupBy("representation", "index_id").agg(F.count(F.lit(1)).alias("n_units"), F.count_if(F.col("text").rlike(r"[\p{L}\p{N}]")).alias("n_worded"))
     zero = F.lit(0).cast("long")
-    new = durable(sizes.join(written, F.col("index_id") == F.col("w_index"), "left").select("index_id", "n_units", F.coalesce("n_postings", zero).alias("n_postings"), "total_size", F.coalesce("n_words", zero).alias("n_words"), "representation"))
-    if not new.where("n_words <> total_size").isEmpty():
-        raise IncompleteIndex("postings do not add up to the words of their units")
-    new.drop("n_words").repartition("representation").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("representation").parquet(f"{folder}/manifests")
+    or_none = lambda c: F.coalesce(c, zero).alias(c)
+    new = durable(sizes.join(written, F.col("index_id") == F.col("w_index"), "left").select("index_id", "n_units", or_none("n_postings"), or_none("total_size"), F.lit(bands).alias("bands"), "n_worded", or_none("n_met"), or_none("n_short"), "representation"))
+    if not new.where("n_worded <> n_met or n_short > 0").isEmpty():
+        raise IncompleteIndex("postings do not add up to their units")
+    new.drop("n_worded", "n_met", "n_short").repartition("representation").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("representation").parquet(f"{folder}/manifests")
     for r in plan.where("outcome = 'replaced'").toLocalIterator():  # folders to delete, not rows of them
         delete(spark, f"{folder}/postings/{partition('representation', r['representation'])}/{partition('index_id', r['old_id'])}")
     return told
@@ -103,8 +107,9 @@ def publish(units: DataFrame, folder: str) -> DataFrame:
 
 def lookup(spark: SparkSession, folder: str, words: list[str]) -> DataFrame:
     """The postings of some terms: of all files, the bands and row groups that may hold them are read."""
-    bands = spark.range(1).select(*[band_of(F.lit(w)).alias(str(i)) for i, w in enumerate(words)]).first()
-    return postings(spark, folder).where(F.col("band").isin(*sorted(set(bands))) & F.col("term").isin(*words))
+    numbers = [r["bands"] for r in manifests(spark, folder).select("bands").distinct().collect()]  # few: they are chosen by publishers
+    places = spark.range(1).select(F.array(*[band_of(F.lit(w), n) for w in words for n in numbers or [1]]).alias("b")).first()["b"]
+    return postings(spark, folder).where(F.col("band").isin(*sorted(set(places))) & F.col("term").isin(*words))
 
 
 def bm25(spark: SparkSession, folder: str, words: list[str]) -> DataFrame:

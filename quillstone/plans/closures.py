@@ -97,9 +97,8 @@ def postings_index(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT doc_id, source, unnest({TERMS_SQL}) AS term FROM documents), b AS (SELECT DISTINCT unnest({TERMS_SQL}) AS term FROM benchmark)
 SELECT term, count(DISTINCT doc_id) AS n_units, count(*) AS n_occurrences, count(DISTINCT source) AS n_representations FROM t JOIN b USING (term) GROUP BY term""")
 def postings_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """How often the index has each word of the benchmark: a join of the words with the bands that may hold them."""
+    """How often the index has each word of the benchmark: a join of the words with the postings."""
     words = table(spark, sf, "benchmark").select(F.explode(F.array_distinct(postings.terms(F.col("text")))).alias("word")).distinct()
-    asked = words.select("word", postings.band_of(F.col("word")).alias("w_band"))
     held = postings.postings(spark, published_index(spark, sf))
-    met = held.join(asked, (F.col("term") == F.col("word")) & (F.col("band") == F.col("w_band")))
+    met = held.join(words, F.col("term") == F.col("word"))
     return met.groupBy("term").agg(F.count(F.lit(1)).alias("n_units"), F.sum("tf").alias("n_occurrences"), F.count_distinct("representation").alias("n_representations"))

@@ -17,6 +17,8 @@ LITERAL = "the and"
 WORDS = ["the", "tion", "ing", "the"]
 VECTOR_ID = 0
 TOP = 20
+#: Documents for each band of the index, up to 64 bands.
+UNITS_OF_BAND = 50_000
 
 _EXACT = f"""SELECT doc_id AS unit, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE contains(replace(lower(text), 'ß', 'ss'), '{LITERAL}')"""
 TERMS_SQL = f"regexp_extract_all(translate(lower(text), '{X.MARKED}', '{X.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
@@ -48,7 +50,8 @@ def published_index(spark: SparkSession, sf: str) -> str:
     docs = table(spark, sf, "documents")
     folder = f"{shared_folder(spark)}/quillstone-postings/{state_of(docs)}"
     if not exists(spark, f"{folder}/manifests/_SUCCESS"):
-        postings.publish(docs.select(F.col("source").alias("representation"), F.col("doc_id").alias("unit"), "text"), folder)
+        bands = max(1, min(64, docs.count() // UNITS_OF_BAND))
+        postings.publish(docs.select(F.col("source").alias("representation"), F.col("doc_id").alias("unit"), "text"), folder, bands)
     return folder
 
 

@@ -55,7 +55,7 @@ def test_republishing_rewrites_one_representation(spark, tmp_path):
     before = files(folder)
     assert {r.outcome for r in postings.publish(units, folder).collect()} == {"reused"} and files(folder) == before
     changed = units.where("representation = 'b/c'").withColumn("text", F.concat_ws(" ", "text", F.lit("fresh")))
-    assert [(r.representation, r.outcome) for r in postings.publish(changed, folder).collect()] == [("b/c", "replaced")]
+    assert [(r.representation, r.outcome) for r in postings.publish(changed, folder, bands=3).collect()] == [("b/c", "replaced")]
     after = files(folder)
     mine = lambda p: "representation=b%2Fc" in p
     assert {p: t for p, t in before.items() if not mine(p)} == {p: t for p, t in after.items() if not mine(p)}
@@ -70,7 +70,7 @@ def test_a_failed_publication_leaves_the_old_index(spark, tmp_path, monkeypatch)
     postings.publish(units, folder)
     old = scores(postings.bm25(spark, folder, ["the", "w1"]))
     whole = postings._posted
-    monkeypatch.setattr(postings, "_posted", lambda u: whole(u).where("unit % 3 = 0"))
+    monkeypatch.setattr(postings, "_posted", lambda u, bands: whole(u, bands).where("unit % 3 = 0"))
     with pytest.raises(postings.IncompleteIndex):
         postings.publish(units.withColumn("text", F.lit("the other text")), folder)
     assert scores(postings.bm25(spark, folder, ["the", "w1"])) == old
