@@ -32,7 +32,7 @@ END_ID = 1
 
 #: Chunks of more bytes than this, and more chunks than that, are not kept between batches.
 CACHED_BYTES = 64
-CACHED_CHUNKS = 900_000
+CACHED_CHUNKS = 250_000
 #: Words encoded in one go, and marks that may end one of them.
 LINE = 100
 PUNCTUATION = frozenset(",.;:!?")
