@@ -15,21 +15,23 @@ def box(left: Column, top: Column, right: Column, bottom: Column) -> Column:
     return F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))
 
 
+def _quarter(page: dict[str, Column]) -> dict[str, Column]:
+    """A page and a box on it after a quarter turn clockwise: what was at the foot comes to the left, and what was at the left on top."""
+    return {"width": page["height"], "height": page["width"], "left": page["height"] - page["bottom"], "top": page["left"], "right": page["height"] - page["top"], "bottom": page["right"]}
+
+
 def turned(outer: Column, inner: Column, rotation: Column) -> Column:
     """``inner`` as seen on the turned page ``outer``: ``struct<width, height, left, top, right, bottom>``, from the page's upper left corner, downwards.
 
     Both boxes are as files have them: ``left, bottom, right, top`` in points, upwards from any corner. The page is turned clockwise by ``rotation``
-    degrees; turns other than by quarters give null.
+    degrees, quarter by quarter; other turns give null.
     """
-    width, height = outer["right"] - outer["left"], outer["top"] - outer["bottom"]
-    left, right = inner["left"] - outer["left"], inner["right"] - outer["left"]
-    low, high = inner["bottom"] - outer["bottom"], inner["top"] - outer["bottom"]
-    # Quarter by quarter, the edge that comes to lie at the left, on top, at the right and at the bottom.
-    edges = {0: (width, height, left, height - high, right, height - low), 90: (height, width, low, left, high, right), 180: (width, height, width - right, low, width - left, high), 270: (height, width, height - high, width - right, height - low, width - left)}
+    page = {"width": outer["right"] - outer["left"], "height": outer["top"] - outer["bottom"]}
+    page |= {side: inner[side] - outer["left"] for side in ("left", "right")} | {"top": outer["top"] - inner["top"], "bottom": outer["top"] - inner["bottom"]}
     out = F.lit(None)
-    for degrees, values in edges.items():
-        named = F.struct(*[v.alias(n) for n, v in zip(("width", "height", "left", "top", "right", "bottom"), values)])
-        out = F.when(rotation == degrees, named).otherwise(out)
+    for degrees in ROTATIONS:
+        out = F.when(rotation == degrees, F.struct(*[page[n].alias(n) for n in ("width", "height", "left", "top", "right", "bottom")])).otherwise(out)
+        page = _quarter(page)
     return out
 
 
