@@ -7,7 +7,12 @@ over the k rows that are left, so no window sorts the whole table in one task.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,23 +123,133 @@ def occurrences(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     return anchors.select("item_id").join(counted, F.col("item_id") == F.col("i"), "left").select("item_id", F.coalesce("n_documents", zero).alias("n_documents"), F.coalesce("n_occurrences", zero).alias("n_occurrences"))
 
 
-#: Queries that are broadcast together.
+#: Queries that are broadcast together, and those that are multiplied at once.
 BLOCK = 10_000
+SLICE = 256
+#: Scores in millionths; a pair without a score is below all, and one that is no number above all.
+_NONE, _NAN = -(2**62), 2**62
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors of each row of a stated query set, itself left out.
+    """The k nearest of ``vectors(vec_id, embedding, label)`` for each row of ``queries(query_id, q, q_label)``, itself left out, by cosine to six places and then ``vec_id``.
 
-    The queries come in blocks of about BLOCK, each broadcast; in each task the rows of a query are ranked before they are shuffled,
-    as Spark limits ranks ahead of the exchange.
+    The queries come in blocks of about BLOCK, each broadcast to tasks that go through all vectors batch by batch. A product of matrices finds
+    the pairs that may be among the nearest, and these are scored in the order of ``dot``. A task keeps and hands on k rows of a query, so
+    what is shuffled grows with the queries and not with the pairs.
     """
+    spark = vectors.sparkSession
     blocks = max(1, -(-queries.count() // BLOCK))
-    near = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding"))) / F.sqrt(dot(F.col("q"), F.col("q")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kind = lambda rows, c: rows.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(queries, 'query_id')}, q_label {kind(queries, 'q_label')}, vec_id {kind(vectors, 'vec_id')}, label {kind(vectors, 'label')}, micro long"
+    dealt = vectors.select("vec_id", "embedding", "label").repartition(2 * spark.sparkContext.defaultParallelism)
     out = None
     for i in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = vectors.join(F.broadcast(part), F.col("vec_id") != F.col("query_id")).select("query_id", "q_label", "vec_id", "label", F.round(near, 6).alias("score"))
-        ranked = scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-        out = ranked if out is None else out.union(ranked)
-    return out
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "q", "q_label").toArrow()  # about BLOCK rows
+        part = spark.sparkContext.broadcast((rows["query_id"].to_pylist(), rows["q"].to_pylist(), rows["q_label"].to_pylist()))
+        own = dealt.mapInArrow(lambda batches, part=part: _nearest(batches, *part.value, k), schema)
+        out = own if out is None else out.union(own)
+    w = Window.partitionBy("query_id").orderBy(F.desc("micro"), "vec_id")
+    ranked = out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    score = F.when(F.col("micro") == _NAN, F.lit("NaN").cast("double")).when(F.col("micro") != _NONE, F.col("micro") / 1_000_000)
+    return ranked.select("query_id", "q_label", "vec_id", "label", score.alias("score"), "rank")
+
+
+def _matrices(vectors: list | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The places and doubles of the vectors that hold no null, by their length."""
+    array = vectors if isinstance(vectors, pa.Array) else pa.array(vectors, pa.list_(pa.float64()))
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(array), 0))
+    flat = array.flatten()
+    if flat.null_count:
+        holes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[np.asarray(flat.is_null())], minlength=len(sizes)) > 0
+    else:
+        holes = np.zeros(len(sizes), dtype=bool)
+    values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    good = ~holes & ~np.asarray(array.is_null())
+    places = {n: np.flatnonzero(good & (sizes == n)) for n in np.unique(sizes[good]).tolist()}
+    return {n: (at, values[(ends[at] - n)[:, None] + np.arange(n)]) for n, at in places.items()}
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added up from the first entry to the last as ``dot`` does."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return total
+
+
+def _millionths(x: np.ndarray) -> np.ndarray:
+    """Whole millionths, halves of the shortest decimals away from zero as in ``round``."""
+    x = np.where(np.isnan(x), 0.0, x)
+    scaled = np.abs(x) * 1e6
+    whole = np.floor(scaled + 0.5)
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        whole[i] = float((Decimal(repr(abs(float(x[i])))) * 1_000_000).quantize(Decimal(1), ROUND_HALF_UP))
+    return (np.sign(x) * whole).astype(np.int64)
+
+
+def _best(query: np.ndarray, micro: np.ndarray, vec: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best of each query."""
+    order = np.lexsort((vec, -micro, query))
+    q = query[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    return order[rank < k]
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], ids: list, vectors: list, labels: list, k: int) -> Iterator[pa.RecordBatch]:
+    """``query_id, q_label, vec_id, label, micro`` of the k best of all batches for each query."""
+    asked, own_ids = _matrices(vectors), np.array([_NONE if i is None else i for i in ids], dtype=np.int64)
+    norms = {n: np.sqrt(_dots(m, m)) for n, (_, m) in asked.items()}
+    bar = np.full(len(ids), -np.inf)  # what a pair must reach, in the rough products
+    held = {"q": np.zeros(0, np.int64), "micro": np.zeros(0, np.int64), "vec": np.zeros(0, np.int64)}
+    held_labels, schema = None, None
+
+    def score(n: int, at: np.ndarray, m: np.ndarray, size: np.ndarray, vec: np.ndarray, q: slice) -> list[tuple[np.ndarray, ...]]:
+        places, wanted = asked[n][0][q], asked[n][1][q]
+        with np.errstate(all="ignore"):
+            rough = (wanted / norms[n][q][:, None]) @ (m / size[:, None]).T
+            odd = np.isnan(rough)
+            rough[own_ids[places][:, None] == vec[at][None, :]] = -np.inf
+            seen = np.where(odd, np.inf, rough)
+            least = bar[places]
+            if rough.shape[1] > k:
+                least = np.maximum(least, np.partition(seen, -k, axis=1)[:, -k] - 2e-6)
+            i, j = np.nonzero((seen >= least[:, None]) & (seen != -np.inf))
+            exact = _dots(m[j], wanted[i]) / size[j] / norms[n][q][i]
+        return places[i], np.where(np.isnan(exact), _NAN, _millionths(exact)), at[j]
+
+    for batch in batches:
+        schema = batch.schema
+        vec = np.asarray(batch.column(0).cast(pa.int64()))
+        found = []
+        given = _matrices(batch.column(1))
+        for n in given.keys() & asked.keys():
+            at, m = given[n]
+            size = np.sqrt(_dots(m, m))
+            found += [score(n, at, m, size, vec, slice(s, s + SLICE)) for s in range(0, len(asked[n][0]), SLICE)]
+        # Pairs without a score count only where a query has fewer than k with one.
+        scored = np.bincount(held["q"][held["micro"] != _NONE], minlength=len(ids)) + sum((np.bincount(f[0], minlength=len(ids)) for f in found), np.zeros(len(ids), np.int64))
+        alike = {int(p): n for n, (places, _) in asked.items() for p in places} if (scored < k).any() else {}
+        for q in np.flatnonzero(scored < k):
+            mute = np.setdiff1d(np.arange(len(vec)), given[alike[int(q)]][0] if alike.get(int(q)) in given else [])
+            mute = mute[vec[mute] != own_ids[q]]
+            mute = mute[np.argsort(vec[mute], kind="stable")[:k]]
+            found.append((np.full(len(mute), q), np.full(len(mute), _NONE), mute))
+        if not found:
+            continue
+        q, micro, at = (np.concatenate([f[c] for f in found]).astype(np.int64) for c in range(3))
+        label = batch.column(2).take(pa.array(at))
+        held = {"q": np.r_[held["q"], q], "micro": np.r_[held["micro"], micro], "vec": np.r_[held["vec"], vec[at]]}
+        held_labels = label if held_labels is None else pa.concat_arrays([held_labels, label])
+        best = _best(held["q"], held["micro"], held["vec"], k)
+        held, held_labels = {c: v[best] for c, v in held.items()}, held_labels.take(pa.array(best))
+        full = np.flatnonzero(np.bincount(held["q"], minlength=len(ids)) >= k)
+        worst = np.full(len(ids), _NAN)
+        np.minimum.at(worst, held["q"], held["micro"])
+        good = full[(worst[full] != _NONE)]
+        bar[good] = np.where(worst[good] == _NAN, np.inf, worst[good] / 1e6 - 2e-6)
+    if held_labels is not None and len(held_labels):
+        q = held["q"].tolist()
+        columns = [pa.array([ids[i] for i in q]), pa.array([labels[i] for i in q], held_labels.type), pa.array(held["vec"]).cast(schema.field(0).type), held_labels, pa.array(held["micro"])]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", "q_label", "vec_id", "label", "micro"])
