@@ -60,10 +60,20 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _posted(units: DataFrame, bands: int) -> DataFrame:
-    """The postings of ``units(representation, index_id, unit, text)``."""
-    each = units.select("representation", "index_id", "unit", terms(F.col("text")).alias("w")).select("representation", "index_id", "unit", F.size("w").alias("size"), F.explode("w").alias("term"))
-    counted = each.groupBy("representation", "index_id", "unit", "size", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return counted.select("term", "unit", "tf", "size", "representation", "index_id", band_of(F.col("term"), bands).alias("band"))
+    """The postings of ``units(representation, index_id, unit, text)``. A text's words are sorted and counted within its row, so nothing is shuffled for that."""
+    each = units.select("representation", "index_id", "unit", F.sort_array(terms(F.col("text"))).alias("w"))
+    last = F.size("w") - 1
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    ends = F.filter(places, lambda i: (i == last) | (F.get("w", i) != F.get("w", i + 1)))
+    runs = each.select("representation", "index_id", "unit", F.size("w").alias("size"), "w", ends.alias("ends"))
+    counts = F.transform("ends", lambda e, k: F.struct(F.get("w", e).alias("term"), (e - F.coalesce(F.get("ends", k - 1), F.lit(-1))).alias("tf")))
+    counted = runs.select("representation", "index_id", "unit", "size", F.explode(counts).alias("p"))
+    return counted.select("p.term", "unit", "p.tf", "size", "representation", "index_id", band_of(F.col("p.term"), bands).alias("band"))
+
+
+def _mark(times: str) -> Column:
+    """A sum over rows by which units and their sizes are recognised, whether it is taken over postings or over units."""
+    return F.sum(F.pmod(F.xxhash64("unit", "size"), F.lit(2**20)) * F.col(times)).alias("mark")
 
 
 def publish(units: DataFrame, folder: str, bands: int = BANDS) -> DataFrame:
@@ -90,16 +100,16 @@ def publish(units: DataFrame, folder: str, bands: int = BANDS) -> DataFrame:
     spread = _posted(given, bands).hint("rebalance", *by).sortWithinPartitions(*by, "term", "unit")
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{folder}/postings")
     held = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").join(changed.select("c_representation", F.col("index_id").alias("c_index")), F.col("representation").eqNullSafe(F.col("c_representation")) & (F.col("index_id") == F.col("c_index")), "left_semi")
-    # Each unit's counts must add up to its size, and each text with a word must have its unit: texts are not cut into words again.
-    per_unit = held.groupBy("index_id", "unit").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("words"), F.max("size").cast("long").alias("size"))
-    written = per_unit.groupBy(F.col("index_id").alias("w_index")).agg(F.sum("n").alias("n_postings"), F.sum("size").alias("total_size"), F.count(F.lit(1)).alias("n_met"), F.count_if(F.col("words") != F.col("size")).alias("n_short"))
-    sizes = given.groupBy("representation", "index_id").agg(F.count(F.lit(1)).alias("n_units"), F.count_if(F.col("text").rlike(r"[\p{L}\p{N}]")).alias("n_worded"))
+    # Each unit's counts must add up to its size. Both sides are summed up in their tasks: the words of the texts, and the postings that were read back.
+    written = held.groupBy(F.col("index_id").alias("w_index")).agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_words"), _mark("tf").alias("w_mark"))
+    sized = given.select("representation", "index_id", "unit", F.size(terms(F.col("text"))).alias("size"))
+    sizes = sized.groupBy("representation", "index_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum("size").alias("total_size"), _mark("size"))
     zero = F.lit(0).cast("long")
     or_none = lambda c: F.coalesce(c, zero).alias(c)
-    new = durable(sizes.join(written, F.col("index_id") == F.col("w_index"), "left").select("index_id", "n_units", or_none("n_postings"), or_none("total_size"), F.lit(bands).alias("bands"), "n_worded", or_none("n_met"), or_none("n_short"), "representation"))
-    if not new.where("n_worded <> n_met or n_short > 0").isEmpty():
+    new = durable(sizes.join(written, F.col("index_id") == F.col("w_index"), "left").select("index_id", "n_units", or_none("n_postings"), "total_size", F.lit(bands).alias("bands"), or_none("n_words"), or_none("w_mark"), "mark", "representation"))
+    if not new.where("total_size <> n_words or mark <> w_mark").isEmpty():
         raise IncompleteIndex("postings do not add up to their units")
-    new.drop("n_worded", "n_met", "n_short").repartition("representation").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("representation").parquet(f"{folder}/manifests")
+    new.drop("n_words", "mark", "w_mark").repartition("representation").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("representation").parquet(f"{folder}/manifests")
     for r in plan.where("outcome = 'replaced'").toLocalIterator():  # folders to delete, not rows of them
         delete(spark, f"{folder}/postings/{partition('representation', r['representation'])}/{partition('index_id', r['old_id'])}")
     return told

@@ -82,3 +82,16 @@ def test_no_index_and_no_units(spark, tmp_path):
     assert postings.publish(spark.createDataFrame([], UNITS), folder).isEmpty() and postings.bm25(spark, folder, ["the"]).isEmpty()
     postings.publish(spark.createDataFrame([("a", 1, "")], UNITS), folder)
     assert postings.bm25(spark, folder, ["the"]).isEmpty() and postings.manifests(spark, folder).first().n_units == 1
+
+
+def test_publishing_shuffles_postings_once(spark):
+    units = made(spark, 5).withColumn("index_id", F.lit("i"))
+    rows = postings._posted(units.withColumn("text", F.coalesce("text", F.lit(""))), 4)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("regexp_extract_all") == 1
+    want = {}
+    for r in units.collect():
+        words = [w.lower().replace("é", "e") for w in (r.text or "").split()]
+        for w in words:
+            want[r.unit, w] = (words.count(w), len(words))
+    assert {(r.unit, r.term): (r.tf, r.size) for r in rows.collect()} == want
