@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from quillstone.functions.text import record_id, text_slices
 
-from quillstone.functions.text import record_id
 
 def _record(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
@@ -20,6 +24,7 @@ _S = T.StringType()
 BODY = T.ArrayType(_record(kind=_S, path=_S, text=_S))
 ITEM = _record(item_id=_S, version=_S, provider=_S, status=_S, language=_S, headlines=T.ArrayType(_S), signals=T.ArrayType(_S), body=BODY, error=_S,
                version_created=_S, first_created=_S, embargo_until=_S, roles=T.ArrayType(_S), subjects=T.ArrayType(_S), locations=T.ArrayType(_S), usage_terms=T.ArrayType(_S), media=T.ArrayType(_S), archive_permitted=T.BooleanType())
+_ARROW = to_arrow_schema(ITEM)
 #: The fields of an item that are times, as they stand in it.
 TIMES = ("version_created", "first_created", "embargo_until")
 # The tags that body elements have, and what they are.
@@ -78,9 +83,32 @@ def _item(payload: str | None) -> tuple:
     return (root.get("guid"), root.get("version"), name or "unknown-provider", status.get("qcode", "unknown") if status is not None else "unknown", language.get("tag") if language is not None else None, headlines, signals, body, None, *more)
 
 
+def _items_of(payloads: list[str | None]) -> pa.Array:
+    rows = [_item(p) for p in payloads]
+    bodies = [None if r[7] is None else [dict(zip(("kind", "path", "text"), e)) for e in r[7]] for r in rows]
+    columns = [bodies if name == "body" else [r[i] for r in rows] for i, name in enumerate(ITEM.names)]
+    return pa.StructArray.from_arrays([pa.array(c, _ARROW.field(name).type) for c, name in zip(columns, ITEM.names)], ITEM.names)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is a payload, with its item in that place; no more than a slice of payloads is held as items."""
+    for batch in batches:
+        for begin, end in text_slices(batch.column(batch.num_columns - 1)):
+            part = batch.slice(begin, end - begin)
+            items = _items_of(part.column(part.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *items.flatten()], [*batch.schema.names[:-1], *ITEM.names])
+
+
+def read(rows: DataFrame, payload: str) -> DataFrame:
+    """``rows`` with the fields of their items in place of the column ``payload``: slices of rows go through Python one after the other."""
+    kept = [c for c in rows.columns if c != payload]
+    schema = T.StructType([*[rows.schema[c] for c in kept], *ITEM.fields])
+    return rows.select(*kept, payload).mapInArrow(_read, schema)
+
+
 @F.pandas_udf(ITEM)
 def newsml(payload: pd.Series) -> pd.DataFrame:
-    """News items read from their XML, whatever its namespaces. There is no built-in that keeps mixed tags in order."""
+    """News items read from their XML, whatever its namespaces. There is no built-in that keeps mixed tags in order. For tables of many rows ``read`` takes less memory."""
     rows = pd.DataFrame([_item(p) for p in payload], columns=ITEM.names, dtype=object)
     rows["body"] = [None if b is None else [dict(zip(("kind", "path", "text"), e)) for e in b] for b in rows["body"]]
     return rows

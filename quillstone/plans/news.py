@@ -48,7 +48,7 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    return payloads(spark, sf).select("doc_id", "source", news.newsml("payload").alias("i")).select("doc_id", "source", "i.*")
+    return news.read(payloads(spark, sf), "payload")
 
 
 def _parts(body: Column) -> Column:

@@ -17,13 +17,13 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) AS digest FROM documents")
 def normalize_exact(spark: SparkSession, sf: str) -> DataFrame:
     """Texts in normal form C with white space squeezed, by digest."""
-    return _docs(spark, sf).select("doc_id", F.sha2(X.squeeze(X.nfc("text")), 256).alias("digest"))
+    return X.with_nfc(_docs(spark, sf), "text").select("doc_id", F.sha2(X.squeeze(F.col("text")), 256).alias("digest"))
 
 
 @query("SELECT doc_id, sha256(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g')) AS digest FROM documents")
 def normalize_semantic(spark: SparkSession, sf: str) -> DataFrame:
     """Texts in normal form C with plain line ends, by digest."""
-    return _docs(spark, sf).select("doc_id", F.sha2(X.unix_lines(X.nfc("text")), 256).alias("digest"))
+    return X.with_nfc(_docs(spark, sf), "text").select("doc_id", F.sha2(X.unix_lines(F.col("text")), 256).alias("digest"))
 
 
 @query("SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS digest FROM documents")
