@@ -1,12 +1,12 @@
 """Tables as grids of spanning cells: places, overlaps, holes, headers and what may be planned.
 
 A cell is ``table, cell, row, column, row_span, column_span, is_row_header, is_column_header, text``. Spans become rows of places by
-``explode``, so cells meet their headers in equi-joins on a table's row or column, and never all cells of a table with all others.
+``explode``, so cells meet their headers within a table's row or column, and never all cells of a table with all others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,19 +41,27 @@ def headers(cells: DataFrame) -> DataFrame:
     A row header of a cell spans the row in which the cell begins and begins to the left of it; a column header spans the
     column in which it begins and begins above. A header may have headers too. Cells without headers have empty arrays.
     """
+    ids = lambda c: F.transform(c, lambda h: h["cell"]).alias(c)
+    return _with_headers(cells).select("table", "cell", ids("row_headers"), ids("column_headers"))
 
-    def along(is_header: str, at: str, span: str, other: str, name: str) -> DataFrame:
-        own = cells.where(is_header).select(F.col("table").alias("h_table"), F.col("cell").alias("h_cell"), F.col(other).alias("h_other"), _along(at, span).alias("h_at"))
-        met = cells.join(own, (F.col("table") == F.col("h_table")) & (F.col(at) == F.col("h_at")) & (F.col("h_other") < F.col(other)))
-        listed = F.array_sort(F.collect_list(F.struct("h_other", "h_cell")))
-        return met.groupBy("table", "cell").agg(F.transform(listed, lambda h: h["h_cell"]).alias(name))
 
-    left = along("is_row_header", "row", "row_span", "column", "row_headers")
-    above = along("is_column_header", "column", "column_span", "row", "column_headers")
-    kind = cells.schema["cell"].dataType.simpleString()
-    empty = F.array().cast(f"array<{kind}>")
-    both = cells.select("table", "cell").join(left, ["table", "cell"], "left").join(above, ["table", "cell"], "left")
-    return both.select("table", "cell", F.coalesce("row_headers", empty).alias("row_headers"), F.coalesce("column_headers", empty).alias("column_headers"))
+def _with_headers(cells: DataFrame) -> DataFrame:
+    """``cells`` with ``has_text``, and structs ``at, cell, has_text`` of their ``row_headers`` and ``column_headers`` in order.
+
+    Headers stand beside the cells in each row, and then each column, that they span, and a cell takes those that begin before it by a running list: cells
+    are put in order twice, and joined with nothing.
+    """
+    rows = cells.withColumn("has_text", F.coalesce(F.trim("text") != "", F.lit(False)))
+    for is_header, at, span, other, name in (("is_row_header", "row", "row_span", "column", "row_headers"), ("is_column_header", "column", "column_span", "row", "column_headers")):
+        # A header's own row has its first place; others, of the rest of its span, only bring it there.
+        further = F.sequence(F.col(at) + 1, F.col(at) + F.col(span) - 1)
+        places = F.when(F.col(is_header) & (F.col(span) > 1), F.concat(F.array(F.col(at)), further)).otherwise(F.array(F.col(at)))
+        spread = rows.withColumn("__begins", F.col(at)).withColumn("__at", F.explode_outer(places))
+        own = F.when(F.col(is_header), F.struct(F.col(other).alias("at"), "cell", "has_text"))
+        before = Window.partitionBy("table", "__at").orderBy(other).rangeBetween(Window.unboundedPreceding, -1)
+        listed = F.array_sort(F.collect_list(own).over(before))
+        rows = spread.withColumn(name, listed).where(F.col("__at").eqNullSafe(F.col("__begins"))).drop("__at", "__begins")
+    return rows
 
 
 def repeated_headers(fragments: DataFrame) -> DataFrame:
@@ -70,16 +78,11 @@ def cell_plan(cells: DataFrame) -> DataFrame:
 
     A cell is planned as a claim only with its own text and with both its headers, all of which have texts. A blank text is none.
     """
-    has_text = F.coalesce(F.trim("text") != "", F.lit(False))
-    with_headers = headers(cells)
-    texts = cells.where(has_text).select(F.col("table").alias("t_table"), F.col("cell").alias("t_cell"))
-    asked = with_headers.select("table", "cell", F.explode(F.array_distinct(F.concat("row_headers", "column_headers"))).alias("header"))
-    mute = asked.join(texts, (F.col("table") == F.col("t_table")) & (F.col("header") == F.col("t_cell")), "left_anti").select(F.col("table").alias("m_table"), F.col("cell").alias("m_cell")).distinct()
-    own = cells.select(F.col("table").alias("c_table"), F.col("cell").alias("c_cell"), has_text.alias("has_text"), (F.col("is_row_header") | F.col("is_column_header")).alias("is_header"))
-    rows = with_headers.join(own, (F.col("table") == F.col("c_table")) & (F.col("cell") == F.col("c_cell")))
-    rows = rows.join(mute, (F.col("table") == F.col("m_table")) & (F.col("cell") == F.col("m_cell")), "left")
-    reasons = (~F.col("has_text"), F.col("is_header"), F.size("row_headers") == 0, F.size("column_headers") == 0, F.col("m_cell").isNotNull())
+    rows = _with_headers(cells)
+    mute = F.exists(F.concat("row_headers", "column_headers"), lambda h: ~h["has_text"])
+    reasons = (~F.col("has_text"), F.col("is_row_header") | F.col("is_column_header"), F.size("row_headers") == 0, F.size("column_headers") == 0, mute)
     state = F.lit("planned")
     for reason, holds in reversed(list(zip(BLOCKED, reasons))):
         state = F.when(holds, reason).otherwise(state)
-    return rows.select("table", "cell", state.alias("state"), "row_headers", "column_headers")
+    ids = lambda c: F.transform(c, lambda h: h["cell"]).alias(c)
+    return rows.select("table", "cell", state.alias("state"), ids("row_headers"), ids("column_headers"))
