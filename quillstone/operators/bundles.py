@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators.graph import durable
+
 #: Code points of a text that are cut in one piece.
 PIECE = 4096
 
@@ -21,42 +23,53 @@ IDS = {"views": "view", "nodes": "node", "regions": "region", "edges": "edge"}
 
 def _broken(rows: DataFrame, child: Column, rules: dict[str, Column]) -> DataFrame:
     """``bundle, rule, child`` of each rule that a row breaks, all in one pass of the rows; null breaks nothing."""
-    named = F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules.items()])
-    return rows.select("bundle", F.explode(F.array_compact(named)).alias("rule"), child.cast("string").alias("child"))
+    return rows.select("bundle", F.explode(_names(rules)).alias("rule"), child.cast("string").alias("child"))
+
+
+def _names(rules: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules.items()]))
 
 
-def spans(views: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``s_bundle, s_node, span``: the text of each node, from its view.
+def digests(views: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``s_bundle, s_node, span_digest``: the digest of each node's text, from its view.
 
     Views are cut into pieces of PIECE code points in one pass, and nodes meet the pieces that they lie in: a text with very many nodes isn't gone
-    through from its beginning for each. What is beyond a text is left out; an empty span has no row.
+    through from its beginning for each. What lies in one piece is digested where it meets it, and a node that has all of its view has the digest
+    of the view, so only texts of other nodes that reach over several pieces are shuffled again. What is beyond a text is left out; an empty span has no row.
     """
-    pieces = views.select(F.col("bundle").alias("v_bundle"), F.col("view").alias("v_view"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("piece", "cut"))
-    own = nodes.where("start_char >= 0 and end_char > start_char").select("bundle", "view", "node", "start_char", "end_char", F.explode(F.sequence(F.floor(F.col("start_char") / PIECE), F.floor((F.col("end_char") - 1) / PIECE))).alias("at"))
-    met = own.join(pieces, (F.col("bundle") == F.col("v_bundle")) & (F.col("view") == F.col("v_view")) & (F.col("at") == F.col("piece")))
+    text = [F.col("bundle").alias("v_bundle"), F.col("view").alias("v_view"), F.length("text").alias("v_chars")]
+    pieces = views.select(*text, F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("piece", "cut"))
+    first, last = F.floor(F.col("start_char") / PIECE), F.floor((F.col("end_char") - 1) / PIECE)
+    own = nodes.where("start_char >= 0 and end_char > start_char").select("bundle", "view", "node", "start_char", "end_char")
+    met = own.withColumn("at", F.explode(F.sequence(first, last))).join(pieces, (F.col("bundle") == F.col("v_bundle")) & (F.col("view") == F.col("v_view")) & (F.col("at") == F.col("piece")))
     begin = F.greatest(F.col("start_char") - F.col("at") * PIECE, F.lit(0))
     part = F.substring(F.col("cut"), (begin + 1).cast("int"), (F.least(F.col("end_char") - F.col("at") * PIECE, F.lit(PIECE)) - begin).cast("int"))
-    listed = F.array_sort(F.collect_list(F.struct("at", part.alias("part"))))
-    return met.groupBy(F.col("bundle").alias("s_bundle"), F.col("node").alias("s_node")).agg(F.array_join(F.transform(listed, lambda p: p["part"]), "").alias("span"))
+    whole, inside = "start_char = 0 and end_char >= v_chars", first == last
+    cut = met.where(f"not ({whole})").select("bundle", "node", "at", inside.alias("done"), F.when(inside, F.sha2(part, 256)).otherwise(part).alias("part"))
+    all_ = own.where("start_char = 0").join(views.select(*text, F.sha2("text", 256).alias("part")), (F.col("bundle") == F.col("v_bundle")) & (F.col("view") == F.col("v_view"))).where(f"{whole} and v_chars > 0")
+    every = cut.union(all_.select("bundle", "node", F.lit(0).cast("long").alias("at"), F.lit(True).alias("done"), "part"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "part")))
+    span = every.groupBy(F.col("bundle").alias("s_bundle"), F.col("node").alias("s_node")).agg(F.max("done").alias("done"), F.array_join(F.transform(listed, lambda p: p["part"]), "").alias("span"))
+    return span.select("s_bundle", "s_node", F.when(F.col("done"), F.col("span")).otherwise(F.sha2("span", 256)).alias("span_digest"))
 
 
 def _nodes(views: DataFrame, nodes: DataFrame, regions: DataFrame) -> DataFrame:
     """Nodes beside what they refer to: their view, whether their parent is there, and what is known of their regions."""
     texts = views.select(F.col("bundle").alias("v_bundle"), F.col("view").alias("v_view"), "kind", F.length("text").alias("n_chars"))
-    cut = spans(views, nodes).select(F.col("s_bundle").alias("c_bundle"), F.col("s_node").alias("c_node"), F.sha2("span", 256).alias("span_digest"))
+    cut = durable(digests(views, nodes)).select(F.col("s_bundle").alias("c_bundle"), F.col("s_node").alias("c_node"), "span_digest")
     parents = nodes.select(F.col("bundle").alias("p_bundle"), F.col("node").alias("p_node")).distinct()
     asked = nodes.select("bundle", "node", F.explode("regions").alias("region"))
-    known = regions.select(F.col("bundle").alias("r_bundle"), F.col("region").alias("r_region"), F.col("page").alias("r_page"), F.struct("page", "left", "top", "right", "bottom").alias("place"))
+    plain = lambda c: F.when(F.col(c) == 0, F.col(c) - F.col(c)).otherwise(F.col(c)).alias(c)  # noqa: E731  one zero
+    known = regions.select(F.col("bundle").alias("r_bundle"), F.col("region").alias("r_region"), F.struct("page", *map(plain, ("left", "top", "right", "bottom"))).alias("place"))
     met = asked.join(known, (F.col("bundle") == F.col("r_bundle")) & (F.col("region") == F.col("r_region")), "left")
-    seen = met.groupBy(F.col("bundle").alias("s_bundle"), F.col("node").alias("s_node")).agg(
-        F.count_if(F.col("r_region").isNull()).alias("unknown"), F.array_sort(F.collect_set("r_page")).alias("seen_pages"), F.count("r_region").alias("met"), F.count_distinct("place").alias("places")
-    )
-    rows = nodes.join(texts, (F.col("bundle") == F.col("v_bundle")) & (F.col("view") == F.col("v_view")), "left")
-    rows = rows.join(cut, (F.col("bundle") == F.col("c_bundle")) & (F.col("node") == F.col("c_node")), "left")
-    empty = F.sha2(F.lit(""), 256)
-    rows = rows.select(*nodes.columns, "kind", F.col("v_view").isNotNull().alias("has_view"), "n_chars", F.coalesce("span_digest", empty).alias("digest_now"))
-    rows = rows.join(parents, (F.col("bundle") == F.col("p_bundle")) & (F.col("parent") == F.col("p_node")), "left")
-    return rows.join(seen, (F.col("bundle") == F.col("s_bundle")) & (F.col("node") == F.col("s_node")), "left")
+    seen = met.groupBy(F.col("bundle").alias("s_bundle"), F.col("node").alias("s_node")).agg(F.count_if(F.col("r_region").isNull()).alias("unknown"), F.count("r_region").alias("met"), F.collect_set("place").alias("held"))
+    pages = F.array_sort(F.array_distinct(F.array_compact(F.transform("held", lambda p: p["page"]))))
+    seen = durable(seen.select("s_bundle", "s_node", "unknown", "met", F.size("held").alias("places"), pages.alias("seen_pages")))
+    rows = nodes.join(cut, (F.col("bundle") == F.col("c_bundle")) & (F.col("node") == F.col("c_node")), "left")
+    rows = rows.join(seen, (F.col("bundle") == F.col("s_bundle")) & (F.col("node") == F.col("s_node")), "left").drop("c_bundle", "c_node", "s_bundle", "s_node")
+    rows = rows.join(texts, (F.col("bundle") == F.col("v_bundle")) & (F.col("view") == F.col("v_view")), "left")
+    rows = rows.withColumns({"has_view": F.col("v_view").isNotNull(), "digest_now": F.coalesce("span_digest", F.sha2(F.lit(""), 256))}).drop("v_bundle", "v_view", "span_digest")
+    return rows.join(parents, (F.col("bundle") == F.col("p_bundle")) & (F.col("parent") == F.col("p_node")), "left")
 
 
 def violations(views: DataFrame, nodes: DataFrame, regions: DataFrame, edges: DataFrame, selectors: DataFrame, bundles: DataFrame) -> DataFrame:
@@ -95,16 +108,17 @@ def violations(views: DataFrame, nodes: DataFrame, regions: DataFrame, edges: Da
         "furniture_in_logical_view": (F.col("node_type") == "furniture") & (F.col("kind") == "logical"),
         "one_place_twice": F.col("met") > F.col("places"),
     }
-    out.append(_broken(seen, F.col("node"), rules))
+    told = durable(seen.select("bundle", "node", "digest_now", _names(rules).alias("rules")))  # of the nodes' columns no more is needed
+    out.append(told.select("bundle", F.explode("rules").alias("rule"), F.col("node").cast("string").alias("child")))
 
     ends = nodes.select(F.col("bundle").alias("n_bundle"), F.col("node").alias("n_node")).distinct()
     listed = edges.select("bundle", "edge", F.explode(F.array("src", "dst")).alias("end"))
     loose = listed.join(ends, (F.col("bundle") == F.col("n_bundle")) & (F.col("end") == F.col("n_node")), "left_anti").select("bundle", F.lit("unknown_end").alias("rule"), F.col("edge").cast("string").alias("child")).distinct()
     out += [loose, _broken(edges, F.col("edge"), {"edge_to_itself": F.col("src") == F.col("dst")})]
 
-    digests = seen.select(F.col("bundle").alias("d_bundle"), F.col("node").alias("d_node"), "digest_now")
+    now = told.select(F.col("bundle").alias("d_bundle"), F.col("node").alias("d_node"), "digest_now")
     held = selectors.join(ends, (F.col("bundle") == F.col("n_bundle")) & (F.col("node") == F.col("n_node")), "left")
-    held = held.join(digests, (F.col("bundle") == F.col("d_bundle")) & (F.col("node") == F.col("d_node")), "left")
+    held = held.join(now, (F.col("bundle") == F.col("d_bundle")) & (F.col("node") == F.col("d_node")), "left")
     out.append(_broken(held, F.col("node"), {"selector_without_node": F.col("n_node").isNull(), "other_selector_digest": F.col("d_node").isNotNull() & ~F.col("digest").eqNullSafe(F.col("digest_now"))}))
     return reduce(DataFrame.union, out)
 
@@ -112,7 +126,7 @@ def violations(views: DataFrame, nodes: DataFrame, regions: DataFrame, edges: Da
 def hit_faults(hits: DataFrame, views: DataFrame, nodes: DataFrame) -> DataFrame:
     """``hit, fault`` of each of ``hits(hit, bundle, node, digest)``, with the digest that was indexed: ``hit_source_missing``, ``hit_digest_mismatch``, or null."""
     known = nodes.select(F.col("bundle").alias("n_bundle"), F.col("node").alias("n_node")).distinct()
-    cut = spans(views, nodes).select("s_bundle", "s_node", F.sha2("span", 256).alias("digest_now"))
+    cut = digests(views, nodes).withColumnRenamed("span_digest", "digest_now")
     now = F.when(F.col("n_node").isNotNull(), F.coalesce("digest_now", F.sha2(F.lit(""), 256)))
     met = hits.join(known, (F.col("bundle") == F.col("n_bundle")) & (F.col("node") == F.col("n_node")), "left")
     met = met.join(cut, (F.col("bundle") == F.col("s_bundle")) & (F.col("node") == F.col("s_node")), "left").withColumn("now", now)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators import bundles, quotes
+from quillstone.operators import bundles, graph, quotes
 from quillstone.plans.contexts import PLAIN_LINE, SYMBOLS
 from quillstone.registry import query
 from quillstone.sources.tables import lines, table
@@ -16,11 +16,20 @@ _LINES = "SELECT doc_id, n_chars, text, unnest(string_split(text, chr(10))) AS l
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines as nodes of their document, with where they begin and end, and the digest of when lines had no symbols."""
-    w = Window.partitionBy("doc_id").orderBy("order_index").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("long")
-    rows = lines(spark, sf).select(F.col("doc_id").alias("bundle"), F.col("order_index").cast("string").alias("node"), "order_index", begin.alias("start_char"), "line", (F.trim("line") == "").alias("blank"))
-    return rows.withColumns({"end_char": F.col("start_char") + F.length("line"), "digest": F.sha2(F.regexp_replace("line", SYMBOLS, ""), 256), "page": F.floor(F.col("order_index") / PAGE).cast("int")})
+    """Lines as nodes of their document, with where they begin and end, the next one, their digests trimmed and of when lines had no symbols.
+
+    Lines are digested where they are read, so no text is shuffled, and written once for all the rules that look at them.
+    """
+    docs = table(spark, sf, "documents")
+    n = docs.agg(F.sum(F.size(F.split("text", "\n", -1)))).first()[0] or 0
+    rows = lines(spark, sf).select(
+        F.col("doc_id").alias("bundle"), F.col("order_index").cast("string").alias("node"), "order_index", F.length("line").cast("long").alias("chars"), (F.trim("line") == "").alias("blank"),
+        F.sha2(F.regexp_replace("line", SYMBOLS, ""), 256).alias("digest"), F.when(F.col("order_index") == 0, F.sha2(F.trim("line"), 256)).alias("trimmed"),
+    )
+    w = Window.partitionBy("bundle").orderBy("order_index")
+    begin = F.coalesce(F.sum(F.col("chars") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    rows = graph.dealt(rows, n, "bundle").withColumns({"start_char": begin, "next": F.lead("node").over(w)})
+    return graph.durable(rows.withColumns({"end_char": F.col("start_char") + F.col("chars"), "page": F.floor(F.col("order_index") / PAGE).cast("int")}))
 
 
 def _views(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,10 +48,9 @@ def bundle_integrity(spark: SparkSession, sf: str) -> DataFrame:
     region = F.concat(F.lit("r"), "node")
     nodes = own.select("bundle", "node", F.when(F.col("blank"), "display").otherwise("logical").alias("view"), F.lit("root").alias("parent"), F.when(F.col("blank"), "furniture").otherwise("paragraph").alias("node_type"), "start_char", "end_char", F.array(region).alias("regions"), F.array("page").alias("pages"), "digest")
     zero = F.lit(0.0)
-    regions = own.select("bundle", region.alias("region"), "page", zero.alias("left"), F.col("order_index").cast("double").alias("top"), F.length("line").cast("double").alias("right"), (F.col("order_index") + 1.0).alias("bottom"))
-    w = Window.partitionBy("bundle").orderBy("order_index")
-    edges = own.select("bundle", F.concat(F.lit("e"), "node").alias("edge"), F.col("node").alias("src"), F.lead("node").over(w).alias("dst")).where("dst is not null")
-    heads = own.where("order_index = 0").select("bundle", "node", F.sha2(F.trim("line"), 256).alias("digest"))
+    regions = own.select("bundle", region.alias("region"), "page", zero.alias("left"), F.col("order_index").cast("double").alias("top"), F.col("chars").cast("double").alias("right"), (F.col("order_index") + 1.0).alias("bottom"))
+    edges = own.select("bundle", F.concat(F.lit("e"), "node").alias("edge"), F.col("node").alias("src"), F.col("next").alias("dst")).where("dst is not null")
+    heads = own.where("order_index = 0").select("bundle", "node", F.col("trimmed").alias("digest"))
     marked = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("bundle"), F.concat(F.lit("root-"), "quality").alias("node"), F.lit("").alias("digest"))
     return bundles.violations(_views(spark, sf), nodes.union(root), regions, edges, heads.union(marked), docs.select(F.col("doc_id").alias("bundle")))
 
@@ -51,7 +59,7 @@ def bundle_integrity(spark: SparkSession, sf: str) -> DataFrame:
 def hit_verification(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a hit's node still has the text that was indexed, when lines had no symbols."""
     own = _lines(spark, sf)
-    hits = own.where("line <> ''").select(F.struct("bundle", "order_index").alias("hit"), "bundle", "node", "digest")
+    hits = own.where("chars > 0").select(F.struct("bundle", "order_index").alias("hit"), "bundle", "node", "digest")
     nodes = own.select("bundle", "node", F.lit("logical").alias("view"), "start_char", "end_char")
     found = bundles.hit_faults(hits, _views(spark, sf).where("kind = 'logical'"), nodes)
     return found.select(F.col("hit.bundle").alias("doc_id"), F.col("hit.order_index").alias("order_index"), F.coalesce("fault", F.lit("none")).alias("fault"))
