@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.graph import dealt
+
 #: Items whose left edges are further apart than this share of the page's width are in different columns.
 COLUMN_GAP = 0.15
 
@@ -17,22 +19,20 @@ def reading_order(items: DataFrame) -> DataFrame:
     is no lower, or below all, is the last segment. A segment is read column by column; columns part where left edges leave a gap.
     """
     furniture = F.col("kind") == "furniture"
-    heading = F.col("kind") == "heading"
-    page = Window.partitionBy("page")
-    zone = F.when(furniture & (F.col("top_edge") < F.col("height") / 2), 0).when(furniture, 2).otherwise(1)
-    rows = items.withColumn("zone", zone)
-    # Headings above or level with an item; a heading itself comes last in the segment that it ends.
-    above = F.count_if(heading & (F.col("zone") == 1)).over(page.orderBy("zone", "top_edge").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("above", F.when(F.col("zone") == 1, above).otherwise(F.lit(0)))
-    number = F.row_number().over(Window.partitionBy("page", heading).orderBy("zone", "top_edge", "left_edge", "item"))
-    segment = F.when(heading & (F.col("zone") == 1), number - 1).otherwise(F.col("above"))
-    rows = rows.withColumn("segment", F.when(F.col("zone") == 1, segment).otherwise(F.lit(0)))
-    body = Window.partitionBy("page", "zone", "segment", heading).orderBy("left_edge", "item")
-    opens = (F.col("left_edge") - F.lag("left_edge").over(body) > COLUMN_GAP * F.col("width")).cast("int")
-    rows = rows.withColumn("opens", F.coalesce(opens, F.lit(0)))
-    column = F.when((F.col("zone") == 1) & ~heading, F.sum("opens").over(body.rowsBetween(Window.unboundedPreceding, Window.currentRow))).otherwise(F.lit(0))
-    rows = rows.withColumn("column", column)
-    order = page.orderBy("zone", "segment", heading, "column", "top_edge", "left_edge", "item")
+    zone = F.when(furniture & (F.col("top_edge") < F.col("height") / 2), 0).when(furniture, 2).otherwise(1).cast("byte")
+    heading = F.coalesce(F.col("kind") == "heading", F.lit(False))
+    # Every sort holds the rows, so they are made narrow first, and dealt by their number.
+    rows = items.select("page", "item", "top_edge", "left_edge", (COLUMN_GAP * F.col("width")).alias("gap"), zone.alias("zone"), heading.alias("heading"))
+    rows = dealt(rows, items.count(), "page")
+    # Headings above or level with an item, as those of one height come first; a heading itself comes last in the segment that it ends.
+    down = Window.partitionBy("page").orderBy("zone", "top_edge", F.desc("heading"), "left_edge", "item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    body_zone = F.col("zone") == 1
+    rows = rows.withColumn("segment", F.when(body_zone, F.count_if("heading").over(down) - F.col("heading").cast("int")).otherwise(F.lit(0)).cast("int"))
+    body = Window.partitionBy("page", "zone", "segment", "heading").orderBy("left_edge", "item")
+    rows = rows.withColumn("opens", F.coalesce((F.col("left_edge") - F.lag("left_edge").over(body) > F.col("gap")).cast("int"), F.lit(0))).drop("gap")
+    column = F.when(body_zone & ~F.col("heading"), F.sum("opens").over(body.rowsBetween(Window.unboundedPreceding, Window.currentRow))).otherwise(F.lit(0))
+    rows = rows.withColumn("column", column.cast("int")).drop("opens")
+    order = Window.partitionBy("page").orderBy("zone", "segment", "heading", "column", "top_edge", "left_edge", "item")
     return rows.withColumn("place", (F.row_number().over(order) - 1).cast("long")).select("page", "item", "place")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from quillstone.operators import bundles, graph
+from quillstone.operators import bundles, graph, layout
 
 
 def test_parts_grow_with_the_rows(spark):
@@ -19,3 +19,11 @@ def test_digests_of_nodes_within_over_and_beyond_pieces(spark):
     nodes = spark.createDataFrame([("b", "v", n, a, z) for n, (a, z) in spans.items()], "bundle string, view string, node string, start_char long, end_char long")
     got = {r.s_node: r.span_digest for r in bundles.digests(views, nodes).collect()}
     assert got == {n: hashlib.sha256(text[a:z].encode()).hexdigest() for n, (a, z) in spans.items()}
+
+
+def test_pages_are_dealt_by_the_number_of_their_items(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHARE", 2)
+    items = spark.createDataFrame([(p, f"i{n}", "text", float(n), 0.0, 10.0, 10.0) for p in range(4) for n in range(5)], "page int, item string, kind string, top_edge double, left_edge double, width double, height double")
+    ordered = layout.reading_order(items)
+    assert ordered.rdd.getNumPartitions() == 11
+    assert sorted((r.page, r.item, r.place) for r in ordered.collect()) == [(p, f"i{n}", n) for p in range(4) for n in range(5)]
