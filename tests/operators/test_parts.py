@@ -27,3 +27,12 @@ def test_pages_are_dealt_by_the_number_of_their_items(spark, monkeypatch):
     ordered = layout.reading_order(items)
     assert ordered.rdd.getNumPartitions() == 11
     assert sorted((r.page, r.item, r.place) for r in ordered.collect()) == [(p, f"i{n}", n) for p in range(4) for n in range(5)]
+
+
+def test_groups_are_dealt_by_the_number_of_their_rows(spark, monkeypatch, capsys):
+    monkeypatch.setattr(graph, "SHARE", 2)
+    rows = spark.createDataFrame([(g, m) for g in range(4) for m in range(5)], "g int, m int")
+    pairs = graph.cooccurrence(rows, "g", "m", least=2)
+    pairs.explain()
+    assert "hashpartitioning(g" in (plan := capsys.readouterr().out) and ", 11), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, pairs.collect())) == [(a, b, 4) for a in range(5) for b in range(a + 1, 5)]
