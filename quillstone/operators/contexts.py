@@ -54,18 +54,23 @@ def ancestors(asked: DataFrame, nodes: DataFrame, wanted: str) -> DataFrame:
     return met.where(F.col("node_type") == wanted).select("unit", "doc", "node")
 
 
-def candidates(units: DataFrame, nodes: DataFrame) -> DataFrame:
+def named(units: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``unit, doc, node, as_``: nodes that units name or that are headings above their focus, with their place in PRECEDENCE. No text is looked at."""
+    focus = units.select("unit", "doc", F.explode("focus").alias("node"))
+    headings = ancestors(focus, nodes, "heading").withColumn("as_", F.lit(PRECEDENCE.index("heading")))
+    needed = units.select("unit", "doc", F.explode("dependencies").alias("node"), F.lit(PRECEDENCE.index("dependency")).alias("as_"))
+    every = focus.withColumn("as_", F.lit(PRECEDENCE.index("focus"))).unionByName(headings).unionByName(needed)
+    return every.groupBy("unit", "doc", "node").agg(F.max("as_").alias("as_"))
+
+
+def candidates(units: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``unit, doc, node, role, priority, order_index, tokens, segment``: what each unit's context must hold.
 
     Its focus, the headings above the focus, and its dependencies: table headers, captions, units, notes and definitions. A node with several
     roles in a unit has one, by PRECEDENCE. Furniture is not required in any unit and is left out, whatever else it is. Nodes that aren't there are left out too;
-    ``issues`` tells them.
+    ``issues`` tells them. ``known`` is what ``named`` gives, where it is at hand.
     """
-    focus = units.select("unit", "doc", F.explode("focus").alias("node"))
-    headings = ancestors(focus, nodes, "heading").withColumn("as_", F.lit(PRECEDENCE.index("heading")))
-    needed = units.select("unit", "doc", F.explode("dependencies").alias("node"), F.lit(PRECEDENCE.index("dependency")).alias("as_"))
-    every = focus.withColumn("as_", F.lit(PRECEDENCE.index("focus"))).unionByName(headings).unionByName(needed)
-    one = every.groupBy("unit", "doc", "node").agg(F.max("as_").alias("as_"))
+    one = named(units, nodes) if known is None else known
     own = rendered(nodes.where("node_type <> 'furniture'")).select(F.col("doc").alias("n_doc"), F.col("node").alias("n_node"), "order_index", "node_type", "segment")
     kind = F.when(F.col("node_type").isin(*HEADER_TYPES), "table_header").when(F.col("node_type").isin(*TABLE_TYPES), "table_context").otherwise("definition")
     role = F.when(F.col("as_") == PRECEDENCE.index("dependency"), kind).when(F.col("as_") == PRECEDENCE.index("focus"), "focus").otherwise("heading")
@@ -90,33 +95,30 @@ def identity(*columns: Column) -> Column:
     return record_id("ctx", F.concat_ws("\n", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]))
 
 
-def manifests(units: DataFrame, nodes: DataFrame, prompt: str, budget: int = BUDGET) -> DataFrame:
+def manifests(units: DataFrame, nodes: DataFrame, prompt: str, budget: int = BUDGET, known: DataFrame | None = None) -> DataFrame:
     """One row a unit: ``manifest_id``, IDENTITY, ``n_selected`` and the ``rendered`` input.
 
     ``ready``: all that is required fits, and is rendered after the prompt by priority, place and id, with ``segments`` as ``node:start:end`` in bytes. Else
     ``split``, with a child unit for each focus, if there are several; else ``blocked``. Without a positive budget all are blocked. Tokens are added up before anything is gathered, so a row never
     holds more than the budget's worth of text. ``excluded`` is the count of the document's furniture.
     """
-    required = candidates(units, nodes)
-    total = required.groupBy("unit").agg(F.sum("tokens").alias("own")).select(F.col("unit").alias("t_unit"), "own")
-    furniture = nodes.where("node_type = 'furniture'").groupBy(F.col("doc").alias("f_doc")).agg(F.count(F.lit(1)).alias("furniture"))
     said = tokens(F.lit(prompt))
-    rows = units.join(total, F.col("unit") == F.col("t_unit"), "left").join(furniture, F.col("doc") == F.col("f_doc"), "left")
-    needs = F.coalesce("own", F.lit(0)) + said
-    status = F.when(F.lit(budget) <= 0, "blocked").when(needs <= budget, "ready").when(F.size("focus") > 1, "split").otherwise("blocked")
-    rows = rows.select("unit", "doc", "focus", F.coalesce("furniture", F.lit(0).cast("long")).alias("excluded"), status.alias("status"), needs.alias("needs"))
-
-    ready = rows.where("status = 'ready'").select(F.col("unit").alias("r_unit"))
     w = Window.partitionBy("unit").orderBy("priority", "order_index", "node")
     lead = len(prompt.encode()) + 2
-    size = F.octet_length("segment")
-    begin = F.coalesce(F.sum(size + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + lead
-    placed = required.join(ready, F.col("unit") == F.col("r_unit"), "left_semi").select("unit", "priority", "order_index", "node", "segment", begin.alias("start"))
-    listed = F.array_sort(F.collect_list(F.struct("priority", "order_index", "node", "segment", "start")))
-    parts = placed.groupBy(F.col("unit").alias("p_unit")).agg(listed.alias("parts"))
+    begin = F.coalesce(F.sum(F.octet_length("segment") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + lead
+    own = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # Texts meet their unit once: a unit beyond the budget hands on its count alone.
+    placed = candidates(units, nodes, known).select("unit", "priority", "order_index", "node", "segment", begin.alias("start"), own.alias("own"))
+    fits = F.lit(budget > 0) & (F.col("own") + said <= budget)
+    listed = F.array_sort(F.collect_list(F.when(fits, F.struct("priority", "order_index", "node", "segment", "start"))))
+    parts = placed.groupBy(F.col("unit").alias("p_unit")).agg(F.max("own").alias("own"), listed.alias("parts"))
+    furniture = nodes.where("node_type = 'furniture'").groupBy(F.col("doc").alias("f_doc")).agg(F.count(F.lit(1)).alias("furniture"))
+    rows = units.join(parts, F.col("unit") == F.col("p_unit"), "left").join(furniture, F.col("doc") == F.col("f_doc"), "left")
+    needs = F.coalesce("own", F.lit(0)) + said
+    status = F.when(F.lit(budget) <= 0, "blocked").when(needs <= budget, "ready").when(F.size("focus") > 1, "split").otherwise("blocked")
+    rows = rows.select("unit", "doc", "focus", "parts", F.coalesce("furniture", F.lit(0).cast("long")).alias("excluded"), status.alias("status"), needs.alias("needs"))
     place = F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["node"].cast("string"), p["start"].cast("string"), (p["start"] + F.octet_length(p["segment"])).cast("string"))), ",")
     text = F.concat_ws("\n\n", F.lit(prompt), F.array_join(F.transform("parts", lambda p: p["segment"]), "\n\n"))
-    rows = rows.join(parts, F.col("unit") == F.col("p_unit"), "left")
     is_ready = F.col("status") == "ready"
     body = F.when(is_ready, F.when(F.col("parts").isNull(), F.lit(prompt)).otherwise(text)).otherwise(F.lit(""))
     children = F.when(F.col("status") == "split", F.array_join(F.transform("focus", lambda n: record_id("unit", F.col("doc"), n)), ",")).otherwise("")
@@ -133,13 +135,13 @@ def manifests(units: DataFrame, nodes: DataFrame, prompt: str, budget: int = BUD
 FAULTS = ("identity", "rendered_digest", "unit", "input", "segments", "tokens", "budget", "children")
 
 
-def verified(stored: DataFrame, units: DataFrame, nodes: DataFrame, prompt: str, budget: int = BUDGET) -> DataFrame:
+def verified(stored: DataFrame, units: DataFrame, nodes: DataFrame, prompt: str, budget: int = BUDGET, known: DataFrame | None = None) -> DataFrame:
     """``manifest_id, fault`` of each stored manifest: the first of FAULTS that holds against units and nodes as they are now, else null.
 
     ``identity``: its id is not the digest of what it says. ``rendered_digest``: nor is that of its input. ``unit``: its unit is gone. ``input`` and
     ``segments``: the context would be rendered otherwise now. ``tokens``: another count. ``budget``: it doesn't fit. ``children``: other children, or another status.
     """
-    now = manifests(units, nodes, prompt, budget)
+    now = manifests(units, nodes, prompt, budget, known)
     now = now.select(*[F.col(c).alias(f"now_{c}") for c in now.columns])
     met = stored.join(now, F.col("unit") == F.col("now_unit"), "left")
     differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"now_{c}"))

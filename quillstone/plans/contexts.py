@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import record_id
 from quillstone.operators import contexts
+from quillstone.operators.graph import durable
 from quillstone.registry import query
 from quillstone.sources.tables import lines, table
 
@@ -32,7 +33,7 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("doc").orderBy("node")
     rows = _nodes(spark, sf).where("node_type <> 'furniture'").select("doc", "node", F.floor((F.row_number().over(w) - 1) / FOCUS).alias("n"))
     grouped = rows.groupBy("doc", "n").agg(F.array_sort(F.collect_list("node")).alias("focus"))  # FOCUS nodes at most
-    return grouped.select(record_id("unit", F.lit("analysis"), "doc", "n").alias("unit"), "doc", "focus", F.array().cast("array<bigint>").alias("dependencies"))
+    return durable(grouped.select(record_id("unit", F.lit("analysis"), "doc", "n").alias("unit"), "doc", "focus", F.array().cast("array<bigint>").alias("dependencies")))
 
 
 _NODES = """SELECT doc_id AS doc, node, line, CASE WHEN trim(line) = '' THEN 'furniture' WHEN node = 0 THEN 'heading' ELSE 'paragraph' END AS kind FROM
@@ -81,9 +82,10 @@ def context_manifest(spark: SparkSession, sf: str) -> DataFrame:
 SELECT o.manifest_id, CASE WHEN o.rendered_digest <> m.rendered_digest THEN 'input' WHEN o.segments <> m.segments THEN 'segments' WHEN o.children <> m.children OR o.status <> m.status THEN 'children' ELSE 'none' END AS fault FROM o JOIN m ON m.unit = o.unit""")
 def manifest_verify(spark: SparkSession, sf: str) -> DataFrame:
     """Manifests that were stored when lines had no symbols, against the documents as they are."""
-    units = _units(spark, sf)
-    stored = contexts.manifests(units, _nodes(spark, sf, plain=True), PROMPT, BUDGET)
-    return contexts.verified(stored, units, _nodes(spark, sf), PROMPT, BUDGET).select("manifest_id", F.coalesce("fault", F.lit("none")).alias("fault"))
+    units, nodes = _units(spark, sf), _nodes(spark, sf)
+    known = durable(contexts.named(units, nodes))  # symbols change texts alone
+    stored = contexts.manifests(units, _nodes(spark, sf, plain=True), PROMPT, BUDGET, known)
+    return contexts.verified(stored, units, nodes, PROMPT, BUDGET, known).select("manifest_id", F.coalesce("fault", F.lit("none")).alias("fault"))
 
 
 @query(f"""SELECT doc_id, CAST(n AS BIGINT) AS required_tokens, CASE WHEN n <= {contexts.BUDGET} THEN 'ready' WHEN f > 1 THEN 'split' ELSE 'blocked' END AS outcome FROM (SELECT doc_id, {_tokens('text')} AS n, len(string_split(text, chr(10))) AS f FROM documents)""")
