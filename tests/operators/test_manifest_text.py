@@ -6,7 +6,7 @@ from quillstone.operators import contexts
 
 
 def test_texts_meet_their_unit_once_and_manifests_stay_the_same(spark, capsys):
-    nodes = spark.createDataFrame([("d", n, n, "paragraph", None, f"word {n}" if n < 3 else "far too many words here") for n in range(4)], "doc string, node long, order_index long, node_type string, parent long, text string")
+    nodes = spark.createDataFrame([("d", n, n, "paragraph", None, f"word {n}" if n < 3 else "far too many words here now") for n in range(4)], "doc string, node long, order_index long, node_type string, parent long, text string")
     units = spark.createDataFrame([("u", "d", [0, 1], []), ("v", "d", [2], []), ("w", "d", [2, 3], []), ("x", "d", [3], []), ("y", "d", [9], [])], "unit string, doc string, focus array<long>, dependencies array<long>")
     known = contexts.named(units, nodes).localCheckpoint()
     got = contexts.manifests(units, nodes, "Say it.", 8, known)
