@@ -30,7 +30,7 @@ LINEAR = 1.0
 QUADRATIC = 1.0 / 1024
 END_ID = 1
 
-#: Chunks of more bytes than this, and more chunks than that, are not kept between batches.
+#: Chunks of more bytes than this are not kept between batches, nor more chunks than that: of those met in one batch, and of those met again.
 CACHED_BYTES = 64
 CACHED_CHUNKS = 250_000
 #: Words encoded in one go, and marks that may end one of them.
@@ -63,6 +63,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.met: dict[bytes, bytes] = {}
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -92,18 +93,23 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
+        wanted = set().union(*split)
+        ids = {c: i for c in wanted if (i := self.known.get(c)) is not None}
+        again = {c: i for c in wanted if (i := self.met.get(c)) is not None and c not in ids}
+        new = list(wanted.difference(ids, again))
+        fresh = dict(zip(new, self._encode(new)))
+        # What recurs stays when what was met once goes.
         if len(self.known) > CACHED_CHUNKS:
             self.known.clear()
-        new = {c for chunks in split for c in chunks if c not in self.known}
-        rare = {c for c in new if len(c) > CACHED_BYTES}
-        common = list(new - rare)
-        self.known.update(zip(common, self._encode(common)))
-        if not rare:
-            get = self.known.__getitem__
-        else:
-            long = dict(zip(rare, self._encode(list(rare))))
-            get = lambda c: long[c] if len(c) > CACHED_BYTES else self.known[c]
-        return [b"".join(map(get, chunks)) for chunks in split]
+        if len(self.met) > CACHED_CHUNKS:
+            self.met.clear()
+        self.known.update(again)
+        for c in again:
+            self.met.pop(c, None)
+        self.met.update((c, i) for c, i in fresh.items() if len(c) <= CACHED_BYTES)
+        ids.update(again)
+        ids.update(fresh)
+        return [b"".join(map(ids.__getitem__, chunks)) for chunks in split]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
