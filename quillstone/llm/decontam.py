@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.columns import unwrapped, wrapped
+from quillstone.llm.inplace import without
 from quillstone.llm.spans import before, given
 from quillstone.llm.store import stash
 from quillstone.llm.wordkernel import ALPHANUMERIC, U64, slices, winnow, words_of
@@ -210,4 +211,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows with a null text or doc_id are judged like any other; repeated rows go or stay together. Columns may have any names.
     """
     _, found = _hits(docs.select("doc_id", "text"), benchmark)
-    return unwrapped(wrapped(docs).join(found.select("h_row"), _row() == F.col("h_row"), "left_anti"), docs.columns)
+    return unwrapped(without(wrapped(docs), _row(), found.select("h_row"), F.lit(100)), docs.columns)

@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from quillstone.llm.columns import unwrapped, wrapped
 from quillstone.llm.components import components
+from quillstone.llm.inplace import among, without
 from quillstone.llm.store import stash
 from quillstone.llm.wordkernel import GRAM, SPACED, U64, Words, mix, slices, words_of
 
@@ -228,6 +229,12 @@ def _close(members: DataFrame, texts: DataFrame, groups: DataFrame, checked: Dat
     return groups
 
 
+def _texts_of(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """``texts(doc_id, text)`` of these documents; the others' stay in their tasks."""
+    ids = stash(members.select(F.col("doc_id").alias("id")).distinct(), "ids")
+    return among(texts, F.col("doc_id"), ids, F.lit(16))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text)``.
 
@@ -248,13 +255,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = firsts.select("doc_id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stash(keyed.join(shared, "key").select("key", "p", "size", "doc_id"), "buckets")
-    texts = stash(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    texts = stash(_texts_of(docs, members), "texts")
 
     pairs = stash(members.where("doc_id != p").select("p", F.col("doc_id").alias("m")).distinct(), "pairs")
     links = stash(_verified(pairs, texts), "links")
     groups = components(links, "p", "m")
-    rest = _named(members.where("size > 2").select("key", "doc_id"), groups).select("doc_id").distinct()
-    rest = stash(texts.join(rest, "doc_id", "left_semi"), "rest")
+    rest = _named(members.where("size > 2").select("key", "doc_id"), groups)
+    rest = stash(_texts_of(texts, rest), "rest")
     if rest.take(1):
         groups = _close(_rare_buckets(rest), rest, groups, pairs)
     grouped = classes.join(groups, F.col("rep") == F.col("node"), "left").select(*[F.col(c).alias(f"r_{c}") for c in digest], F.coalesce("component", "rep").alias("component"))
@@ -265,5 +272,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns unchanged. Columns may have any names."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return unwrapped(wrapped(docs).join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti"), docs.columns)
+    gone = stash(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return unwrapped(without(wrapped(docs), F.col("doc_id").cast("long"), gone, F.lit(16)), docs.columns)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.columns import unwrapped, wrapped
+from quillstone.llm.inplace import parted
 from quillstone.llm.spans import blocks, given, listed, matches, replaced, tagged
 from quillstone.llm.store import fits, stash, within_bounds
 
@@ -192,16 +193,21 @@ def with_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The rows of ``docs`` with their text sanitised by these spans and other columns unchanged.
 
     Each base span becomes its kind in brackets, a disclosing term [NUMBER], [CODE] or [TERM], or nothing.
-    A text without spans stays as it is, null too. Repeated rows are replaced alike; columns may have any names.
+    A text without spans stays as it is and, however many others have some, in its task, null too. Repeated rows are replaced alike; columns may have any names.
     """
     one = spans.where((F.size("base") > 0) | (F.size("terms") > 0)).select("row", "base", "terms")
     one = stash(one.dropDuplicates(["row"]), "replaced")
-    one = within_bounds(one, 100 + 60 * (F.size("base") + F.size("terms")))
-    joined = wrapped(docs).join(one, _row(F.coalesce("text", F.lit(""))) == F.col("row"), "left")
+    rows, key, others = wrapped(docs), _row(F.coalesce("text", F.lit(""))), None
+    if fits(one, 100 + 60 * (F.size("base") + F.size("terms"))):
+        one = F.broadcast(one)
+    else:
+        rows, others = parted(rows, key, one.select("row"))
+    joined = rows.join(one, key == F.col("row"), "left")
     as_text = F.transform("terms", lambda t: F.struct(_class_of(t).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))
     both = F.concat(F.transform("base", lambda s: F.struct(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))), as_text)
     text = F.when(F.col("row").isNull(), F.col("text")).otherwise(replaced(F.col("text"), both, lambda s: s["kind"]))
-    return unwrapped(joined, docs.columns, text=text)
+    out = unwrapped(joined, docs.columns, text=text)
+    return out.union(unwrapped(others, docs.columns)) if others is not None else out
 
 
 def _class_of(term: Column) -> Column:
