@@ -40,7 +40,7 @@ from quillstone.llm.columns import unwrapped, wrapped
 from quillstone.llm.components import components
 from quillstone.llm.inplace import among, without
 from quillstone.llm.store import stash
-from quillstone.llm.wordkernel import GRAM, SPACED, U64, Words, mix, slices, words_of
+from quillstone.llm.wordkernel import GRAM, SMALL_SLICE_BYTES, SPACED, U64, Words, mix, slices, words_of
 
 SHINGLE = 5
 PERCENT = 75
@@ -121,7 +121,7 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SMALL_SLICE_BYTES):
         keys, bounds = shingle_sets(words_of(batch.column("text"), SPACED, lower=True))
         counts = np.diff(bounds)
         digests = []
@@ -140,7 +140,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by pivot, the pivot's own text first: one set is held at a time."""
     pivot, mine = None, np.zeros(0, dtype=U64)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SMALL_SLICE_BYTES):
         keys, bounds = shingle_sets(words_of(batch.column("text"), SPACED, lower=True))
         found = []
         for i, (p, m) in enumerate(zip(batch.column("p").to_pylist(), batch.column("m").to_pylist())):
@@ -167,7 +167,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SMALL_SLICE_BYTES):
         keys, bounds = shingle_sets(words_of(batch.column("text"), SPACED, lower=True))
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys.astype(np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), lists], names=["doc_id", "n", "keys"])

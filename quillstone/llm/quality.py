@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from quillstone.llm.columns import named
 from quillstone.llm.store import stash
-from quillstone.llm.wordkernel import SPACED, covered, per_doc, slices, string_buffer, words_of
+from quillstone.llm.wordkernel import SMALL_SLICE_BYTES, SPACED, covered, per_doc, slices, string_buffer, words_of
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -85,7 +85,7 @@ def _repeat_words(words) -> np.ndarray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "__text"):
+    for batch in slices(batches, "__text", SMALL_SLICE_BYTES):
         text = batch.column("__text")
         words = words_of(text, SPACED)
         raw, offsets = string_buffer(text)

@@ -20,6 +20,8 @@ U64 = np.uint64
 GRAM = U64(0xD1342543DE82EF95)
 SEGMENT = 1 << 20
 SLICE_BYTES = 4 << 20
+#: For work that holds many arrays of a slice at once; workers keep what they once took.
+SMALL_SLICE_BYTES = 1 << 20
 
 #: Words of ``[^\x20\x09-\x0D]+``.
 SPACED = np.ones(256, dtype=bool)
