@@ -31,7 +31,7 @@ from quillstone.llm.columns import unwrapped, wrapped
 from quillstone.llm.inplace import without
 from quillstone.llm.spans import before, given
 from quillstone.llm.store import stash
-from quillstone.llm.wordkernel import ALPHANUMERIC, U64, slices, winnow, words_of
+from quillstone.llm.wordkernel import ALPHANUMERIC, SMALL_SLICE_BYTES, U64, slices, winnow, words_of
 
 SPAN = 10
 #: Bits of the filter over the benchmark's fingerprints: so many for each, at least and at most so many in all.
@@ -100,7 +100,7 @@ def _columns(words, doc: np.ndarray, span: np.ndarray, at: np.ndarray, prints: n
 def _documents(spans: list[int], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, dtype=np.uint8)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_SLICE_BYTES):
             words = words_of(batch.column("text"), ALPHANUMERIC, lower=True)
             doc, span, at, prints, _ = _candidates(words, spans, bits)
             each = pa.StructArray.from_arrays(_columns(words, doc, span, at, prints), names=CANDIDATE.names)
@@ -112,7 +112,7 @@ def _documents(spans: list[int], shared):
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["item_id", *CANDIDATE.names]
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SMALL_SLICE_BYTES):
         words = words_of(batch.column("text"), ALPHANUMERIC, lower=True)
         own = np.minimum(words.counts, SPAN)
         doc, span, at, prints, _ = _candidates(words, [n for n in np.unique(own).tolist() if n], None)
