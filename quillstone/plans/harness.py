@@ -39,16 +39,18 @@ _SCORES = f"""SELECT user_id, CAST(floor((0.4 * success + 0.3 * health + 0.2 * a
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     n = lambda kind: F.count_if(F.col("event_type") == kind)
     rows = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), n("purchase").alias("p"), n("error").alias("e"), n("signup").alias("s"), n("view").alias("v"))
-    weights = {
-        "success": (100.0 * F.col("p") / F.col("n"), 4),
-        "health": (100.0 - 100.0 * F.col("e") / F.col("n"), 3),
-        "activity": (F.least(F.lit(100.0), F.col("n") * 1.0), 2),
-        "reach": (F.when(F.col("s") > 0, 100.0 * F.least(F.lit(1.0), F.try_divide(F.col("v"), F.col("s")))), 1),
-    }
+    part = lambda share, value: (share, share / 10 * value)
+    weighed = [
+        part(4, 100.0 * F.col("p") / F.col("n")),
+        part(3, 100.0 - 100.0 * F.col("e") / F.col("n")),
+        # An exact decimal, rounded once: 0.2 as a double times the count is off by a last place for some counts (96, 56), which halves show.
+        (2, F.least(F.lit(100), F.col("n")) * 2 / 10),
+        part(1, F.when(F.col("s") > 0, 100.0 * F.least(F.lit(1.0), F.try_divide(F.col("v"), F.col("s"))))),
+    ]
     # Weights add up in whole tenths: as doubles 0.4 + 0.3 + 0.2 is less than 0.9, and halves would be rounded up that aren't.
     total, tenths = F.lit(0.0), F.lit(0)
-    for value, share in weights.values():
-        total = total + F.coalesce(share / 10 * value, F.lit(0.0))
+    for share, value in weighed:
+        total = total + F.coalesce(value, F.lit(0.0))
         tenths = tenths + F.when(value.isNotNull(), share).otherwise(0)
     return rows.select("user_id", F.floor(total / (tenths / 10) * 10 + 0.5).alias("score_tenths"), (F.col("s") > 0).alias("complete"))
 
