@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators import geometry, grids
+from quillstone.operators import geometry, graph, grids
 from quillstone.registry import query
 from quillstone.sources.tables import table
 
@@ -25,7 +25,14 @@ heads AS (SELECT x.table_id, x.cell, list(h.cell ORDER BY h.c, h.cell) FILTER (h
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("table"), (F.col("l_linenumber") + 1).cast("long").alias("r")).agg(F.min("l_partkey").alias("part"), *[F.min(v).alias(v) for v in _VALUES])
+    """The cells of all tables, dealt by table while they are lines yet: what follows for each table, row or column stays in its task."""
+    # Of values only the sign counts, and the least value's sign is the least sign.
+    sign = lambda v: F.when(F.col(v) > 0, 1).when(F.col(v) < 0, -1).when(F.col(v) == 0, 0).cast("byte").alias(v)
+    given = table(spark, sf, "lineitem")
+    rows = given.select(F.col("l_orderkey").alias("table"), (F.col("l_linenumber") + 1).cast("long").alias("r"), F.col("l_partkey").alias("part"), *map(sign, _VALUES))
+    n_cells = given.count() * (1 + len(_VALUES) + len(_HEADS))
+    lines = graph.dealt(rows, n_cells, "table").groupBy("table", "r").agg(F.min("part").alias("part"), *[F.min(v).alias(v) for v in _VALUES])
+    lines = lines.withColumn("first", F.row_number().over(Window.partitionBy("table").orderBy("r")) == 1)
 
     def cell(name: Column, row: Column, column: int, spans: tuple[int, int], heads: tuple[bool, bool], text: Column) -> Column:
         values = (name, row.cast("long"), F.lit(column).cast("long"), F.lit(spans[0]), F.lit(spans[1]), F.lit(heads[0]), F.lit(heads[1]), text)
@@ -35,9 +42,8 @@ def _cells(spark: SparkSession, sf: str) -> DataFrame:
     own = [cell(name(0), F.col("r"), 0, (1, 1), (True, False), F.concat(F.lit("part "), "part"))]
     own += [cell(name(i + 1), F.col("r"), i + 1, (1, 1), (False, False), F.when(F.col(v) != 0, "value")) for i, v in enumerate(_VALUES)]
     heads = [cell(F.lit(n), F.lit(r), c, (rs, cs), (False, True), F.lit(text)) for n, r, c, rs, cs, text in _HEADS]
-    body = lines.select("table", F.explode(F.array(*own)).alias("x"))
-    top = lines.select("table").distinct().select("table", F.explode(F.array(*heads)).alias("x"))
-    return body.union(top).select("table", "x.*")
+    cells = F.when(F.col("first"), F.array(*own, *heads)).otherwise(F.array(*own))
+    return lines.select("table", F.explode(cells).alias("x")).select("table", "x.*")
 
 
 @query(f"{_CELLS} SELECT table_id, cell, coalesce(array_to_string(row_headers, ','), '') AS row_headers, coalesce(array_to_string(column_headers, ','), '') AS column_headers FROM heads")
