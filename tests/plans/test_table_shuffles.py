@@ -16,7 +16,7 @@ LINES = [
 ]
 
 
-@pytest.mark.parametrize("name", ["header_ancestry"])
+@pytest.mark.parametrize("name", ["header_ancestry", "table_cell_plan"])
 def test_one_shuffle_of_lines(spark, tmp_path, monkeypatch, capsys, name):
     monkeypatch.setattr(graph, "SHARE", 100)
     columns = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
